@@ -1,34 +1,95 @@
-"""The queries op1 to op10 over the driver's tables, and SQL for those that SQL can express."""
+"""The queries op1 to op10 over the driver's tables.
+
+SQL can express none of them on whole tables (seeded 64-bit hashes, tokenizer files, dictionaries of a
+compressor, suffix orders, jump hashes): tests/llm holds each against a brute-force version instead.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenspan.session import load
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text."""
+    from lumenspan.llm import imatch
+
+    return imatch.edited_fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written as Huffman-coded blocks and read back."""
     from lumenspan.llm import huffman
 
     return huffman.coded(load(spark, sf_dir, "documents")).drop("ids")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compression-distance scores, learnt outside the held-out fold."""
+    from lumenspan.llm import toxicity
+
+    return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 100-byte strings that start earlier."""
+    from lumenspan.llm import suffixes
+
+    return suffixes.digests(load(spark, sf_dir, "documents"))
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards by jump consistent hashing of doc_id."""
     from lumenspan.llm import sharding
 
     return sharding.shard(load(spark, sf_dir, "documents"), shards=16)
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
     from lumenspan.llm import packing
 
     return packing.best_fit(load(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 made of control strings, formatted and read back."""
+    from lumenspan.llm import chat
+
+    hard = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(rows.unionByName(extra)))
+
+
+def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of every document, and what they decode to."""
+    from lumenspan.llm import nbest
+
+    return nbest.digests(nbest.segmentations(load(spark, sf_dir, "documents"), n=3))
+
+
+def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding rendered as a recording; recordings with ids divisible by 100 aligned against all."""
+    from lumenspan.llm import chroma
+
+    tunes = chroma.rendered(load(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return chroma.search(tunes, F.col("media_id") % 100 == 0)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and components of links at three bits or fewer."""
+    from lumenspan.llm import simhash
+
+    return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_codes, op5_jump_shards, op6_best_fit)
+    f.__name__: f for f in (op1_imatch, op2_token_codes, op3_toxicity, op4_repeats, op5_jump_shards, op6_best_fit, op7_chat, op8_nbest, op9_chroma, op10_simhash)
 }
 
 
