@@ -40,6 +40,8 @@ SEGMENTS = 400
 SHORTEST, LONGEST = 4, 20
 #: A segment's share of a document's words that counts as notable; how much likelier it must be in toxic documents.
 NOTABLE, LIKELIER = 0.006, 6.0
+#: The share of toxic documents that a segment must be in, or be notable in.
+RARE = 0.02
 
 _TO_SPACE = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
 
@@ -121,7 +123,7 @@ def fit_texts(ordinary: list[str], toxic: list[str], shares: tuple[float, float]
         return Model(b"", b" " * WINDOW, [math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0, 0.0, 0.0])
     bags = [[words_of(t) for t in texts] for texts in (ordinary, toxic)]
     seen = [_segments(b) for b in bags]
-    least = max(3, math.ceil(0.004 * len(toxic)))
+    least = max(3, math.ceil(RARE * len(toxic)))
     ranked = []
     for segment in set(seen[1][0]):
         best = 0.0
@@ -131,9 +133,9 @@ def fit_texts(ordinary: list[str], toxic: list[str], shares: tuple[float, float]
             if a >= least and ratio >= LIKELIER:
                 best = max(best, a * math.log(ratio))
         if best and SHORTEST <= len(segment.rstrip()):
-            ranked.append((-best, segment))
+            ranked.append((-best, -len(segment), segment))
     chosen: list[bytes] = []
-    for _, segment in sorted(ranked):
+    for _, _, segment in sorted(ranked):  # the longest of equally good ones
         bare = segment.rstrip()
         if len(chosen) < SEGMENTS and not any(bare.startswith(c.rstrip()) or c.startswith(bare) for c in chosen):
             chosen.append(segment)
