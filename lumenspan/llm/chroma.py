@@ -27,20 +27,21 @@ from pyspark.sql import functions as F
 
 from lumenspan.session import ship, stored
 
-WINDOW, HOP = 1024, 256
+WINDOW, HOP = 2048, 64
 LOWEST, HIGHEST = 60.0, 1900.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 #: Frames that the widest filter covers.
-WIDTH = 12
+WIDTH = 24
 #: Log ratios between which the two bits of a filter change.
 STEPS = (-0.08, 0.0, 0.08)
-RUN, MIN_VOTES, MIN_FRAMES, MAX_ERROR = 2, 6, 24, 0.2
+RUN, MIN_VOTES, MIN_FRAMES, MAX_ERROR = 4, 4, 48, 0.2
 PRINT = "media_id long, frames array<int>"
 
 
 def filters() -> list[tuple[int, int, int, int]]:
     """(kind, first pitch class, pitch classes, frames) of the sixteen filters, by rule."""
-    return [(k % 4, 3 * k % 8, 4 + k % 5 // 2 * 2, (4, 8, WIDTH)[k % 3]) for k in range(16)]
+    rows = [4 + k % 5 // 2 * 2 for k in range(16)]
+    return [(k % 4, min(3 * k % 8, 12 - rows[k]), rows[k], (8, 16, WIDTH)[k % 3]) for k in range(16)]
 
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def test_filters_equal_plain_sums():
     rng = np.random.default_rng(0)
-    image = rng.random((40, 12))
+    image = rng.random((60, 12))
     got = chroma.packed(image).view(np.uint32)
-    assert len(got) == 40 - chroma.WIDTH + 1
+    assert len(got) == 60 - chroma.WIDTH + 1
     for t in (0, 7, len(got) - 1):
         value = 0
         for kind, low, rows, wide in chroma.filters():
@@ -56,7 +56,7 @@ def test_recall_against_all_pairs(spark):
     """Every pair that brute force aligns within MAX_ERROR at some offset with enough votes is found."""
     rng = np.random.default_rng(9)
     base = [rng.normal(0, 0.125, 40) for _ in range(12)]
-    vectors = base + [np.concatenate([rng.normal(0, 0.125, 8), b[:32]]) for b in base[:6]]
+    vectors = base + [np.concatenate([rng.normal(0, 0.125, 16), b]) for b in base[:6]]
     prints = [chroma.packed(chroma.chroma(*chroma.samples_of(chroma.tune(v)))).view(np.uint32) for v in vectors]
     want = set()
     for i, a in enumerate(prints):
@@ -64,8 +64,9 @@ def test_recall_against_all_pairs(spark):
             if i == j:
                 continue
             votes = {}
-            for x in range(len(a) - 1):
-                for y in np.flatnonzero((b[:-1] == a[x]) & (b[1:] == a[x + 1])):
+            last = len(b) - chroma.RUN + 1
+            for x in range(len(a) - chroma.RUN + 1):
+                for y in np.flatnonzero(np.logical_and.reduce([b[k : last + k] == a[x + k] for k in range(chroma.RUN)])):
                     votes[x - int(y)] = votes.get(x - int(y), 0) + 1
             if not votes or max(votes.values()) < chroma.MIN_VOTES:
                 continue
