@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lumenspan.llm.tokens import column
 from lumenspan.session import ship
 
-SAMPLE = 3000
+SAMPLE = 2000
 SAMPLE_CHARS = 50_000
 WINDOW = 100
 ORDINARY_WORDS = 3000
@@ -171,12 +171,15 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from the labelled documents outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    counts = {int(r["toxic"] > 0): r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("mark"))
+    counts = {r["mark"]: r["n"] for r in known.groupBy("mark").agg(F.count("*").alias("n")).collect()}
+    # the ids are drawn from the labels alone, so texts are read once and only the sample's move
+    drawn = [known.where(F.col("mark") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # 2 * sample ids at most
     texts: list[list[str]] = [[], []]
-    for value in (0, 1):
-        some = rows.where((F.col("toxic") > 0) == bool(value)).where(F.char_length("text") <= SAMPLE_CHARS)
-        texts[value] = [r["text"] for r in some.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(sample).collect()]
+    for r in rows.where(F.char_length("text") <= SAMPLE_CHARS).select("doc_id", "mark", "text").toLocalIterator():
+        texts[r["mark"]].append((r["doc_id"], r["text"]))
+    texts = [[t for _, t in sorted(x)] for x in texts]
     shares = tuple(counts.get(v, 0) / max(1, len(texts[v])) for v in (0, 1))
     return fit_texts(texts[0], texts[1], shares)
 
