@@ -19,7 +19,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lumenspan.session import stored
@@ -53,14 +53,24 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return kept.select("term", F.explode(F.filter(F.array(*subsets), lambda s: s.isNotNull())).alias("subset"))
 
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _id, _block, _row): rows numbered inside blocks of ids, in descending order of id and text."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    rows = rows.withColumn("_block", F.shiftright("_id", BLOCK_BITS))
+    return rows.withColumn("_row", F.row_number().over(_descending()))
+
+
+def _descending() -> WindowSpec:
+    return Window.partitionBy("_block").orderBy(F.desc("_id"), F.desc("text"))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """(_block, _row, doc_id, text, next_text, _edge) with the next document in descending doc_id order.
 
     _edge marks the last row of a block, whose next row lies in another block.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    rows = rows.withColumn("_block", F.shiftright("_id", BLOCK_BITS))
-    firsts = rows.groupBy("_block").agg(F.max(F.struct("_id", "text")).alias("_first"))
+    rows = _blocks(docs)
+    firsts = rows.drop("_row").groupBy("_block").agg(F.max(F.struct("_id", "text")).alias("_first"))
     # the block that follows in descending order: the lag inside a block of blocks, or the last one of the one before
     ids = firsts.select("_block", F.shiftright("_block", BLOCK_BITS).alias("_over"))
     ids = ids.withColumn("_to", F.lag("_block").over(Window.partitionBy("_over").orderBy("_block")))
@@ -68,8 +78,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     tops = tops.withColumn("_before", F.lag("_top").over(Window.orderBy("_over"))).withColumn("_greatest", F.max("_top").over(Window.partitionBy()))
     follows = ids.join(tops, "_over").select("_block", F.coalesce("_to", "_before", "_greatest").alias("_to"))
     handed = follows.join(firsts.select(F.col("_block").alias("_to"), F.col("_first.text").alias("_handed")), "_to").select("_block", "_handed")
-    order = Window.partitionBy("_block").orderBy(F.desc("_id"), F.desc("text"))
-    rows = rows.withColumn("_row", F.row_number().over(order)).withColumn("_next", F.lead("text").over(order))
+    rows = rows.withColumn("_next", F.lead("text").over(_descending()))
     rows = rows.join(handed, "_block")
     return rows.select("_block", "_row", "doc_id", "text", F.coalesce("_next", "_handed").alias("next_text"), F.col("_next").isNull().alias("_edge"))
 
@@ -81,20 +90,36 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def _values(rows: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """For rows (keys, which, text): _values, one number for each subset. keys hold the partitioning of rows."""
+#: Versions of a text that are hashed beside each other.
+_OWN, _EDITED, _NEXT = 0, 1, 2
+_SLOT = 128  # more than SUBSETS + 1
+
+
+def _values(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(_block, _row, _which, _values, _meta): one number for each subset, for rows(_block, _row, _which, text, _meta).
+
+    The partitioning of rows by _block serves all steps. A row without a term stands for the text itself: it
+    keeps texts without lexicon terms, carries _meta, and holds the hash of all terms for them. A group is
+    one number, (_row, _which, subset), so that what is sorted is narrow.
+    """
     small = words.count() <= BROADCAST_ROWS
     every = words.sparkSession.createDataFrame([(0, _ALL)], "term long, subset int").select(F.lit(None).cast("long").alias("term"), "subset")
-    found = rows.select(*keys, "which", F.explode(F.concat(terms(F.col("text")), F.array(F.lit(None).cast("string")))).alias("t"), F.xxhash64(F.array_sort(terms(F.col("text")))).alias("_whole"))
-    found = found.where("t IS NULL OR t <> ''").select(*keys, "which", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("term"), F.when(F.col("t").isNull(), F.col("_whole")).alias("_whole"))
+    whole = F.xxhash64(F.array_sort(terms(F.col("text"))))
+    found = rows.select("_block", (F.col("_row").cast("long") * 4 + F.col("_which")).alias("_g"), F.explode(F.concat(terms(F.col("text")), F.array(F.lit(None).cast("string")))).alias("t"), F.concat_ws("|", whole.cast("string"), "_meta").alias("_m"))
+    found = found.where("t IS NULL OR t <> ''").select("_block", "_g", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("term"), F.when(F.col("t").isNull(), F.col("_m")).alias("_m"))
     lookup = words.union(every)
-    joined = found.join(F.broadcast(lookup) if small else lookup, found["term"].eqNullSafe(lookup["term"])).select(*keys, "which", "subset", found["term"], "_whole")
-    hashed = joined.groupBy(*keys, "which", "subset").agg(F.xxhash64(F.array_sort(F.collect_set("term"))).alias("_hash"), F.max("_whole").alias("_whole"))
-    value = F.when(F.col("subset") == _ALL, F.col("_whole")).otherwise(F.col("_hash"))
-    gathered = hashed.groupBy(*keys, "which").agg(F.map_from_entries(F.collect_list(F.struct("subset", (F.pmod(value, F.lit(65535)) + 1).cast("int").alias("v")))).alias("_m"))
+    joined = found.join(F.broadcast(lookup) if small else lookup, found["term"].eqNullSafe(lookup["term"])).select("_block", (F.col("_g") * _SLOT + F.col("subset") + 1).alias("_g"), found["term"], "_m")
+    hashed = joined.groupBy("_block", "_g").agg(F.xxhash64(F.array_sort(F.collect_list("term"))).alias("_hash"), F.max("_m").alias("_m"))
+    subset, text = (F.col("_g") % _SLOT - 1).cast("int"), F.floor(F.col("_g") / _SLOT).cast("long")
+    value = F.when(subset == _ALL, F.substring_index("_m", "|", 1).cast("long")).otherwise(F.col("_hash"))
+    pair = F.struct(subset.alias("s"), (F.pmod(value, F.lit(65535)) + 1).cast("int").alias("v"))
+    gathered = hashed.groupBy("_block", text.alias("_g")).agg(F.map_from_entries(F.collect_list(pair)).alias("_map"), F.max("_m").alias("_m"))
     slots = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    spare = F.when(F.size("_m") == 1, F.element_at("_m", F.lit(_ALL))).otherwise(F.lit(0))
-    return gathered.select(*keys, "which", F.transform(slots, lambda s: F.coalesce(F.try_element_at("_m", s), spare)).alias("_values"))
+    spare = F.when(F.size("_map") == 1, F.element_at("_map", F.lit(_ALL))).otherwise(F.lit(0))
+    return gathered.select(
+        "_block", F.floor(F.col("_g") / 4).cast("long").alias("_row"), (F.col("_g") % 4).cast("int").alias("_which"),
+        F.transform(slots, lambda k: F.coalesce(F.try_element_at("_map", k), spare)).alias("_values"), F.expr("substring(_m, instr(_m, '|') + 1)").alias("_meta"),
+    )
 
 
 def shown(values: Column) -> Column:
@@ -109,26 +134,25 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id and fingerprint of every document."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.struct("doc_id", F.xxhash64("text")))
-    out = _values(rows.select("_row", F.lit("own").alias("which"), "text"), stored(lexicon(docs, low, high), "lexicon"), ["_row"])
-    return rows.select("doc_id", "_row").join(out, "_row").select("doc_id", shown(F.col("_values")).alias("fingerprint"))
+    rows = _blocks(docs).select("_block", "_row", F.lit(_OWN).alias("_which"), "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_meta"))
+    out = _values(rows, stored(lexicon(docs, low, high), "lexicon"))
+    return out.select(F.when(F.col("_meta") != "", F.col("_meta")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), shown(F.col("_values")).alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness and that to the next document."""
     words = stored(lexicon(docs, low, high), "lexicon")
     rows = neighbours(docs).withColumn("_edited", edited(F.col("text"), F.col("next_text")))
-    facts = rows.select("_block", "_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "_edge")
-    texts = F.array(
-        F.struct(F.lit("own").alias("which"), F.col("text").alias("text")), F.struct(F.lit("edited").alias("which"), F.col("_edited").alias("text")),
-        F.struct(F.when(F.col("_edge"), "next").alias("which"), F.col("next_text").alias("text")),
-    )
-    parts = rows.select("_block", "_row", F.explode(texts).alias("_t")).where("_t.which IS NOT NULL").select("_block", "_row", "_t.which", "_t.text")
-    values = _values(parts, words, ["_block", "_row"])
-    pick = lambda which: F.first(F.when(F.col("which") == which, F.col("_values")), ignorenulls=True).alias(f"_{which}")
-    prints = values.groupBy("_block", "_row").agg(pick("own"), pick("edited"), pick("next"))
+    facts = F.concat_ws("|", F.char_length("text").cast("string"), F.sha2("_edited", 256), F.col("doc_id").cast("string"))
+    version = lambda which, text, meta=F.lit(""): F.struct(which.alias("w"), F.col(text).alias("x"), meta.alias("m"))
+    texts = F.array(version(F.lit(_OWN), "text", facts), version(F.lit(_EDITED), "_edited"), version(F.when(F.col("_edge"), _NEXT), "next_text"))
+    parts = rows.select("_block", "_row", F.explode(texts).alias("_t")).where("_t.w IS NOT NULL").select("_block", "_row", F.col("_t.w").alias("_which"), F.col("_t.x").alias("text"), F.col("_t.m").alias("_meta"))
+    pick = lambda which, c: F.first(F.when(F.col("_which") == which, F.col(c)), ignorenulls=True)
+    prints = _values(parts, words).groupBy("_block", "_row").agg(
+        pick(_OWN, "_values").alias("_own"), pick(_EDITED, "_values").alias("_edited"), pick(_NEXT, "_values").alias("_next"), F.split(pick(_OWN, "_meta"), r"\|").alias("_facts"))
     prints = prints.withColumn("_next", F.coalesce("_next", F.lead("_own").over(Window.partitionBy("_block").orderBy("_row"))))
-    return prints.join(facts, ["_block", "_row"]).select(
-        "doc_id", "n_chars", "edited_sha256", shown(F.col("_own")).alias("fingerprint"), shown(F.col("_edited")).alias("edited_fingerprint"),
+    return prints.select(
+        F.get("_facts", F.lit(2)).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.get("_facts", F.lit(0)).cast("long").alias("n_chars"), F.get("_facts", F.lit(1)).alias("edited_sha256"),
+        shown(F.col("_own")).alias("fingerprint"), shown(F.col("_edited")).alias("edited_fingerprint"),
         likeness(F.col("_own"), F.col("_edited")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"),
     )
