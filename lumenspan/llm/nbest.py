@@ -36,7 +36,7 @@ from lumenspan.session import ship
 SPACE = "▁"
 #: A byte that stands for a character without a piece costs this much.
 BYTE_SCORE = -40_000.0
-CACHE = 150_000
+CACHE = 100_000
 SCHEMA = "doc_id long, n_best int, scores array<double>, ids array<binary>"
 
 
@@ -93,8 +93,8 @@ class Pieces:
                 self.pieces[piece] = (model.get_score(i), (i,))
                 begins.update(piece[:k] for k in range(1, len(piece) + 1))
         self.begins = begins
-        self.new: dict[str, Paths] = {}
-        self.old: dict[str, Paths] = {}
+        self.new: dict[str, tuple[float, tuple, float]] = {}
+        self.old: dict[str, tuple[float, tuple, float]] = {}
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces that cross words or lines need longer segments")
 
@@ -127,11 +127,17 @@ class Pieces:
         return Paths(arcs, best)
 
     def paths(self, segment: str) -> Paths:
+        return self.lattice(segment)
+
+    def summary(self, segment: str) -> tuple[float, tuple, float]:
+        """Score and ids of the best path, and what the second one loses (infinite without one); lattices aren't kept."""
         got = self.new.get(segment)
         if got is None:
             got = self.old.get(segment)
             if got is None:
-                got = self.lattice(segment)
+                paths = self.lattice(segment)
+                (score, ids), second = paths.get(0), paths.get(1)
+                got = (score, ids, float("inf") if second is None else score - second[0])
             if len(segment) <= 40:
                 self.new[segment] = got
                 if len(self.new) >= CACHE:
@@ -205,10 +211,9 @@ def encode_batch(pieces: Pieces, texts: pa.Array, n: int) -> tuple[list[list[flo
     coded = lists.flatten().dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
     names = coded.dictionary.to_pylist()
-    found = [pieces.paths(s) for s in names]
-    first = [p.get(0) for p in found]
+    first = [pieces.summary(s) for s in names]
     score = np.array([f[0] for f in first])
-    gap = np.array([f[0] - s[0] if (s := p.get(1)) is not None else np.inf for f, p in zip(first, found)])
+    gap = np.array([f[2] for f in first])
     sizes = np.array([len(f[1]) for f in first], np.int64)
     pool = np.fromiter((i for f in first for i in f[1]), np.uint16, int(sizes.sum()))
     begins = np.cumsum(sizes) - sizes
@@ -235,7 +240,7 @@ def encode_batch(pieces: Pieces, texts: pa.Array, n: int) -> tuple[list[list[flo
             near = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 64 or n == 1 else np.sort(np.argpartition(loss, n - 2)[: n - 1])
             near = near[np.argsort(loss[near], kind="stable")]
             losses = [(float(loss[k]), int(k)) for k in near if np.isfinite(loss[k])]
-            paths = {k: found[few[k]] for _, k in losses}
+            paths = {k: pieces.paths(names[few[k]]) for _, k in losses}
             best = _chain(float(score[few].sum()), losses, paths, n)
         scores.append([x for x, _ in best])
         versions = []
