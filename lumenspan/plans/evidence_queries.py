@@ -452,10 +452,10 @@ def event_rejects(spark, sf):
     return D.rejects(rows, _claims(spark, sf).where("claim_id % 10 <> 0")).select("claim_id", F.col("arrival").alias("seq"), "reason")
 
 
-@query("""SELECT date_trunc('hour', ts) AS begin, user_id AS claim_id, count(*) AS n_events, count(*) FILTER (WHERE event_type IN ('view', 'signup')) AS n_support FROM events GROUP BY 1, 2""")
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS begin, user_id AS claim_id, count(*) AS n_events, count(*) FILTER (WHERE event_type IN ('view', 'signup')) AS n_support FROM events GROUP BY 1, 2""")
 def decision_windows(spark, sf):
     """The streaming query's batch form"""
-    return windowed_decisions(_events(spark, sf))
+    return windowed_decisions(_events(spark, sf)).withColumn("begin", F.date_format("begin", "yyyy-MM-dd HH"))
 
 
 # Text rules.
