@@ -59,3 +59,17 @@ def test_rewrites_and_highlights(spark):
     got = one.select(V.humanized(F.lit("In order to utilize it, moreover, we try"), "medium").alias("m"), V.humanized(F.lit("moreover, we try"), "heavy").alias("h"), V.highlights(F.lit("A graph and GRAPHS"), F.lit("Graph"), F.lit("graph and")).alias("x")).first()
     assert got["m"] == "to use it, moreover, we try" and got["h"] == "we try"
     assert (got["x"]["head_at"], got["x"]["tail_at"]) == (3, 0)
+
+
+def test_services(spark, tmp_path):
+    from lumenspan.operators import services as S
+
+    assert S.boundary_sentences("One thing. Two by Smith et al. Three! 4 is next") == ["One thing.", "Two by Smith et al. Three!", "4 is next"]
+    got = spark.range(1).select(S.capitalised(F.lit("We use Graphs and CGCNN here. Then Networks fail")).alias("c"), S.numbers(F.lit("0.89 of 1,000 and 5%")).alias("n")).first()
+    assert got["c"] == ["cgcnn", "graph", "network"]  # We and Then begin sentences
+    assert sorted(got["n"]) == ["0.89", "1,000", "5%"]
+    rows = spark.createDataFrame([(1, '{"a": "x", "n": 1}'), (2, '{"a": 3, "n": 1}'), (3, "["), (4, '{"a": "x", "n": true}'), (5, None)], "id long, body string")
+    assert {r["id"]: r["fault"] for r in S.schema_faults(rows, {"a": "string", "n": "number"}).collect()} == {1: "", 2: "a", 3: "not JSON", 4: "n", 5: "not JSON"}
+    (tmp_path / "f.txt").write_text("abc")
+    assert [(r["size"], r["sha256"]) for r in S.inventory(spark, str(tmp_path)).collect()] == [(3, "ba7816bf8f01")]
+    assert S.receipt(rows).first() == S.receipt(rows.repartition(3)).first() != S.receipt(rows.where("id < 5")).first()
