@@ -184,14 +184,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit_texts(texts[0], texts[1], shares)
 
 
+#: The column that scores() adds.
+SCORE = "_lumenspan_toxic_score"
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with toxic_score, from the text alone."""
+    """All columns of docs and SCORE, from the text alone."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    columns = [c for c in docs.columns if c != "toxic_score"]
-    frame = docs.select(*columns)
-    schema = frame.withColumn("toxic_score", F.lit(0.0)).schema
-    place = columns.index("text")
+    schema = docs.withColumn(SCORE, F.lit(0.0)).schema
+    place = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
@@ -200,16 +202,16 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             values = [own.score(own.features(t.as_py())) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], schema.names)
 
-    return frame.mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     model = fit(docs, labels)
     out = scores(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more; all columns stay."""
-    return scores(docs, fit(docs, labels)).where("toxic_score < 0.5").drop("toxic_score")
+    return scores(docs, fit(docs, labels)).where(F.col(SCORE) < 0.5).drop(SCORE)
