@@ -288,14 +288,14 @@ def adaptation_rule(spark, sf):
     return R.adaptation(rows)
 
 
-@query("""WITH pt AS (SELECT p_partkey AS point_id, lower(trim(p_name)) AS k, CASE WHEN p_size % 9 = 0 THEN '(no domain)' ELSE p_brand END AS domain FROM part), h AS (SELECT CASE WHEN l_linenumber > 2 THEN -l_partkey ELSE l_partkey END AS point_id, l_partkey, l_suppkey AS paper_id FROM lineitem WHERE l_quantity > 49),
+@query("""WITH pt AS (SELECT p_partkey AS point_id, lower(trim(p_name)) AS k, CASE WHEN p_size % 9 = 0 THEN '(no domain)' ELSE p_brand END AS domain FROM part), h AS (SELECT CASE WHEN l_linenumber > 2 THEN -l_partkey ELSE l_partkey END AS point_id, l_partkey, l_suppkey AS paper_id FROM lineitem),
 a AS (SELECT h.point_id, paper_id FROM h JOIN pt USING (point_id) UNION ALL SELECT pt.point_id, paper_id FROM h JOIN part ON p_partkey = l_partkey JOIN pt ON pt.k = lower(trim(p_name)) WHERE h.point_id NOT IN (SELECT point_id FROM pt)), c AS (SELECT point_id, count(DISTINCT paper_id) AS n FROM a GROUP BY 1)
 SELECT domain, count(*) AS n_points, count(*) FILTER (WHERE n >= 1) AS n_loose, count(*) FILTER (WHERE n >= 2) AS n_strict, round(count(*) FILTER (WHERE n >= 1) / count(*), 6) AS loose, round(count(*) FILTER (WHERE n >= 2) / count(*), 6) AS strict FROM pt LEFT JOIN c USING (point_id) GROUP BY 1""")
 def coverage_by_domain(spark, sf):
     """Knowledge points with a paper, and with two different ones"""
     p = load(spark, sf, "part")
     points = p.select(F.col("p_partkey").alias("point_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 9 != 0, F.col("p_brand")).alias("domain"))
-    hits = load(spark, sf, "lineitem").where("l_quantity > 49").join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name")), "l_partkey")
+    hits = load(spark, sf, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name")), "l_partkey")
     hits = hits.select(F.when(F.col("l_linenumber") > 2, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("point_id"), "name", F.col("l_suppkey").alias("paper_id"))
     return R.coverage(points, hits)
 
@@ -343,20 +343,20 @@ def topic_clusters(spark, sf):
     return R.topic_clusters(_mentions(spark, sf).select("paper_id", "concept").distinct(), papers, 5)
 
 
-@query("""WITH c AS (SELECT p_brand AS s, p_type AS t, CAST(p_size % 4 AS VARCHAR) AS r FROM part WHERE p_size > 5), g AS (SELECT least(s, t) AS a, greatest(s, t) AS b, count(DISTINCT r) AS n_relations, array_to_string(list_sort(list_distinct(list(r))), '|') AS relations FROM c GROUP BY 1, 2) SELECT * FROM g WHERE n_relations > 1""")
+@query("""WITH c AS (SELECT p_brand AS s, p_type AS t, CAST(p_size % 4 AS VARCHAR) AS r FROM part), g AS (SELECT least(s, t) AS a, greatest(s, t) AS b, count(DISTINCT r) AS n_relations, array_to_string(list_sort(list_distinct(list(r))), '|') AS relations FROM c GROUP BY 1, 2) SELECT * FROM g WHERE n_relations > 1""")
 def controversies(spark, sf):
     """A28"""
-    return G.controversies(load(spark, sf, "part").where("p_size > 5").select(F.col("p_brand").alias("source"), F.col("p_type").alias("target"), (F.col("p_size") % 4).cast("string").alias("relation")))
+    return G.controversies(load(spark, sf, "part").select(F.col("p_brand").alias("source"), F.col("p_type").alias("target"), (F.col("p_size") % 4).cast("string").alias("relation")))
 
 
 # Graph.
 
 
 def _edges(spark, sf):
-    return load(spark, sf, "part").where("p_size < 5").select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), F.lit("USES").alias("type"), (F.col("p_retailprice") / 10000).alias("confidence")).groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"))
+    return load(spark, sf, "part").select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), F.lit("USES").alias("type"), (F.col("p_retailprice") / 10000).alias("confidence")).groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"))
 
 
-EDGES = "e AS (SELECT p_brand AS a, p_type AS b, max(p_retailprice / 10000) AS c FROM part WHERE p_size < 5 GROUP BY 1, 2), u AS (SELECT a, b, c FROM e UNION ALL SELECT b, a, c FROM e), s AS (SELECT min(p_brand) AS node FROM part WHERE p_size < 5)"
+EDGES = "e AS (SELECT p_brand AS a, p_type AS b, max(p_retailprice / 10000) AS c FROM part GROUP BY 1, 2), u AS (SELECT a, b, c FROM e UNION ALL SELECT b, a, c FROM e), s AS (SELECT min(p_brand) AS node FROM part)"
 
 
 @query(f"""WITH {EDGES}, one AS (SELECT DISTINCT b AS node FROM u JOIN s ON a = s.node), two AS (SELECT DISTINCT b AS node FROM u JOIN one ON a = one.node)
@@ -382,24 +382,24 @@ def node_degrees(spark, sf):
     return G.degrees(_edges(spark, sf))
 
 
-@query("""WITH l AS (SELECT o_custkey AS paper_id, 2 * l_discount AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 UNION ALL SELECT o_custkey, 0.35 FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT paper_id, sum(w) AS w FROM l GROUP BY 1)
+@query("""WITH l AS (SELECT o_custkey AS paper_id, 2 * l_discount AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT o_custkey, 0.35 FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT paper_id, sum(w) AS w FROM l GROUP BY 1)
 SELECT paper_id, round(w + 0.4 * len(list_intersect(list_distinct(regexp_split_to_array(lower(c_mktsegment), '[^a-z]+')), ['building', 'machinery'])) + 0.01 * greatest(0, 2015 + c_custkey % 12 - 2020), 6) AS score FROM b JOIN customer ON c_custkey = paper_id ORDER BY score DESC, paper_id LIMIT 5""")
 def paper_recommendation(spark, sf):
     """A17, J16"""
     o = load(spark, sf, "orders")
-    linked = load(spark, sf, "lineitem").where("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("paper_id"), F.col("l_discount").alias("confidence"))
+    linked = load(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("paper_id"), F.col("l_discount").alias("confidence"))
     papers = load(spark, sf, "customer").select(F.col("c_custkey").alias("paper_id"), F.col("c_mktsegment").alias("text"), (2015 + F.col("c_custkey") % 12).alias("year"))
     return G.recommend(linked, o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("paper_id")), papers, ["building", "machinery"])
 
 
 @query("""WITH c AS (SELECT p_partkey AS claim_id, CASE WHEN p_size = 7 THEN 'proves' ELSE 'uses' END AS relation, 0.5 + (p_partkey % 45) / 100 AS conf, p_size % 11 = 0 AS flagged, p_size % 13 = 0 AS blocked FROM part),
-e AS (SELECT l_partkey AS claim_id, count(*) AS n, count(DISTINCT l_suppkey) AS p, count(DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey END) AS a FROM lineitem WHERE l_quantity > 44 GROUP BY 1),
+e AS (SELECT l_partkey AS claim_id, count(*) AS n, count(DISTINCT l_suppkey) AS p, count(DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey END) AS a FROM lineitem GROUP BY 1),
 s AS (SELECT c.*, coalesce(n, 0) AS n, round(greatest(0, least(0.99, conf + least(0.10, 0.05 * coalesce(n, 0)) + (CASE WHEN coalesce(p, 0) >= 2 THEN 0.05 ELSE 0 END) + least(0.09, 0.03 * coalesce(a, 0)) - ((CASE WHEN coalesce(n, 0) = 0 THEN 0.45 ELSE 0 END) + (CASE WHEN relation = 'proves' THEN 0.45 ELSE 0 END) + (CASE WHEN conf < 0.7 THEN 0.08 ELSE 0 END) + (CASE WHEN flagged THEN 0.32 ELSE 0 END)))), 6)::DOUBLE AS score FROM c LEFT JOIN e USING (claim_id))
 SELECT claim_id, n AS n_evidence, score, CASE WHEN score >= 0.78 AND NOT (blocked OR relation = 'proves' OR n = 0) THEN 'accepted' WHEN score >= 0.58 AND n > 0 THEN 'needs_review' ELSE 'rejected' END AS status FROM s""")
 def judge_scores(spark, sf):
     """N16, N17"""
     claims = load(spark, sf, "part").select(F.col("p_partkey").alias("claim_id"), F.when(F.col("p_size") == 7, "proves").otherwise("uses").alias("relation"), (0.5 + (F.col("p_partkey") % 45) / 100).alias("confidence"), (F.col("p_size") % 11 == 0).alias("flagged"), (F.col("p_size") % 13 == 0).alias("blocked"))
-    spans_ = load(spark, sf, "lineitem").where("l_quantity > 44").select(F.col("l_partkey").alias("claim_id"), F.col("l_suppkey").alias("paper_id"), (F.col("l_suppkey") % 3 == 0).alias("grade_a"))
+    spans_ = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("claim_id"), F.col("l_suppkey").alias("paper_id"), (F.col("l_suppkey") % 3 == 0).alias("grade_a"))
     return D.judged(claims, spans_)
 
 

@@ -63,10 +63,10 @@ def nested_evidence(spark, sf):
     return rows.select("relation_id", F.size("evidence").cast("long").alias("n_spans"), F.array_join(F.transform("evidence", lambda e: F.concat(e["paper_id"].cast("string"), F.lit(":"), e["evidence_id"].cast("string"))), "|").alias("spans"))
 
 
-@query("""SELECT c_custkey AS paper_id, c_name AS title, c_acctbal AS balance FROM customer WHERE c_nationkey = 7 ORDER BY c_acctbal DESC, c_mktsegment, c_name, c_custkey LIMIT 100""")
+@query("""SELECT domain_id, paper_id, title, balance FROM (SELECT c_nationkey AS domain_id, c_custkey AS paper_id, c_name AS title, c_acctbal AS balance, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_mktsegment, c_name, c_custkey) AS n FROM customer) WHERE n <= 100""")
 def slice_papers(spark, sf):
-    """A domain's papers by a four-key order"""
-    return L.top(papers(spark, sf).where("domain_id = 7"), [F.desc("balance"), F.col("publisher"), F.col("title"), F.col("paper_id")], 100).select("paper_id", "title", "balance")
+    """The hundred first papers of each domain by a four-key order"""
+    return L.top(papers(spark, sf), [F.desc("balance"), F.col("publisher"), F.col("title"), F.col("paper_id")], 100, by=["domain_id"]).select("domain_id", "paper_id", "title", "balance")
 
 
 @query("""SELECT n_nationkey AS domain_id, count(DISTINCT o_custkey) AS n_members, CAST(coalesce(sum(o_orderkey % 10), 0) AS BIGINT) AS total FROM nation
@@ -115,14 +115,14 @@ def project_dashboard(spark, sf):
     return out.fillna(0).withColumnRenamed("domain_id", "project_id")
 
 
-_OLD = "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 25"
-_NEW = "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 25"
+_OLD = "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 1"
+_NEW = "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 2"
 
 
 @query(f"""SELECT coalesce(o.k, n.k) AS relation_id, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.k = n.k""")
 def version_diff(spark, sf):
     """Two versions of a relation set"""
-    rows = load(spark, sf, "lineitem").where("l_quantity > 25").withColumnRenamed("l_partkey", "relation_id")
+    rows = load(spark, sf, "lineitem").withColumnRenamed("l_partkey", "relation_id")
     return L.version_diff(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"), "relation_id")
 
 
@@ -218,7 +218,7 @@ def title_overlap_select(spark, sf):
     return L.overlap_select(rows, "part steel the 120 12", 12).select("paper_id", "year", "overlap")
 
 
-_GRAPH = "SELECT p_brand AS source, CASE p_size % 3 WHEN 0 THEN 'ADDRESSES' WHEN 1 THEN 'BENCHMARKS' ELSE 'EVALUATES_ON' END AS relation_type, CASE WHEN p_size % 3 = 2 THEN p_brand ELSE p_type END AS target, p_retailprice / 10000 AS confidence FROM part WHERE p_size < 12"
+_GRAPH = "SELECT p_brand AS source, CASE p_size % 3 WHEN 0 THEN 'ADDRESSES' WHEN 1 THEN 'BENCHMARKS' ELSE 'EVALUATES_ON' END AS relation_type, CASE WHEN p_size % 3 = 2 THEN p_brand ELSE p_type END AS target, p_retailprice / 10000 AS confidence FROM part"
 
 
 @query(f"""WITH r AS ({_GRAPH}), a AS (SELECT source AS method, target AS task, max(confidence) AS c FROM r WHERE relation_type = 'ADDRESSES' GROUP BY 1, 2), b AS (SELECT source AS dataset, target AS task, max(confidence) AS c FROM r WHERE relation_type = 'BENCHMARKS' GROUP BY 1, 2)
@@ -226,7 +226,7 @@ SELECT method, a.task, dataset, round(a.c + b.c, 6) AS score FROM a JOIN b ON a.
 def research_gaps(spark, sf):
     """Method and data set meet on a task, but were never evaluated together"""
     k = F.col("p_size") % 3
-    rows = load(spark, sf, "part").where("p_size < 12").select(F.col("p_brand").alias("source"), F.when(k == 0, "ADDRESSES").when(k == 1, "BENCHMARKS").otherwise("EVALUATES_ON").alias("relation_type"), F.when(k == 2, F.col("p_brand")).otherwise(F.col("p_type")).alias("target"), (F.col("p_retailprice") / 10000).alias("confidence"))
+    rows = load(spark, sf, "part").select(F.col("p_brand").alias("source"), F.when(k == 0, "ADDRESSES").when(k == 1, "BENCHMARKS").otherwise("EVALUATES_ON").alias("relation_type"), F.when(k == 2, F.col("p_brand")).otherwise(F.col("p_type")).alias("target"), (F.col("p_retailprice") / 10000).alias("confidence"))
     return L.gaps(rows)
 
 

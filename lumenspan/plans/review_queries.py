@@ -32,7 +32,7 @@ def mechanism_confidence(spark, sf):
     return load(spark, sf, "part").select(F.col("p_partkey").alias("claim_id"), V.mechanism_confidence([F.col("p_size") % n == 0 for n in (2, 3, 5, 7)]).alias("confidence"))
 
 
-@query("""WITH c AS (SELECT conv_id AS run_id, turn AS claim_no, list_distinct(list_filter([CAST(length(text) % 50 AS VARCHAR), CAST(turn AS VARCHAR), ''], lambda x: x <> '')) AS d, [CAST(length(text) % 50 AS VARCHAR), CAST(turn AS VARCHAR)] AS ids, length(text) % 150 / 100 AS score FROM conversations WHERE turn < 8),
+@query("""WITH c AS (SELECT conv_id AS run_id, turn AS claim_no, list_distinct(list_filter([CAST(length(text) % 50 AS VARCHAR), CAST(turn AS VARCHAR), ''], lambda x: x <> '')) AS d, [CAST(length(text) % 50 AS VARCHAR), CAST(turn AS VARCHAR)] AS ids, length(text) % 150 / 100 AS score FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 8),
 e AS (SELECT run_id, claim_no, score, list_filter(CASE WHEN ids[1] = ids[2] THEN ids[1:1] ELSE ids END, lambda x: CAST(x AS BIGINT) < 25) AS kept FROM c)
 SELECT run_id, claim_no, array_to_string(kept, '|') AS ids, round(greatest(0, least(0.99, score)), 6)::DOUBLE AS confidence, CASE WHEN len(kept) = 0 OR score < 0.5 THEN 'rejected' ELSE 'review' END AS status FROM e""")
 def live_claim_validation(spark, sf):
@@ -93,12 +93,12 @@ def entity_highlight(spark, sf):
     return load(spark, sf, "documents").select("doc_id", V.highlights(F.col("text"), F.lit("The"), F.lit("HEA")).alias("h")).select("doc_id", "h.*")
 
 
-@query("""WITH t AS (SELECT p_type AS topic, count(*) AS n, 2020 + max(p_size) % 6 AS y FROM part WHERE p_retailprice > 1000 GROUP BY 1), big AS (SELECT topic FROM t ORDER BY n DESC, topic LIMIT 8), k AS (SELECT DISTINCT least(a.p_type, b.p_type) AS a, greatest(a.p_type, b.p_type) AS b FROM part a JOIN part b ON a.p_partkey = b.p_partkey + 1 WHERE a.p_size = b.p_size)
+@query("""WITH t AS (SELECT p_type AS topic, count(*) AS n, 2020 + max(p_size) % 6 AS y FROM part GROUP BY 1), big AS (SELECT topic FROM t ORDER BY n DESC, topic LIMIT 8), k AS (SELECT DISTINCT least(a.p_type, b.p_type) AS a, greatest(a.p_type, b.p_type) AS b FROM part a JOIN part b ON a.p_partkey = b.p_partkey + 1 WHERE a.p_size = b.p_size)
 SELECT rule, gap FROM (SELECT 0 AS rule, topic AS gap FROM t WHERE n <= 2 AND y >= 2023 UNION ALL SELECT DISTINCT 1, topic FROM t JOIN part ON p_type = topic AND p_size = 13 UNION ALL SELECT 2, a.topic || ' / ' || b.topic FROM big a JOIN big b ON a.topic < b.topic WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = a.topic AND k.b = b.topic)) ORDER BY 1, 2 LIMIT 8""")
 def topic_gaps(spark, sf):
     """A29"""
     p = load(spark, sf, "part")
-    topics = p.where("p_retailprice > 1000").groupBy(F.col("p_type").alias("topic")).agg(F.count("*").alias("n_papers"), (2020 + F.max("p_size") % 6).alias("last_year"))
+    topics = p.groupBy(F.col("p_type").alias("topic")).agg(F.count("*").alias("n_papers"), (2020 + F.max("p_size") % 6).alias("last_year"))
     after = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_type").alias("b"), F.col("p_size").alias("s"))
     return V.topic_gaps(topics, p.where("p_size = 13").select(F.col("p_type").alias("topic")), p.join(after, "p_partkey").where("p_size = s").select(F.col("p_type").alias("a"), "b"))
 
@@ -187,10 +187,11 @@ def paper_matrix(spark, sf):
     return load(spark, sf, "customer").select(F.col("c_custkey").alias("paper_id")).join(o, "paper_id", "left").fillna(0)
 
 
-@query("""SELECT l_partkey AS relation_id, o_orderkey AS evidence_id, o_custkey AS paper_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 3""")
+@query("""SELECT l_partkey AS relation_id, o_orderkey AS evidence_id, o_custkey AS paper_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""")
 def project_bundle(spark, sf):
     """Spans of the selected papers' relations; a shared span stays once for each relation"""
-    o = load(spark, sf, "orders").where("o_custkey % 10 = 3")
+    chosen = load(spark, sf, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))  # the project's papers
+    o = load(spark, sf, "orders").join(chosen, "o_custkey", "left_semi")
     return load(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("relation_id"), F.col("o_orderkey").alias("evidence_id"), F.col("o_custkey").alias("paper_id"))
 
 

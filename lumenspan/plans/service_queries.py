@@ -37,12 +37,12 @@ def labels_by_id_or_place(spark, sf):
     return V.labels_for(o.select(k.alias("path_id"), k.alias("position")), named.unionByName(placed))
 
 
-@query("""SELECT p_partkey AS relation_id, p_brand AS source FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 4 = 1) AND p_size >= 10 ORDER BY p_partkey LIMIT 4000""")
+@query("""SELECT p_partkey AS relation_id, p_brand AS source FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3) AND p_size >= 10 ORDER BY p_partkey LIMIT 4000""")
 def import_from_store(spark, sf):
     """J19"""
     p = load(spark, sf, "part").select(F.col("p_partkey").alias("relation_id"), F.col("p_brand").alias("source"), "p_size")
     links = load(spark, sf, "lineitem").join(load(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("relation_id"), F.col("o_custkey").alias("paper_id"))
-    papers = load(spark, sf, "customer").where("c_custkey % 4 = 1").select(F.col("c_custkey").alias("paper_id"))
+    papers = load(spark, sf, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("paper_id"))
     return V.imported(p.where("p_size < 10").select("relation_id"), p.select("relation_id", "source"), links, papers, 4000)
 
 
