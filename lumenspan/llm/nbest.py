@@ -36,7 +36,8 @@ from lumenspan.session import ship
 SPACE = "▁"
 #: A byte that stands for a character without a piece costs this much.
 BYTE_SCORE = -40_000.0
-CACHE = 100_000
+CACHE = 200_000
+SLICE = 4 << 20
 SCHEMA = "doc_id long, n_best int, scores array<double>, ids array<binary>"
 
 
@@ -52,19 +53,27 @@ class Paths:
     def get(self, k: int) -> tuple[float, tuple] | None:
         """(score, ids) of the k-th best segmentation."""
         heap, arcs, best = self.heap, self.arcs, self.best
+        push, pop = heapq.heappush, heapq.heappop
         while len(self.found) <= k and heap:
-            total, _, at, after, path = heapq.heappop(heap)
-            if at == 0:
-                ids: list[int] = []
-                while path:
-                    ids += path[0]
-                    path = path[1]
-                self.found.append((-total, tuple(ids)))
-                continue
-            for begin, score, ids in arcs[at]:
-                self.count += 1
-                behind = after + score
-                heapq.heappush(heap, (-(behind + best[begin]), self.count, begin, behind, (ids, path)))
+            total, _, at, after, path = pop(heap)
+            # the arc that keeps the estimate would be popped next, so it is followed at once
+            while at:
+                now, on = best[at], None
+                for begin, score, ids in arcs[at]:
+                    value = score + best[begin]
+                    if on is None and value == now:
+                        on = begin, score, ids
+                    else:
+                        self.count += 1
+                        push(heap, (-(after + value), self.count, begin, after + score, (ids, path)))
+                at, score, ids = on
+                after += score
+                path = (ids, path)
+            out: list[int] = []
+            while path:
+                out += path[0]
+                path = path[1]
+            self.found.append((-total, tuple(out)))
         return self.found[k] if k < len(self.found) else None
 
 
@@ -92,7 +101,8 @@ class Pieces:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
                 self.pieces[piece] = (model.get_score(i), (i,))
                 begins.update(piece[:k] for k in range(1, len(piece) + 1))
-        self.begins = begins
+        # beginnings of pieces that are no pieces themselves
+        self.table: dict[str, tuple[float, tuple] | None] = dict.fromkeys(begins) | self.pieces
         self.new: dict[str, tuple[float, tuple, float]] = {}
         self.old: dict[str, tuple[float, tuple, float]] = {}
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.pieces):
@@ -102,22 +112,22 @@ class Pieces:
         n = len(text)
         arcs: list[list[tuple[int, float, tuple]]] = [[] for _ in range(n + 1)]
         best = [0.0] + [-1e300] * n
-        pieces, begins = self.pieces, self.begins
+        table = self.table
         for i in range(n):
-            here, j, single = best[i], i + 1, False
-            while j <= n:
+            here, single = best[i], False
+            for j in range(i + 1, n + 1):
                 part = text[i:j]
-                got = pieces.get(part)
-                if got is not None:
+                got = table.get(part, 0)
+                if got:
                     score, ids = got
                     arcs[j].append((i, score, ids))
-                    if here + score > best[j]:
-                        best[j] = here + score
+                    value = here + score
+                    if value > best[j]:
+                        best[j] = value
                     if j == i + 1:
                         single = True
-                elif part not in begins:
+                elif got == 0:
                     break
-                j += 1
             if not single:
                 ids = tuple(self.byte_ids[b] for b in text[i].encode())
                 score = BYTE_SCORE * len(ids)
@@ -263,7 +273,7 @@ def segmentations(docs: DataFrame, n: int = 3, path: str | None = None) -> DataF
         pieces = model(path)
         for batch in batches:
             texts, keys = column(batch, "text"), batch.column(0)
-            for a, b in slices(texts, 2 << 20):
+            for a, b in slices(texts, SLICE):
                 scores, ids = encode_batch(pieces, texts.slice(a, b - a), n)
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(a, b - a), pa.array([len(s) for s in scores], pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array([[x.astype("<u4").tobytes() for x in v] for v in ids], pa.list_(pa.binary()))],
@@ -273,25 +283,35 @@ def segmentations(docs: DataFrame, n: int = 3, path: str | None = None) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, SCHEMA)
 
 
-def digests(segmented: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document: pieces and score of the best, scores of all, CRC32 of each version's ids, CRC32 of the decoded text, and whether all versions decode to it."""
+def digests(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
+    """The segmentations of every whole text, in numbers: pieces of the best, scores of all, CRC32 of each one's ids, CRC32 of the text that the best decodes to, and whether all decode to it.
+
+    Ids are digested where they are made, since they are larger than the texts. Ids that two segmentations
+    share at their beginning and end decode alike, so what differs in between decides.
+    """
     path = path or tokenizer_path("piece_bpe_32k.model")
-    ship(segmented.sparkSession)
+    ship(docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            n, crc, text, same = [], [], [], []
-            for versions in batch.column(3):
-                raw = [v.as_py() for v in versions]
-                decoded = [zlib.crc32(pieces.decode(np.frombuffer(v, "<u4"))) for v in raw]
-                n.append(len(raw[0]) // 4)
-                crc.append([zlib.crc32(v) for v in raw])
-                text.append(decoded[0])
-                same.append(all(d == decoded[0] for d in decoded))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), batch.column(2), pa.array(crc, pa.list_(pa.int64())), pa.array(text, pa.int64()), pa.array(same)],
-                ["doc_id", "n_pieces", "scores", "ids_crc32", "text_crc32", "all_decode"],
-            )
-
-    return segmented.mapInArrow(read, "doc_id long, n_pieces long, scores array<double>, ids_crc32 array<long>, text_crc32 long, all_decode boolean")
+            texts, keys = column(batch, "text"), batch.column(0)
+            for a, b in slices(texts, SLICE):
+                scores, ids = encode_batch(pieces, texts.slice(a, b - a), n)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(a, b - a), pa.array([len(v[0]) for v in ids], pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array([[zlib.crc32(x.astype("<u4").tobytes()) for x in v] for v in ids], pa.list_(pa.int64())),
+                     pa.array([zlib.crc32(pieces.decode(v[0])) for v in ids], pa.int64()), pa.array([all(_decode_alike(pieces, v[0], x) for x in v[1:]) for v in ids])],
+                    ["doc_id", "n_pieces", "scores", "ids_crc32", "text_crc32", "all_decode"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, n_pieces long, scores array<double>, ids_crc32 array<long>, text_crc32 long, all_decode boolean")
+
+
+def _decode_alike(pieces: Pieces, one: np.ndarray, two: np.ndarray) -> bool:
+    n = min(len(one), len(two))
+    differ = np.flatnonzero(one[:n] != two[:n])
+    first = int(differ[0]) if len(differ) else n
+    back = np.flatnonzero(one[::-1][: n - first] != two[::-1][: n - first])
+    last = int(back[0]) if len(back) else n - first
+    raw = [b"".join(map(pieces.bytes_of.__getitem__, x[first : len(x) - last].tolist())) for x in (one, two)]
+    return raw[0] == raw[1]

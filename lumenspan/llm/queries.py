@@ -70,7 +70,7 @@ def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best segmentations of every document, and what they decode to."""
     from lumenspan.llm import nbest
 
-    return nbest.digests(nbest.segmentations(load(spark, sf_dir, "documents"), n=3))
+    return nbest.digests(load(spark, sf_dir, "documents"), n=3)
 
 
 def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,11 +59,19 @@ def test_batches_equal_single_texts(spark, sf, pieces):
 def test_documents_decode(spark, sf, odd_docs, no_docs):
     import zlib
 
+    model = nbest.model(tokenizer_path("piece_bpe_32k.model"))
     for docs in (load(spark, sf, "documents"), odd_docs):
         texts = {r["doc_id"]: (r["text"] or "") for r in docs.collect()}
-        got = nbest.digests(nbest.segmentations(docs)).collect()
+        got = nbest.digests(docs).collect()
         assert len(got) == len(texts)
         for r in got:
             assert r["all_decode"] and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
             assert r["scores"] == sorted(r["scores"], reverse=True) and len(set(r["ids_crc32"])) == len(r["scores"])
-    assert nbest.digests(nbest.segmentations(no_docs)).count() == 0
+        whole = {r["doc_id"]: r for r in nbest.segmentations(docs).collect()}
+        for r in got:
+            own = whole[r["doc_id"]]
+            assert own["scores"] == r["scores"] and [zlib.crc32(bytes(x)) for x in own["ids"]] == r["ids_crc32"]
+            decoded = {model.decode(np.frombuffer(bytes(x), "<u4")) for x in own["ids"]}
+            assert decoded == {texts[r["doc_id"]].encode()}
+    assert nbest.digests(no_docs).count() == 0
+    assert nbest.segmentations(no_docs).count() == 0
