@@ -36,7 +36,7 @@ from lumenspan.session import ship
 SPACE = "▁"
 #: A byte that stands for a character without a piece costs this much.
 BYTE_SCORE = -40_000.0
-CACHE = 200_000
+CACHE = 300_000
 SLICE = 4 << 20
 SCHEMA = "doc_id long, n_best int, scores array<double>, ids array<binary>"
 
