@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import packing, simhash, suffixes, toxicity
+from lumenspan.llm import nearcopies, packing, suffixes, toxicity
 from lumenspan.session import load, stored
 
 ORACLE_SQL = None
@@ -25,8 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates (texts without words are one component)."""
-    classes = simhash.near_duplicates(docs).where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """The document with the smallest id of each component of near copies (five-word shingles, Jaccard 0.8; texts without words are one component)."""
+    rows, _ = suffixes.keyed(docs)
+    heads = nearcopies.near_copies(rows, suffixes.KEY).where("key = component").select(F.col("key").alias(suffixes.KEY))
+    classes = rows.join(heads, suffixes.KEY, "left_semi").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(classes, docs["doc_id"].eqNullSafe(classes["_kept"]), "left_semi")
 
 
