@@ -5,7 +5,8 @@ size by (terms in an average document) / LOW, whatever the number of documents.
 random into subsets of three densities, so that texts of any length have subsets that hold a few of their
 terms. A fingerprint has one value for each subset: the hash of the sorted distinct terms of the text in
 it (0000: none). Likeness is the share of equal values among the subsets that either text has terms in;
-texts without any lexicon term are hashed by all of their terms, in every subset.
+texts without any lexicon term are hashed by all of their terms, anew for every subset, so that the values
+together tell such texts apart by 64 bits.
 
 Terms are runs of letters and digits in lower case, kept as 64-bit hashes.
 
@@ -111,14 +112,14 @@ def _values(rows: DataFrame, words: DataFrame) -> DataFrame:
     joined = found.join(F.broadcast(lookup) if small else lookup, found["term"].eqNullSafe(lookup["term"])).select("_block", (F.col("_g") * _SLOT + F.col("subset") + 1).alias("_g"), found["term"], "_m")
     hashed = joined.groupBy("_block", "_g").agg(F.xxhash64(F.array_sort(F.collect_list("term"))).alias("_hash"), F.max("_m").alias("_m"))
     subset, text = (F.col("_g") % _SLOT - 1).cast("int"), F.floor(F.col("_g") / _SLOT).cast("long")
-    value = F.when(subset == _ALL, F.substring_index("_m", "|", 1).cast("long")).otherwise(F.col("_hash"))
-    pair = F.struct(subset.alias("s"), (F.pmod(value, F.lit(65535)) + 1).cast("int").alias("v"))
+    digits = lambda value: (F.pmod(value, F.lit(65535)) + 1).cast("int")
+    pair = F.struct(subset.alias("s"), digits(F.col("_hash")).alias("v"))
     gathered = hashed.groupBy("_block", text.alias("_g")).agg(F.map_from_entries(F.collect_list(pair)).alias("_map"), F.max("_m").alias("_m"))
     slots = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    spare = F.when(F.size("_map") == 1, F.element_at("_map", F.lit(_ALL))).otherwise(F.lit(0))
+    alone, whole = F.size("_map") == 1, F.substring_index("_m", "|", 1).cast("long")
     return gathered.select(
         "_block", F.floor(F.col("_g") / 4).cast("long").alias("_row"), (F.col("_g") % 4).cast("int").alias("_which"),
-        F.transform(slots, lambda k: F.coalesce(F.try_element_at("_map", k), spare)).alias("_values"), F.expr("substring(_m, instr(_m, '|') + 1)").alias("_meta"),
+        F.transform(slots, lambda k: F.coalesce(F.try_element_at("_map", k), F.when(alone, digits(F.xxhash64(whole, k))).otherwise(F.lit(0)))).alias("_values"), F.expr("substring(_m, instr(_m, '|') + 1)").alias("_meta"),
     )
 
 

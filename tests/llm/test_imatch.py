@@ -80,6 +80,13 @@ def test_equal_texts_and_repeated_ids(spark):
     assert {(r["doc_id"], r["fingerprint"]) for r in imatch.fingerprints(docs).collect()} == {(r["doc_id"], r["fingerprint"]) for r in got}
 
 
+def test_texts_without_lexicon_terms_differ(spark):
+    """At 16 bits, 2,000 such texts gave about 30 pairs of equal fingerprints."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("left"), "id", F.lit(" right"), "id").alias("text"))
+    assert imatch.lexicon(docs).count() == 0
+    assert imatch.fingerprints(docs).select("fingerprint").distinct().count() == 2000
+
+
 def test_main_path_runs_no_python(spark, sf):
     plan = imatch.edited_fingerprints(load(spark, sf, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
