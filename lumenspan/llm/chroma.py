@@ -3,8 +3,9 @@
 Frames of a recording become twelve pitch classes, smoothed over time and brought to unit length. Sixteen
 filters, each the log ratio of two areas of the pitch-class image taken from its integral image, give two
 bits each: one packed integer for each place in time. Recordings with equal fingerprints are one class.
-Runs of RUN equal integers vote for an offset between two recordings; the histogram's highest offset with
-MIN_VOTES or more is checked by the share of differing bits where the two overlap.
+Runs of RUN equal integers vote for an offset between two recordings; every offset with MIN_VOTES or more is
+checked by the share of differing bits where the two overlap, and of those that pass the one with most votes
+stays (pauses and sustained notes pile votes on wrong offsets).
 
 Votes are looked up by a join on the runs, so no recording is compared with all others; classes keep large
 groups of copies from meeting each other.
@@ -166,15 +167,21 @@ def search(media: DataFrame, asked: Column) -> DataFrame:
         .join(runs.select(F.col("class_id").alias("match_id"), "place", "run"), "run").where("query_id <> match_id")
         .groupBy("query_id", "match_id", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
         .where(F.col("votes") >= MIN_VOTES)
-        .groupBy("query_id", "match_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("best"))
-        .select("query_id", "match_id", "best.votes", "best.offset")
+        .groupBy("query_id", "match_id").agg(F.collect_list(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("offsets"))
     )
     own, other = classes.select(F.col("class_id").alias("query_id"), F.col("frames").alias("_q")), classes.select(F.col("class_id").alias("match_id"), F.col("frames").alias("_m"))
-    pairs = found.join(own, "query_id").join(other, "match_id")
-    begin, end = F.greatest(F.lit(0), F.col("offset")), F.least(F.size("_q"), F.size("_m") + F.col("offset"))
-    pairs = pairs.withColumn("overlap", (end - begin).cast("long")).where(F.col("overlap") >= MIN_FRAMES)
-    differ = F.aggregate(F.zip_with(F.slice("_q", begin + 1, end - begin), F.slice("_m", begin - F.col("offset") + 1, end - begin), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    pairs = pairs.withColumn("bit_error", differ / (32 * F.col("overlap"))).where(F.col("bit_error") <= MAX_ERROR)
+
+    def measured(o: Column) -> Column:
+        begin = F.greatest(F.lit(0), o["offset"])
+        overlap = F.greatest(F.lit(0), F.least(F.size("_q"), F.size("_m") + o["offset"]) - begin)
+        # as longs: bit_count of a negative int counts its sign 33 times
+        bits = F.zip_with(F.slice("_q", begin + 1, overlap), F.slice("_m", begin - o["offset"] + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(0xFFFFFFFF)).cast("long"))
+        differ = F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.struct(o["votes"].alias("votes"), o["near"].alias("near"), o["offset"].alias("offset"), overlap.cast("long").alias("overlap"), (differ / F.greatest(F.lit(1), 32 * overlap)).alias("bit_error"))
+
+    tried = F.filter(F.transform("offsets", measured), lambda o: (o["overlap"] >= MIN_FRAMES) & (o["bit_error"] <= MAX_ERROR))
+    pairs = found.join(own, "query_id").join(other, "match_id").select("query_id", "match_id", F.array_max(tried).alias("best")).where("best IS NOT NULL")
+    pairs = pairs.select("query_id", "match_id", "best.offset", "best.votes", "best.overlap", "best.bit_error")
     # the class id is one of its members' ids: that row carries the matches (the first of its rows, if ids repeat)
     rows = prints.join(classes.select("frames", "class_id"), "frames", "left").select("media_id", "class_id", F.size("frames").cast("long").alias("n_frames"), "asked")
     matches = pairs.select(F.col("query_id").alias("_id"), "match_id", "offset", "votes", "overlap", "bit_error")

@@ -78,3 +78,17 @@ def test_recall_against_all_pairs(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     got = {(r["media_id"], r["match_id"], r["offset"]) for r in chroma.search(chroma.rendered(rows, "vec_id", "embedding"), F.lit(True)).collect() if r["match_id"] is not None}
     assert got == want and len(want) >= 6
+
+
+def test_offset_with_fewer_votes_is_checked(spark, monkeypatch):
+    """A shared pause gives most votes to an offset that fails; the common passage lies at another."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    pause, passage = np.full(60, 7, np.uint32), noise(120)
+    rough = passage ^ np.where(np.arange(120) % 12 < 10, np.uint32(1 << 5 | 1 << 20), np.uint32(0))
+    prints = {1: np.concatenate([pause, passage]), 2: np.concatenate([pause, noise(30), rough])}
+    rows = spark.createDataFrame([(k, v.view(np.int32).tolist()) for k, v in prints.items()], chroma.PRINT)
+    monkeypatch.setattr(chroma, "fingerprints", lambda media: media)
+    got = [r for r in chroma.search(rows, F.col("media_id") == 1).collect() if r["match_id"] is not None]
+    assert [(r["match_id"], r["offset"], r["overlap"]) for r in got] == [(2, -30, 180)]
+    assert got[0]["votes"] < 60 - chroma.RUN + 1 and got[0]["bit_error"] < 0.15
