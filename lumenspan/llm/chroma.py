@@ -35,7 +35,7 @@ SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 WIDTH = 24
 #: Log ratios between which the two bits of a filter change.
 STEPS = (-0.08, 0.0, 0.08)
-RUN, MIN_VOTES, MIN_FRAMES, MAX_ERROR = 4, 4, 48, 0.2
+RUN, MIN_VOTES, MIN_FRAMES, MAX_ERROR = 1, 4, 48, 0.2
 PRINT = "media_id long, frames array<int>"
 
 
@@ -169,7 +169,7 @@ def search(media: DataFrame, asked: Column) -> DataFrame:
         .where(F.col("votes") >= MIN_VOTES)
         .groupBy("query_id", "match_id").agg(F.collect_list(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("offsets"))
     )
-    own, other = classes.select(F.col("class_id").alias("query_id"), F.col("frames").alias("_q")), classes.select(F.col("class_id").alias("match_id"), F.col("frames").alias("_m"))
+    own, other = classes.where("asked").select(F.col("class_id").alias("query_id"), F.col("frames").alias("_q")), classes.select(F.col("class_id").alias("match_id"), F.col("frames").alias("_m"))
 
     def measured(o: Column) -> Column:
         begin = F.greatest(F.lit(0), o["offset"])
@@ -180,7 +180,7 @@ def search(media: DataFrame, asked: Column) -> DataFrame:
         return F.struct(o["votes"].alias("votes"), o["near"].alias("near"), o["offset"].alias("offset"), overlap.cast("long").alias("overlap"), (differ / F.greatest(F.lit(1), 32 * overlap)).alias("bit_error"))
 
     tried = F.filter(F.transform("offsets", measured), lambda o: (o["overlap"] >= MIN_FRAMES) & (o["bit_error"] <= MAX_ERROR))
-    pairs = found.join(own, "query_id").join(other, "match_id").select("query_id", "match_id", F.array_max(tried).alias("best")).where("best IS NOT NULL")
+    pairs = found.join(other, "match_id").join(own, "query_id").select("query_id", "match_id", F.array_max(tried).alias("best")).where("best IS NOT NULL")
     pairs = pairs.select("query_id", "match_id", "best.offset", "best.votes", "best.overlap", "best.bit_error")
     # the class id is one of its members' ids: that row carries the matches (the first of its rows, if ids repeat)
     rows = prints.join(classes.select("frames", "class_id"), "frames", "left").select("media_id", "class_id", F.size("frames").cast("long").alias("n_frames"), "asked")

@@ -92,3 +92,21 @@ def test_offset_with_fewer_votes_is_checked(spark, monkeypatch):
     got = [r for r in chroma.search(rows, F.col("media_id") == 1).collect() if r["match_id"] is not None]
     assert [(r["match_id"], r["offset"], r["overlap"]) for r in got] == [(2, -30, 180)]
     assert got[0]["votes"] < 60 - chroma.RUN + 1 and got[0]["bit_error"] < 0.15
+
+
+def test_noisy_copies_against_bit_error_alone(spark, monkeypatch):
+    """Copies at 5 to 10 percent bit error, which runs of four equal integers mostly miss; brute force over all offsets asks for no votes."""
+    rng = np.random.default_rng(1)
+    prints, want = {}, set()
+    for k in range(12):
+        sound, rate = chroma.samples_of(chroma.tune(rng.normal(0, 0.125, 40)))
+        a, b = (chroma.packed(chroma.chroma(x, rate)).view(np.uint32) for x in (sound, sound + rng.normal(0, 0.3, len(sound))))
+        prints[k], prints[100 + k] = a, b
+        for offset in range(-len(b) + chroma.MIN_FRAMES, len(a) - chroma.MIN_FRAMES + 1):
+            low, high = max(0, offset), min(len(a), len(b) + offset)
+            if high - low >= chroma.MIN_FRAMES and np.bitwise_count(a[low:high] ^ b[low - offset : high - offset]).mean() / 32 <= chroma.MAX_ERROR:
+                want.add((k, 100 + k))
+    rows = spark.createDataFrame([(k, v.view(np.int32).tolist()) for k, v in prints.items()], chroma.PRINT)
+    monkeypatch.setattr(chroma, "fingerprints", lambda media: media)
+    got = {(r["media_id"], r["match_id"]) for r in chroma.search(rows, F.col("media_id") < 100).collect()}
+    assert len(want) == 12 and want <= got
