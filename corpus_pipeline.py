@@ -25,11 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies (five-word shingles, Jaccard 0.8; texts without words are one component)."""
+    """One row of each component of near copies (five-word shingles, Jaccard 0.8; texts without words are one component).
+
+    It is the one with the smallest id; null ids come last, and the smallest text comes first among equal ids.
+    """
     rows, _ = suffixes.keyed(docs)
     heads = nearcopies.near_copies(rows, suffixes.KEY).where("key = component").select(F.col("key").alias(suffixes.KEY))
-    classes = rows.join(heads, suffixes.KEY, "left_semi").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(classes, docs["doc_id"].eqNullSafe(classes["_kept"]), "left_semi")
+    return rows.join(heads, suffixes.KEY, "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,12 @@ def test_stage(spark, sf, no_docs):
     docs = load(spark, sf, "documents")
     heads = slow_heads({r["doc_id"]: r["text"] for r in docs.collect()})
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()) == sorted(set(heads.values()))
+
+
+def test_stage_on_repeated_and_null_ids(spark, sf):
+    """One row of each component stays, whatever its id."""
+    columns = load(spark, sf, "documents").columns
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "another text of six words"), (None, "p q r s t u"), (None, "p q r s t u"), (None, "a b c d e f"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.char_length("text").cast("long").alias("n_chars")).select(*columns)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()))
+    assert got == [(0, "alone"), (0, "p q r s t u"), (1, "a b c d e f"), (1, "another text of six words")]
