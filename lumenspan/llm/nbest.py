@@ -6,15 +6,16 @@ each node the best score of any way to it. A backward search from the end then p
 order of (score so far + that best score); as the estimate is exact, complete paths come out best first.
 
 No piece crosses from a character to a following space mark, nor holds a line end, so the lattice is a
-chain of segments. A segment's paths are searched once for each distinct segment of a batch, as far as
-they are asked for; the same search over the chain, whose arcs are the segments' paths, gives the best
-segmentations of the whole text.
+chain of segments. One forward pass for each distinct segment of a batch gives its best path and what the
+second one loses. A segmentation that differs in a segment loses at least that, so of the n best only the
+n - 1 segments that lose least can differ: their part of the lattice is searched, the rest keeps its best path.
 
 Scores are those of the model file. Paths of equal score come in the order of the search, which depends
 on the text alone.
 
 Defined cases: null and empty texts have one segmentation, without pieces; fewer than n paths give fewer;
-rows with equal ids each get a row; an empty table gives no rows; extra columns are ignored.
+rows with equal ids each get a row; an empty table gives no rows; extra columns are ignored. A batch of
+about SLICE bytes, or one longer text, is in a worker's memory at once.
 """
 
 from __future__ import annotations
@@ -37,24 +38,31 @@ SPACE = "▁"
 #: A byte that stands for a character without a piece costs this much.
 BYTE_SCORE = -40_000.0
 CACHE = 300_000
+#: Lattices of short segments that are kept.
+NEAR = 5_000
 SLICE = 4 << 20
 SCHEMA = "doc_id long, n_best int, scores array<double>, ids array<binary>"
 
 
-class Paths:
-    """The segmentations of one segment, best first, found as they are asked for."""
+class Lattice:
+    """Nodes at the characters of some text, the arcs into each, and the best score of any way to it."""
 
-    __slots__ = ("arcs", "best", "heap", "found", "count")
+    __slots__ = ("arcs", "best")
 
     def __init__(self, arcs: list[list[tuple[int, float, tuple]]], best: list[float]):
-        self.arcs, self.best, self.found, self.count = arcs, best, [], 0
-        self.heap = [(-best[-1], 0, len(best) - 1, 0.0, ())]
+        self.arcs, self.best = arcs, best
 
-    def get(self, k: int) -> tuple[float, tuple] | None:
-        """(score, ids) of the k-th best segmentation."""
-        heap, arcs, best = self.heap, self.arcs, self.best
+    def search(self, n: int) -> list[tuple[float, list[tuple[int, tuple]]]]:
+        """The n best paths as (score, [(node where an arc begins, its ids)]), by backward A*.
+
+        Partial paths from the end are popped in the order of (score so far + best score to where they stand).
+        """
+        arcs, best = self.arcs, self.best
         push, pop = heapq.heappush, heapq.heappop
-        while len(self.found) <= k and heap:
+        found: list[tuple[float, list]] = []
+        heap: list[tuple] = [(-best[-1], 0, len(best) - 1, 0.0, None)]
+        count = 0
+        while heap and len(found) < n:
             total, _, at, after, path = pop(heap)
             # the arc that keeps the estimate would be popped next, so it is followed at once
             while at:
@@ -64,17 +72,32 @@ class Paths:
                     if on is None and value == now:
                         on = begin, score, ids
                     else:
-                        self.count += 1
-                        push(heap, (-(after + value), self.count, begin, after + score, (ids, path)))
+                        count += 1
+                        push(heap, (-(after + value), count, begin, after + score, (begin, ids, path)))
                 at, score, ids = on
                 after += score
-                path = (ids, path)
-            out: list[int] = []
+                path = (at, ids, path)
+            steps = []
             while path:
-                out += path[0]
-                path = path[1]
-            self.found.append((-total, tuple(out)))
-        return self.found[k] if k < len(self.found) else None
+                steps.append(path[:2])
+                path = path[2]
+            found.append((-total, steps))
+        return found
+
+
+def joined(lattices: list[Lattice]) -> Lattice:
+    """The lattice of texts one after another, where no piece crosses from one to the next."""
+    if len(lattices) == 1:
+        return lattices[0]
+    arcs, best = [[]], [0.0]
+    for part in lattices:
+        at, score = len(best) - 1, best[-1]
+        arcs += [[(at + begin, s, ids) for begin, s, ids in into] for into in part.arcs[1:]]
+        best += [score + b for b in part.best[1:]]
+    # sums are taken anew along the arcs, so that a best arc keeps the estimate to the last bit
+    for node in range(1, len(best)):
+        best[node] = max(s + best[begin] for begin, s, _ in arcs[node])
+    return Lattice(arcs, best)
 
 
 class Pieces:
@@ -88,7 +111,9 @@ class Pieces:
         self.bytes_of: list[bytes] = []
         self.pieces: dict[str, tuple[float, tuple]] = {}
         self.byte_ids = [0] * 256
-        begins: set[str] = set()
+        self.dtype = np.uint16 if n <= 65536 else np.uint32
+        # a node of the trie is [what follows by character, (score, ids) of the piece that ends here]
+        self.trie: list = [{}, None]
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -100,72 +125,126 @@ class Pieces:
             else:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
                 self.pieces[piece] = (model.get_score(i), (i,))
-                begins.update(piece[:k] for k in range(1, len(piece) + 1))
-        # beginnings of pieces that are no pieces themselves
-        self.table: dict[str, tuple[float, tuple] | None] = dict.fromkeys(begins) | self.pieces
+                node = self.trie
+                for c in piece:
+                    node = node[0].setdefault(c, [{}, None])
+                node[1] = self.pieces[piece]
         self.new: dict[str, tuple[float, tuple, float]] = {}
         self.old: dict[str, tuple[float, tuple, float]] = {}
+        self.near: dict[str, Lattice] = {}
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces that cross words or lines need longer segments")
 
-    def lattice(self, text: str) -> Paths:
+    def bytes_arc(self, character: str) -> tuple[float, tuple]:
+        """Score and ids of a character that no piece spells."""
+        ids = tuple(self.byte_ids[b] for b in character.encode())
+        return BYTE_SCORE * len(ids), ids
+
+    def lattice(self, text: str) -> Lattice:
+        """The lattice of a segment; those of short segments are kept, for words that lose little come up often."""
+        got = self.near.get(text)
+        if got is not None:
+            return got
         n = len(text)
         arcs: list[list[tuple[int, float, tuple]]] = [[] for _ in range(n + 1)]
         best = [0.0] + [-1e300] * n
-        table = self.table
         for i in range(n):
-            here, single = best[i], False
+            here, node = best[i], self.trie
+            for j in range(i, n):
+                node = node[0].get(text[j])
+                if node is None:
+                    break
+                if node[1]:
+                    score, ids = node[1]
+                    arcs[j + 1].append((i, score, ids))
+                    best[j + 1] = max(best[j + 1], here + score)
+            if not arcs[i + 1] or arcs[i + 1][-1][0] != i:
+                score, ids = self.bytes_arc(text[i])
+                arcs[i + 1].append((i, score, ids))
+                best[i + 1] = max(best[i + 1], here + score)
+        got = Lattice(arcs, best)
+        if n <= 40:
+            if len(self.near) >= NEAR:
+                self.near = {}
+            self.near[text] = got
+        return got
+
+    def viterbi(self, text: str) -> tuple[float, tuple, float]:
+        """Score and ids of a segment's best path, and what its second one loses (infinite without one), in one forward pass."""
+        n = len(text)
+        none = -1e300
+        best, second = [0.0] + [none] * n, [none] * (n + 1)
+        back: list = [None] * (n + 1)
+        trie = self.trie[0]
+        for i in range(n):
+            here, other, step = best[i], second[i], trie
+            single = False
             for j in range(i + 1, n + 1):
-                part = text[i:j]
-                got = table.get(part, 0)
-                if got:
-                    score, ids = got
-                    arcs[j].append((i, score, ids))
-                    value = here + score
+                node = step.get(text[j - 1])
+                if node is None:
+                    break
+                step, piece = node
+                if piece:
+                    value = here + piece[0]
                     if value > best[j]:
+                        second[j] = max(best[j], other + piece[0])
                         best[j] = value
+                        back[j] = i, piece[1]
+                    elif value > second[j]:
+                        second[j] = value
                     if j == i + 1:
                         single = True
-                elif got == 0:
-                    break
             if not single:
-                ids = tuple(self.byte_ids[b] for b in text[i].encode())
-                score = BYTE_SCORE * len(ids)
-                arcs[i + 1].append((i, score, ids))
-                if here + score > best[i + 1]:
-                    best[i + 1] = here + score
-        return Paths(arcs, best)
-
-    def paths(self, segment: str) -> Paths:
-        return self.lattice(segment)
+                score, ids = self.bytes_arc(text[i])
+                value = here + score
+                if value > best[i + 1]:
+                    second[i + 1] = max(best[i + 1], other + score)
+                    best[i + 1] = value
+                    back[i + 1] = i, ids
+                elif value > second[i + 1]:
+                    second[i + 1] = value
+        ids, at = [], n
+        while at:
+            at, piece = back[at]
+            ids.append(piece)
+        return best[n], tuple(i for piece in reversed(ids) for i in piece), best[n] - second[n] if second[n] > 0.5 * none else float("inf")
 
     def summary(self, segment: str) -> tuple[float, tuple, float]:
-        """Score and ids of the best path, and what the second one loses (infinite without one); lattices aren't kept."""
+        """viterbi() of a segment; short segments are kept."""
         got = self.new.get(segment)
         if got is None:
             got = self.old.get(segment)
             if got is None:
-                paths = self.lattice(segment)
-                (score, ids), second = paths.get(0), paths.get(1)
-                got = (score, ids, float("inf") if second is None else score - second[0])
+                got = self.viterbi(segment)
             if len(segment) <= 40:
                 self.new[segment] = got
                 if len(self.new) >= CACHE:
                     self.old, self.new = self.new, {}
         return got
 
-    def n_best(self, segments: list[Paths], n: int) -> list[tuple[float, dict[int, int]]]:
-        """Best segmentations of a chain: (score, {segment: rank of its path} where that isn't 0).
+    def n_best(self, segments: list[str], losses: np.ndarray, n: int) -> list[tuple[float, dict[int, list[int]]]]:
+        """The n best segmentations of a chain of segments: (what each loses, {segment: its ids} where they may differ).
 
-        Only the n - 1 segments that lose least by their second path can differ in the n best.
+        A segmentation that changes a segment loses at least that segment's loss, so only the n - 1 segments
+        that lose least can differ in the n best; A* searches the lattice of these, all others keep their best path.
         """
-        base = sum(p.get(0)[0] for p in segments)
-        losses = []
-        for k, p in enumerate(segments):
-            second = p.get(1)
-            if second is not None:
-                losses.append((p.get(0)[0] - second[0], k))
-        return _chain(base, heapq.nsmallest(n - 1, losses), segments, n)
+        few = n - 1
+        near = np.argsort(losses, kind="stable")[:few] if len(losses) < 64 or not few else np.sort(np.argpartition(losses, few - 1)[:few])
+        near = sorted(int(k) for k in near if np.isfinite(losses[k]))
+        if not near:
+            return [(0.0, {})]
+        lattice = joined([self.lattice(segments[k]) for k in near])
+        ends = np.cumsum([len(segments[k]) for k in near]).tolist()
+        out = []
+        for score, steps in lattice.search(n):
+            ids: list[list[int]] = [[] for _ in near]
+            place = 0
+            for begin, piece in steps:
+                while begin >= ends[place]:
+                    place += 1
+                ids[place] += piece
+            out.append((lattice.best[-1] - score, dict(zip(near, ids))))
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of a text from its ids."""
@@ -173,26 +252,6 @@ class Pieces:
         return out[1:] if out[:1] == b" " else out
 
 
-def _chain(base: float, losses: list[tuple[float, int]], segments: list[Paths], n: int) -> list[tuple[float, dict[int, int]]]:
-    out, count = [], 0
-    # a state has its ranks fixed up to a place in losses; each is reached in one way
-    heap: list[tuple] = [(-base, 0, 0, ())]
-    while heap and len(out) < n:
-        total, _, place, ranks = heapq.heappop(heap)
-        out.append((-total, dict(ranks)))
-        if ranks:  # one step further at the last changed segment
-            k, rank = ranks[-1]
-            here, further = segments[k].get(rank), segments[k].get(rank + 1)
-            if further is not None:
-                count += 1
-                heapq.heappush(heap, (total + here[0] - further[0], count, place, (*ranks[:-1], (k, rank + 1))))
-        for p in range(place, len(losses)):
-            loss, k = losses[p]
-            count += 1
-            heapq.heappush(heap, (total + loss, count, p + 1, (*ranks, (k, 1))))
-    return out
-
-
 def segments(texts: pa.Array) -> pa.ListArray:
     """Segments of each text: a run of space marks with what follows it, and line ends by themselves."""
     marked = pc.binary_join_element_wise(SPACE, pc.replace_substring(texts, " ", SPACE), "")
@@ -225,7 +284,7 @@ def encode_batch(pieces: Pieces, texts: pa.Array, n: int) -> tuple[list[list[flo
     score = np.array([f[0] for f in first])
     gap = np.array([f[2] for f in first])
     sizes = np.array([len(f[1]) for f in first], np.int64)
-    pool = np.fromiter((i for f in first for i in f[1]), np.uint16, int(sizes.sum()))
+    pool = np.fromiter((i for f in first for i in f[1]), pieces.dtype, int(sizes.sum()))
     begins = np.cumsum(sizes) - sizes
     counts = sizes[index]
     ends = np.cumsum(counts)
@@ -236,34 +295,39 @@ def encode_batch(pieces: Pieces, texts: pa.Array, n: int) -> tuple[list[list[flo
     scores, ids = [], []
     for t, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         text = texts[t].as_py() if b - a < 2 else None
-        if text is not None and "\x00" in text:  # the mark of the cuts is in the text: one segment after another by hand
+        if text is not None and "\x00" in text:  # the mark of the cuts is in the text, so it is cut by hand
             parts = [s for s in re.split(f"(?<=[^{SPACE}])(?={SPACE})|(?<=\n)|(?=\n)", SPACE + text.replace(" ", SPACE)) if s]
-            paths = [pieces.paths(s) for s in parts]
-            own = np.fromiter((i for p in paths for i in p.get(0)[1]), np.uint16)
-            at = np.cumsum([0, *(len(p.get(0)[1]) for p in paths)])
-            best = pieces.n_best(paths, n)
+            ways = [pieces.summary(s) for s in parts]
+            own = np.fromiter((i for w in ways for i in w[1]), pieces.dtype)
+            at = np.cumsum([0, *(len(w[1]) for w in ways)])
+            base, best = sum(w[0] for w in ways), pieces.n_best(parts, np.array([w[2] for w in ways]), n)
         else:
             own = flat[starts[a] : starts[b]]
             at = starts[a : b + 1] - starts[a]
             few = index[a:b]
-            loss = gap[few]
-            near = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 64 or n == 1 else np.sort(np.argpartition(loss, n - 2)[: n - 1])
-            near = near[np.argsort(loss[near], kind="stable")]
-            losses = [(float(loss[k]), int(k)) for k in near if np.isfinite(loss[k])]
-            paths = {k: pieces.paths(names[few[k]]) for _, k in losses}
-            best = _chain(float(score[few].sum()), losses, paths, n)
-        scores.append([x for x, _ in best])
-        versions = []
-        for _, ranks in best:
+            base, best = float(score[few].sum()), pieces.n_best(_Names(names, few), gap[few], n)
+        scores.append([base - loss for loss, _ in best])
+        versions = [own]
+        for _, changed in best[1:]:
             parts, done = [], 0
-            for k in sorted(ranks):
-                parts += [own[done : at[k]], np.array(paths[k].get(ranks[k])[1], np.uint16)]
+            for k, other in changed.items():
+                parts += [own[done : at[k]], np.array(other, pieces.dtype)]
                 done = at[k + 1]
-            versions.append(np.concatenate([*parts, own[done:]]) if parts else own)
+            versions.append(np.concatenate([*parts, own[done:]]))
         ids.append(versions)
     return scores, ids
 
 
+class _Names:
+    """Segments of one text, looked up as they are asked for."""
+
+    def __init__(self, names: list[str], index: np.ndarray):
+        self.names, self.index = names, index
+
+    def __getitem__(self, k: int) -> str:
+        return self.names[self.index[k]]
+
+
 def segmentations(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
     """doc_id, n_best, scores and ids (little-endian 32-bit numbers) of the n best segmentations of every whole text."""
     path = path or tokenizer_path("piece_bpe_32k.model")

@@ -51,8 +51,9 @@ def test_batches_equal_single_texts(spark, sf, pieces):
     for k, text in enumerate(texts):
         scores, ids = nbest.encode_batch(pieces, pa.array([text]), 4)
         assert scores[0] == pytest.approx(many[0][k])
-        parts = [pieces.paths(s) for s in nbest.segments(pa.array([text]))[0].as_py()]
-        assert [s for s, _ in pieces.n_best(parts, 4)] == pytest.approx(scores[0])
+        parts = nbest.segments(pa.array([text]))[0].as_py()
+        whole = nbest.joined([pieces.lattice(s) for s in parts if s])  # A* over the whole lattice, no segment kept
+        assert [s for s, _ in whole.search(4)] == pytest.approx(scores[0])
         assert all(pieces.decode(x).decode() == text for x in many[1][k])
 
 
