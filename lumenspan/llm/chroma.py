@@ -49,6 +49,8 @@ MIN_FRAMES, MAX_ERROR = 64, 0.15
 SIGNS, PLACES = 0xAAAAAAAA, (0, WIDTH, 2 * WIDTH)
 #: Beginnings inside a hop at which asked recordings are read.
 PHASES = 4
+#: Places between the keys of recordings that are looked up; asked ones have a key at every place.
+STRIDE = 4
 #: Frames that are transformed together.
 BLOCK = 64
 PRINT = "media_id long, asked boolean, frames array<int>, phases array<array<int>>"
@@ -190,12 +192,12 @@ def rendered(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("media_id"), vector).mapInArrow(play, "media_id long, media binary")
 
 
-def _keys(frames: Column) -> Column:
-    """The key at each place of a fingerprint."""
+def _keys(frames: Column, step: int = STRIDE) -> Column:
+    """(place, key) at every step-th place of a fingerprint, from 0."""
     last = F.size(frames) - PLACES[-1]
     sign = lambda i, by: F.element_at(frames, i + by).bitwiseAND(F.lit(SIGNS - (1 << 32)).cast("int"))
-    keys = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*(sign(i, by) for by in PLACES)))
-    return F.when(last >= 1, keys).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+    keys = F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.struct((i - 1).alias("place"), F.xxhash64(*(sign(i, by) for by in PLACES)).alias("key")))
+    return F.explode(F.when(last >= 1, keys))
 
 
 def bit_error(one: Column, two: Column) -> Column:
@@ -209,7 +211,7 @@ def _classes(prints: DataFrame) -> DataFrame:
     """(cid, frames, asked, phases, part): distinct fingerprints, numbered, and the number of their class."""
     one = prints.groupBy("frames").agg(F.min("media_id").alias("first"), F.max("asked").alias("asked"), F.max("phases").alias("phases"))
     one = stored(one.withColumn("cid", F.monotonically_increasing_id()), "distinct")
-    keys = stored(one.where(F.size("frames") >= MIN_FRAMES).select("cid", F.posexplode(_keys(F.col("frames"))).alias("place", "key")), "keys")
+    keys = stored(one.where(F.size("frames") >= MIN_FRAMES).select("cid", _keys(F.col("frames")).alias("k")).select("cid", "k.*"), "keys")
     leads = keys.groupBy("key", "place").agg(F.min("cid").alias("lead"))
     pairs = keys.join(leads, ["key", "place"]).where("lead < cid").select("cid", "lead").distinct()
     lead = one.select(F.col("cid").alias("lead"), F.col("frames").alias("other"))
@@ -228,11 +230,11 @@ def search(media: DataFrame, asked: Column) -> DataFrame:
     prints = stored(fingerprints(media, asked), "prints")
     classes = _classes(prints)
     named = classes.groupBy("part").agg(F.min("first").alias("class_id"))
-    keys = classes.where(F.size("frames") >= MIN_FRAMES).select("part", "cid", F.posexplode(_keys(F.col("frames"))).alias("place", "key"))
+    keys = classes.where(F.size("frames") >= MIN_FRAMES).select("part", "cid", _keys(F.col("frames")).alias("k")).select("part", "cid", "k.*")
     held = keys.groupBy("part", "place", "key").agg(F.min("cid").alias("cid"))  # a key that many near copies hold at one place is held once
     views = classes.where("asked").select("part", "cid", F.posexplode(F.concat(F.array("frames"), "phases")).alias("phase", "view"))
     views = stored(views.where(F.size("view") >= MIN_FRAMES), "views")
-    seek = views.select("part", "cid", "phase", F.posexplode(_keys(F.col("view"))).alias("at", "key")).groupBy("part", "phase", "at", "key").agg(F.min("cid").alias("cid"))
+    seek = views.select("part", "cid", "phase", _keys(F.col("view"), 1).alias("k")).select("part", "cid", "phase", F.col("k.place").alias("at"), "k.key").groupBy("part", "phase", "at", "key").agg(F.min("cid").alias("cid"))
     met = seek.select(F.col("part").alias("query_part"), F.col("cid").alias("query"), "phase", "at", "key").join(held.withColumnRenamed("part", "match_part").withColumnRenamed("cid", "match"), "key")
     met = met.where("query_part <> match_part").groupBy("query_part", "query", "phase", "match_part", "match", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes"))
     met = met.join(views.select(F.col("cid").alias("query"), "phase", F.col("view").alias("_q")), ["query", "phase"]).join(classes.select(F.col("cid").alias("match"), F.col("frames").alias("_m")), "match")
