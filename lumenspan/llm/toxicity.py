@@ -1,26 +1,26 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-The ordinary dictionary holds the words that most ordinary documents share. The toxic one holds the same
-words behind the segments that set toxic documents apart: words, and beginnings of words, that are in far
-more toxic documents, or make up a notable part of far more of them. A document is cut into windows; what
-a window saves under the toxic dictionary is its evidence, and near zero for ordinary text, since both
-dictionaries explain that equally well. A logistic curve over the savings, fitted to labelled rows,
-calibrates the score; 0.5 is the threshold.
+Both dictionaries are trained by zstandard, on windows of toxic and of ordinary labelled texts apart. They are
+trained anew in rounds: the toxic one on the windows of toxic texts that save more under a dictionary of other
+toxic texts than nearly all ordinary windows do, the ordinary one also on the ordinary windows that a toxic one
+explains by mistake, so what is common to both kinds of text ends up in the ordinary one. A text is cut into windows; what a window
+saves under the toxic dictionary (with the ordinary one behind it, so ordinary content costs the same) is its
+evidence. A logistic curve over the savings, fitted to labelled rows, calibrates the score; 0.5 is the threshold.
 
 The classifier is fitted on at most SAMPLE labelled rows of each class (the smallest hashes of their ids)
-whose texts have at most SAMPLE_CHARS characters; weights restore the classes' shares. All texts are
-scored whole.
+whose texts have at most SAMPLE_CHARS characters, and on at most 2 * TRAIN_WINDOWS distinct windows of a kind in a round; weights
+restore the classes' shares. All texts are scored whole, one in memory at a time.
 
 Defined cases: null text is empty; texts without letters have the score of no evidence; equal texts have
-equal scores; without toxic or without ordinary labelled rows every score is the share of toxic rows (0
-without labels); an empty table gives no rows; extra columns are ignored or kept, see each function.
+equal scores; of rows with equal ids the sample takes one (the least text); without toxic or without ordinary
+labelled rows every score is the share of toxic rows (0 without labels); an empty table gives no rows; extra
+columns are ignored or kept, see each function.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +31,21 @@ from pyspark.sql import functions as F
 from lumenspan.llm.tokens import column
 from lumenspan.session import ship
 
-SAMPLE = 2000
-SAMPLE_CHARS = 50_000
-WINDOW = 100
-ORDINARY_WORDS = 3000
-SEGMENTS = 400
-#: Bytes of a segment without its leading space, least and most.
-SHORTEST, LONGEST = 4, 20
-#: A segment's share of a document's words that counts as notable; how much likelier it must be in toxic documents.
-NOTABLE, LIKELIER = 0.006, 6.0
-#: The share of toxic documents that a segment must be in, or be notable in.
-RARE = 0.02
+SAMPLE = 4000
+SAMPLE_CHARS = 20_000
+#: Bytes of a window that is scored, and of one that dictionaries are trained on.
+WINDOW, TRAIN_WINDOW = 80, 28
+TRAIN_WINDOWS = 80_000
+#: Bytes that the ordinary dictionary starts with, that a round adds to it, and that it has at most.
+ORDINARY, MISTAKES, LARGEST = 32768, 8192, 49152
+#: Bytes that a window must save to be strong evidence.
+STRONG = 5
+#: For each round the bytes of the toxic dictionary, and the share of ordinary windows that a window must exceed to be learnt.
+ROUNDS = ((8192, 0.99), (8192, 0.995), (4096, 0.998), (3072, 0.999), (2048, 0.999), (1536, 0.999))
+#: Parts that toxic texts are dealt into; mistakes of a round that a dictionary can be trained on.
+PARTS, FEW = 4, 200
+#: Segment lengths that training covers text with: for the first dictionaries, for mistakes, and for toxic windows.
+COVER_ORDINARY, COVER_MISTAKES, COVER_TOXIC, COVER_STEP = 64, 24, 16, 6
 
 _TO_SPACE = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
 
@@ -51,6 +55,22 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_TO_SPACE).split()
 
 
+def windows(raw: bytes, least: int) -> Iterator[bytes]:
+    """Runs of whole words of `least` bytes or a little more (the last may be a quarter longer or shorter)."""
+    at, size = 0, len(raw)
+    while at < size - 1:
+        to = raw.find(b" ", at + least)
+        if to < 0 or size - to < least // 4:
+            to = size - 1
+        yield raw[at : to + 1]
+        at = to
+
+
+def spaced(text: str) -> bytes:
+    """A text's words, a space around each."""
+    return b"".join(b" " + w for w in words_of(text)) + b" "
+
+
 class Model:
     """Two dictionaries and the weights of the logistic curve."""
 
@@ -66,82 +86,82 @@ class Model:
 
         how = z.ZstdCompressionParameters(compression_level=5, min_match=5, strategy=z.STRATEGY_LAZY, write_content_size=False)
         compressors = []
-        for content in (self.ordinary, self.toxic + self.ordinary):  # the ordinary words stay at equal distances
+        for content in (self.ordinary, self.toxic + self.ordinary):  # what is ordinary stays at equal distances
             dictionary = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             dictionary.precompute_compress(compression_params=how)
             compressors.append(z.ZstdCompressor(dict_data=dictionary, compression_params=how).compress)
         self._sizes = compressors
-        self._pad = self.ordinary[-WINDOW:]
+        self._pad = self.ordinary[-64:]
 
-    def features(self, text: str) -> list[float]:
+    def gain(self, window: bytes) -> int:
+        """Bytes that a window saves under the toxic dictionary."""
         if self._sizes is None:
             self._start()
         plain, toxic = self._sizes
-        words = words_of(text)
-        raw = b" " + b" ".join(words) + b" "
-        at, n, hits, saved, most, size = 0, 0, 0, 0, 0, len(raw)
-        while at < size - 1:
-            to = raw.find(b" ", at + WINDOW)
-            if to < 0 or size - to < WINDOW // 4:
-                to = size - 1
-            window = raw[at : to + 1]
-            if len(window) < WINDOW:  # too short a block is stored as it is, so it gets ordinary words to lean on
-                window = self._pad + window
-            gain = len(plain(window)) - len(toxic(window))
-            n += 1
-            if gain > 0:
-                hits += 1
-                saved += gain
-                most = max(most, gain)
-            at = to
-        return [math.log1p(100 * saved / (size + WINDOW)), math.log1p(10 * hits / (n + 1)), math.log1p(most), math.log1p(hits)]
+        if len(window) < 64:  # too short a block is stored as it is, so it gets ordinary text to lean on
+            window = self._pad + window
+        return len(plain(window)) - len(toxic(window))
+
+    def features(self, text: str) -> list[float]:
+        raw = spaced(text)
+        gains = np.array([self.gain(w) for w in windows(raw, WINDOW)])
+        size, n, gains = len(raw), len(gains) + 1, gains[gains > 0] if len(gains) else gains
+        strong = int((gains >= STRONG).sum())
+        return [math.log1p(100 * float(gains.sum()) / (size + WINDOW)), math.log1p(10 * len(gains) / n), math.log1p(float(gains.max(initial=0))), math.log1p(len(gains)), math.log1p(strong), math.log1p(10 * strong / n)]
 
     def score(self, features: list[float]) -> float:
         x = self.weights[0] + sum(w * f for w, f in zip(self.weights[1:], features))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _segments(samples: list[list[bytes]]) -> list[tuple[Counter, Counter]]:
-    """For ordinary and toxic samples: documents with a segment, and documents in which it is notable."""
-    found, notable = Counter(), Counter()
-    for words in samples:
-        counts: Counter = Counter()
-        for word, n in Counter(words).items():
-            for k in range(SHORTEST, min(len(word), LONGEST) + 1):
-                if k == len(word) or word[k] & 0xC0 != 0x80:  # whole characters
-                    counts[word[:k]] += n
-            counts[word + b" "] += n
-        found.update(counts.keys())
-        notable.update(s for s, n in counts.items() if n >= NOTABLE * len(words))
-    return found, notable
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A zstandard dictionary; too few samples to train on stand for themselves."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, samples, k=segment, d=COVER_STEP).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _train_windows(texts: list[str]) -> list[bytes]:
+    """The distinct windows of all texts, in order."""
+    return sorted({w for t in texts for w in windows(spaced(t), TRAIN_WINDOW)})
+
+
+def _some(found: list[bytes], most: int, turn: int) -> list[bytes]:
+    """At most `most` of them, others in each turn."""
+    if len(found) <= most:
+        return found
+    return [found[k] for k in np.random.default_rng(turn).choice(len(found), most, replace=False)]
 
 
 def fit_texts(ordinary: list[str], toxic: list[str], shares: tuple[float, float] | None = None) -> Model:
     """Model from two lists of texts; shares: rows that each ordinary and each toxic text stands for."""
+    import xxhash
+
     if not toxic or not ordinary:
         share = len(toxic) / max(1, len(toxic) + len(ordinary))
-        return Model(b"", b" " * WINDOW, [math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0, 0.0, 0.0])
-    bags = [[words_of(t) for t in texts] for texts in (ordinary, toxic)]
-    seen = [_segments(b) for b in bags]
-    least = max(3, math.ceil(RARE * len(toxic)))
-    ranked = []
-    for segment in set(seen[1][0]):
-        best = 0.0
-        for kind in (0, 1):
-            a, b = seen[1][kind].get(segment, 0), seen[0][kind].get(segment, 0)
-            ratio = (a / len(toxic)) / ((b + 0.5) / len(ordinary))
-            if a >= least and ratio >= LIKELIER:
-                best = max(best, a * math.log(ratio))
-        if best and SHORTEST <= len(segment.rstrip()):
-            ranked.append((-best, -len(segment), segment))
-    chosen: list[bytes] = []
-    for _, _, segment in sorted(ranked):  # the longest of equally good ones
-        bare = segment.rstrip()
-        if len(chosen) < SEGMENTS and not any(bare.startswith(c.rstrip()) or c.startswith(bare) for c in chosen):
-            chosen.append(segment)
-    common = Counter(w for words in bags[0] for w in set(words)).most_common(ORDINARY_WORDS)
-    plain = b"".join(b" " + w for w, _ in sorted(common, key=lambda x: (x[1], x[0]))).rjust(WINDOW)
-    model = Model(b"".join(b" " + s for s in reversed(chosen)), plain, [])
+        return Model(b"", b" " * WINDOW, [math.log((share + 1e-6) / (1 - share + 1e-6)), *[0.0] * 6])
+    # each part of the toxic texts is judged by a dictionary of the others, so what one text alone says isn't learnt
+    parts: list[list[str]] = [[] for _ in range(PARTS)]
+    for t in toxic:
+        parts[xxhash.xxh64_intdigest(t) % PARTS].append(t)
+    own, other = [_train_windows(p) for p in parts], _train_windows(ordinary)
+    plain = trained(_some(other, TRAIN_WINDOWS, 0), ORDINARY, COVER_ORDINARY).rjust(WINDOW)
+    learnt = [_some(w, TRAIN_WINDOWS // PARTS, 0) for w in own]
+    for turn, (size, share) in enumerate(ROUNDS, 1):
+        bad = [trained([w for j, some in enumerate(learnt) if j != k for w in some], size, COVER_TOXIC) for k in range(PARTS)]
+        calm, mistakes = _some(other, TRAIN_WINDOWS, turn), []
+        for k in range(PARTS):
+            model, some = Model(bad[k], plain, []), calm[k::PARTS]
+            gains = np.array([model.gain(w) for w in some])
+            bound = max(0.0, float(np.quantile(gains, share))) if len(gains) else 0.0
+            learnt[k] = [w for w in _some(own[k], 2 * TRAIN_WINDOWS // PARTS, turn) if model.gain(w) > bound]
+            mistakes += [w for w, g in zip(some, gains) if g > 0]
+        if len(mistakes) >= FEW:
+            plain = (trained(mistakes, MISTAKES, COVER_MISTAKES) + plain)[:LARGEST]
+    model = Model(trained([w for some in learnt for w in some], ROUNDS[-1][0], COVER_TOXIC), plain, [])
     x = np.array([[1.0, *model.features(t)] for texts in (ordinary, toxic) for t in texts])
     y = np.repeat([0.0, 1.0], [len(ordinary), len(toxic)])
     weight = np.repeat(shares or (1.0, 1.0), [len(ordinary), len(toxic)])
@@ -175,9 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = {r["mark"]: r["n"] for r in known.groupBy("mark").agg(F.count("*").alias("n")).collect()}
     # the ids are drawn from the labels alone, so texts are read once and only the sample's move
     drawn = [known.where(F.col("mark") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # 2 * sample ids at most
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # 2 * sample ids at most
     texts: list[list[str]] = [[], []]
-    for r in rows.where(F.char_length("text") <= SAMPLE_CHARS).select("doc_id", "mark", "text").toLocalIterator():
+    for r in rows.groupBy("doc_id", "mark").agg(F.min("text").alias("text")).toLocalIterator():  # as many rows at most
         texts[r["mark"]].append((r["doc_id"], r["text"]))
     texts = [[t for _, t in sorted(x)] for x in texts]
     shares = tuple(counts.get(v, 0) / max(1, len(texts[v])) for v in (0, 1))
