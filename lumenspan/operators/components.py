@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.session import stored
+from lumenspan.session import discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(least, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(least.select("src", F.col("m").alias("dst")))
-        now = stored(small.distinct(), "edges")
+        old, now = now, stored(small.distinct(), "edges")
+        discard(old)
         before, mark = mark, _mark(now)
         if mark == before:
             break

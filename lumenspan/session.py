@@ -48,10 +48,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set in its place.
+    Where the setting is absent a temporary folder is set in its place, on one machine only: a cluster's
+    executors would each write to a folder of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = getattr(spark.sparkContext, "_lumenspan_dir", None) or tempfile.mkdtemp(prefix="lumenspan-")
         spark.sparkContext._lumenspan_dir = root
     if spark.sparkContext.getCheckpointDir() is None:
@@ -64,4 +67,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumenspan_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing refers to any more."""
+    for df in tables:
+        if path := getattr(df, "_lumenspan_path", None):
+            jvm, context = df.sparkSession._jvm, df.sparkSession._jsc
+            place = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            place.getFileSystem(context.hadoopConfiguration()).delete(place, True)
