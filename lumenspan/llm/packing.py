@@ -1,32 +1,38 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Bulk-synchronous best fit: pieces are ranked inside their length by a distributed two-level count;
-lengths go from long to short, and in every superstep the pieces of one length are matched, by rank,
-with the smallest gap that holds them (the successor), the gaps are updated, and the sweep repeats.
-Pieces of one length and gaps of one size are interchangeable, so a sweep works on runs of ranks and
-runs of sequences: its state depends on the capacity (lengths times gaps at most), never on the rows.
-
-Defined cases: null text is empty (one piece that holds the end id alone); rows with equal or null
-ids are packed each for itself; an empty table gives no rows; extra columns are ignored.
+Bulk-synchronous best fit. A superstep sorts the pieces without a place and the gaps of open sequences together
+by size, dealt to partitions by range. Each partition sweeps its range from small to large: a gap takes the
+largest piece so far that nobody took (so a piece goes to its successor among the gaps, and of several pieces
+that want one gap the largest gets it). What a range leaves over is matched across ranges by rank: from the
+counts of each range follows which run of leftover pieces meets which run of leftover gaps. Then the gaps are
+updated, and the superstep repeats. A gap that holds the largest piece left several times over is offered as
+several. Where the gaps together hold less than the pieces left, the largest pieces open as many sequences as
+the rest needs at least. The state of each superstep is a written table; to the driver come the histogram
+of lengths (capacity rows at most) and three numbers for each partition.
+
+Defined cases: null text is empty (one piece that holds the end id alone); rows with equal or null ids are
+packed each for itself (a row number, given once and written, tells them apart); an empty table gives no
+rows; extra columns are ignored. A batch of about SLICE_BYTES, or one longer text, is in a worker's memory.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.tokens import column, encoder, slices, tokenizer_path
-from lumenspan.session import ship, stored
+from lumenspan.session import discard, ship, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rows of one length that are ranked together.
-RANK_ROWS = 8192
+SWEPT = "row long, length int, seq long, slot int, free int, part int, rank long"
+#: Openers of one length up to which they are taken in order, beyond which by a hash of their number.
+FEW = 1000
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 1024) -> DataFrame:
@@ -71,82 +77,135 @@ def _pieces(coder, keys: pa.Array, texts: pa.Array, end_id: int, capacity: int)
     )
 
 
-def sweeps(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Matches (length, first rank, count, first sequence, offset): best fit, lengths descending, ties by rank."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # the gaps in use, ascending
-    out: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def leave(gap: int, begin: int, end: int) -> None:
-        if gap and begin < end:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append((begin, end))
-
-    for length in sorted(histogram, reverse=True):
-        rank, n = 0, histogram[length]
-        while rank < n and (k := bisect_left(sizes, length)) < len(sizes):
-            gap = sizes[k]
-            runs = gaps.pop(gap)
-            del sizes[k]
-            for begin, end in runs:
-                take = min(end - begin, n - rank)
-                if take:
-                    out.append((length, rank, take, begin, capacity - gap))
-                    leave(gap - length, begin, begin + take)
-                    rank += take
-                leave(gap, begin + take, end)
-        if rank < n:
-            fit = capacity // length
-            new = -(-(n - rank) // fit)
-            filled = [0] * 0
-            for step in range(fit):
-                take = min(new, n - rank)
-                if not take:
-                    break
-                out.append((length, rank, take, opened, step * length))
-                filled.append(take)
-                rank += take
-            for step, take in enumerate(filled):
-                later = filled[step + 1] if step + 1 < len(filled) else 0
-                leave(capacity - (step + 1) * length, opened + later, opened + take)
-            opened += new
+def match(kinds: list[int]) -> list[tuple[int, int]]:
+    """(piece, gap) places in a sequence of 0 (piece) and 1 (gap) that ascends by size: each gap takes the last piece before it that is free."""
+    waiting: list[int] = []
+    out = []
+    for k, gap in enumerate(kinds):
+        if not gap:
+            waiting.append(k)
+        elif waiting:
+            out.append((waiting.pop(), k))
     return out
 
 
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches of one range, and after them what is left over, ranked: gaps, pieces."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    size, kind, key, slot, free = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in range(5))
+    pairs = np.array(match(kind.tolist()), np.int64).reshape(-1, 2)
+    over = np.ones(len(kind), bool)
+    over[pairs.ravel()] = False
+    rest = [np.flatnonzero(over & (kind == k)) for k in (0, 1)]
+    part = TaskContext.get().partitionId()
+
+    def batch(pieces: np.ndarray | None, gaps: np.ndarray | None, ranked: bool) -> pa.RecordBatch:
+        n = len(pieces if pieces is not None else gaps)
+        row, length = (pa.nulls(n, t) if pieces is None else pa.array(x[pieces], t) for x, t in ((key, pa.int64()), (size, pa.int32())))
+        seq, at, left = (pa.nulls(n, t) if gaps is None else pa.array(x[gaps], t) for x, t in ((key, pa.int64()), (slot, pa.int32()), (free, pa.int32())))
+        rank = pa.array(np.arange(n), pa.int64()) if ranked else pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([row, length, seq, at, left, pa.array(np.full(n, part), pa.int32()), rank], [x.split()[0] for x in SWEPT.split(", ")])
+
+    yield batch(pairs[:, 0], pairs[:, 1], False)
+    yield batch(rest[0], None, True)
+    yield batch(None, rest[1], True)
+
+
+def across(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (first number, size, part of the pieces, its last rank, part of the gaps, its first rank) for (part, pieces, gaps) left over, in order.
+
+    In a range the gaps left over come before the pieces left over; a gap takes the last piece that is free.
+    """
+    waiting: list[list[int]] = []
+    out, number = [], 0
+    for part, pieces, gaps in counts:
+        first = 0
+        while first < gaps and waiting:
+            top = waiting[-1]
+            n = min(gaps - first, top[1])
+            out.append((number, n, top[0], top[1] - 1, part, first))
+            number, first, top[1] = number + n, first + n, top[1] - n
+            if not top[1]:
+                waiting.pop()
+        if pieces:
+            waiting.append([part, pieces])
+    return out
+
+
+def _openers(left: DataFrame, counts: dict[int, int], n: int) -> DataFrame:
+    """About n of the largest pieces: all above a length, and of the pieces of that length as many as are missing."""
+    taken, bound = 0, max(counts) + 1
+    while bound - 1 in counts and taken + counts[bound - 1] <= n or bound - 1 not in counts and bound > 1:
+        bound -= 1
+        taken += counts.get(bound, 0)
+    more, have = n - taken, counts.get(bound - 1, 0)
+    whole = left.where(F.col("length") >= bound)
+    if not more or not have:
+        return whole
+    tied = left.where(F.col("length") == bound - 1)
+    if more <= FEW:
+        return whole.union(tied.orderBy("_row").limit(more))
+    return whole.union(tied.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) < (more << 20) // have))
+
+
 def pack(pieced: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to pieces; pieced is read several times and should be a stored table."""
+    """Adds sequence_id and offset to pieces."""
     spark = pieced.sparkSession
     ship(spark)
-    histogram = {r["length"]: r["n"] for r in pieced.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    table = np.array(sweeps(histogram, capacity) or np.empty((0, 5)), np.int64)
-    table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    shared = spark.sparkContext.broadcast(table)
-    schema = pieced.select("doc_id", "piece", "start", "length", "ids_crc32").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-
-    chunks = max(1, -(-sum(histogram.values()) // RANK_ROWS))
-    rows = pieced.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
-    before = (
-        rows.groupBy("length", "_chunk").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("length", "_chunk", F.coalesce("_before", F.lit(0)).alias("_before"))
-    )
-    ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece")))
-    ranked = ranked.join(before, ["length", "_chunk"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_row") - 1).alias("_rank"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = shared.value
-        keys = (matches[:, 0] << 44) | matches[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(n).to_numpy() for n in (3, 5))
-            at = np.searchsorted(keys, (length << 44) | rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(matches[at, 3] + rank - matches[at, 1]), pa.array(matches[at, 4])], [f.name for f in schema])
-
-    return ranked.mapInArrow(place, schema)
+    rows = stored(pieced.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    left, gaps, used = rows.select("_row", F.col("length").cast("int").alias("length")), None, []
+    placed: list[DataFrame] = []
+    while counts := {r["length"]: r["n"] for r in left.groupBy("length").agg(F.count("*").alias("n")).collect()}:  # capacity rows at most
+        least = min(counts)
+        room = gaps.where(F.col("free") >= least).agg(F.sum("free").cast("long").alias("s"), F.count("*").alias("n")).first() if gaps is not None else {"s": None, "n": 0}
+        need = sum(length * n for length, n in counts.items()) - (room["s"] or 0)
+        # pieces over half the capacity never share a sequence, and no gap of an older one that holds them is left after one sweep
+        new = max(-(-need // capacity), 0 if room["n"] else sum(n for length, n in counts.items() if 2 * length > capacity))
+        if new > 0:
+            opened = stored(_openers(left, counts, new).select("_row", "length", F.col("_row").alias("seq"), F.lit(0).alias("offset")), "opened")
+            placed.append(opened)
+            fresh = opened.select("seq", (capacity - F.col("length")).alias("free")).where(F.col("free") >= least)
+            gaps = fresh if gaps is None else gaps.where(F.col("free") >= least).union(fresh)
+            left = left.join(opened.select("_row"), "_row", "left_anti")
+        else:
+            gaps = gaps.where(F.col("free") >= least)
+        # a gap of the largest piece left several times over is several slots
+        largest, share = max(counts), max(1, -(-2 * sum(counts.values()) // max(1, room["n"] + new)))
+        slots = F.least(F.greatest(F.lit(1), F.floor(F.col("free") / largest)), F.lit(share)).cast("int")
+        offered = gaps.withColumn("_slots", slots).select("seq", "free", "_slots", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("slot"))
+        size = F.when(F.col("slot") == 0, F.col("free") - (F.col("_slots") - 1) * largest).otherwise(F.lit(largest))
+        both = left.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("_row").alias("key"), F.lit(0).alias("slot"), F.lit(0).alias("free")).union(
+            offered.select(size.cast("int").alias("size"), F.lit(1).alias("kind"), F.col("seq").alias("key"), "slot", "free"))
+        order = ("size", "kind", "key", "slot")
+        swept = stored(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT), "swept")
+        over = swept.groupBy("part").agg(F.count_if(F.col("seq").isNull()).alias("pieces"), F.count_if(F.col("row").isNull()).alias("gaps")).orderBy("part").collect()  # a row for each partition
+        runs = F.broadcast(spark.createDataFrame(across([tuple(r) for r in over]), "_number long, _n long, _pieces int, _last long, _gaps int, _first long"))
+        pieces_left = swept.where("seq IS NULL").join(runs, (F.col("part") == F.col("_pieces")) & F.col("rank").between(F.col("_last") - F.col("_n") + 1, F.col("_last")), "left")
+        gaps_left = swept.where("row IS NULL").join(runs, (F.col("part") == F.col("_gaps")) & F.col("rank").between(F.col("_first"), F.col("_first") + F.col("_n") - 1), "left")
+        met = pieces_left.where("_n IS NOT NULL").select("row", "length", (F.col("_number") + F.col("_last") - F.col("rank")).alias("_match")).join(
+            gaps_left.where("_n IS NOT NULL").select((F.col("_number") + F.col("rank") - F.col("_first")).alias("_match"), "seq", "slot", "free"), "_match")
+        matched = swept.where("row IS NOT NULL AND seq IS NOT NULL").select("row", "length", "seq", "slot", "free").union(met.select("row", "length", "seq", "slot", "free"))
+        before = F.coalesce(F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        now = stored(matched.select(F.col("row").alias("_row"), "length", "seq", (capacity - F.col("free") + before).cast("int").alias("offset"), "free"), "placed")
+        placed.append(now.select("_row", "length", "seq", "offset"))
+        gaps = stored(
+            now.select("seq", "free", "length").union(gaps_left.where("_n IS NULL").select("seq", "free", F.lit(0)))
+            .groupBy("seq").agg((F.max("free") - F.sum("length")).cast("int").alias("free")).where("free > 0"), "gaps")
+        left = pieces_left.where("_n IS NULL").select(F.col("row").alias("_row"), "length")
+        used.append((swept, gaps))
+        if len(used) > 2:  # nothing refers to the tables of the superstep before the last
+            discard(*used.pop(0))
+    if not placed:
+        return rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    done = placed[0]
+    for more in placed[1:]:
+        done = done.union(more)
+    done = done.select("_row", F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    return rows.join(done, "_row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def best_fit(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """Pieces of all documents with their sequence and place in it."""
-    return pack(stored(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack(pieces(docs, tokenizer, end_id, capacity), capacity)

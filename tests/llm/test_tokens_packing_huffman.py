@@ -82,25 +82,63 @@ def test_packing_odd_documents(odd_docs, no_docs):
     assert packing.best_fit(no_docs).count() == 0
 
 
-@given(st.lists(st.integers(1, 64), max_size=200))
-@settings(max_examples=60, deadline=None)
-def test_sweeps_fill_sequences_without_overlap(lengths):
-    histogram = {n: lengths.count(n) for n in set(lengths)}
-    used = defaultdict(list)
-    ranks = defaultdict(set)
-    for length, rank, count, first, offset in packing.sweeps(histogram, 64):
-        for k in range(count):
-            used[first + k].append((offset, length))
-            assert rank + k not in ranks[length]
-            ranks[length].add(rank + k)
-    assert all(ranks[n] == set(range(c)) for n, c in histogram.items())
-    for held in used.values():
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 1)), max_size=60), st.lists(st.integers(0, 60), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_sweeps_of_ranges_equal_one_sweep(rows, cuts):
+    """Ranges swept apart and matched by rank give the matches of one sweep over everything."""
+    rows = sorted(rows)
+    kinds = [k for _, k in rows]
+    bounds = [0, *sorted(min(c, len(rows)) for c in cuts), len(rows)]
+    found, left, counts = [], {}, []
+    for part, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        own = packing.match(kinds[a:b])
+        found += [(a + x, a + y) for x, y in own]
+        taken = {k for pair in own for k in pair}
+        for kind in (0, 1):
+            left[part, kind] = [a + k for k in range(b - a) if kinds[a + k] == kind and k not in taken]
+        counts.append((part, len(left[part, 0]), len(left[part, 1])))
+    numbers = []
+    for number, n, pieces, last, gaps, first in packing.across(counts):
+        numbers += range(number, number + n)
+        found += [(left[pieces, 0][last - k], left[gaps, 1][first + k]) for k in range(n)]
+    assert sorted(found) == sorted(packing.match(kinds)) and numbers == list(range(len(numbers)))
+    # best fit: a gap's piece fits, and the most gaps that can be filled with one piece each are filled
+    assert all(rows[x][0] <= rows[y][0] for x, y in found)
+    free, most = 0, 0
+    for _, kind in rows:
+        free += not kind
+        if kind and free:
+            free, most = free - 1, most + 1
+    assert len(found) == most
+
+
+def check_lengths(spark, rows, capacity, slack):
+    """rows: (doc_id, piece, length)."""
+    table = spark.createDataFrame([(d, p, 0, n, 7) for d, p, n in rows], packing.PIECES)
+    got = packing.pack(table, capacity).collect()
+    assert sorted((str(r["doc_id"]), r["piece"], r["length"]) for r in got) == sorted((str(d), p, n) for d, p, n in rows)
+    held = defaultdict(list)
+    for r in got:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for some in held.values():
         at = 0
-        for offset, length in sorted(held):
+        for offset, length in sorted(some):
             assert offset == at
             at += length
-        assert at <= 64
-    assert len(used) <= 2 * -(-sum(lengths) // 64)  # at most one sequence is half empty
+        assert at <= capacity
+    assert len(held) <= -(-sum(n for *_, n in rows) // capacity) + slack
+
+
+def test_packing_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(0)
+    rows = [(None, 0, int(n)) for n in rng.integers(1, 40, 300)] + [(5, 0, 9)] * 200 + [(None, 0, 3)] * 100
+    check_lengths(spark, rows, 64, 2)
+
+
+def test_packing_of_one_length_and_of_large_pieces(spark):
+    check_lengths(spark, [(k, 0, 1) for k in range(3000)], 64, 1)
+    check_lengths(spark, [(k, 0, 40) for k in range(50)] + [(100, 0, 1)], 64, 50 - 32)
+    check_lengths(spark, [(k, k % 3, 64) for k in range(20)], 64, 0)
 
 
 def check_codes(docs):
