@@ -10,12 +10,14 @@ together tell such texts apart by 64 bits.
 
 Terms are runs of letters and digits in lower case, kept as 64-bit hashes.
 
-Neighbours in descending order of doc_id are found inside blocks of ids; the last row of a block is handed
-to the next block through a small table, so nothing is sorted in one task.
-
-Defined cases: null text is empty; equal texts have equal fingerprints; rows with equal ids are ordered by
-text, null ids come last in the descending order; a single row is its own neighbour; an empty table gives
-no rows; extra columns are ignored.
+Neighbours in descending order of doc_id are found inside blocks of about BLOCK_ROWS rows, whose bounds are
+quantiles of the ids; an id that many rows share is a run of blocks by a hash of the text. The first row of a
+block is handed to the block before it through a table of at most BLOCKS rows.
+
+Defined cases: null text is empty; equal texts have equal fingerprints; rows with equal ids are ordered by a
+hash of the text and by the text, null ids come last in the descending order; a single row is its own
+neighbour; an empty table gives no rows; extra columns are ignored; a block's texts are sorted in one task,
+spilling, and a text is in memory as a whole.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ DENSITIES = ((32, 32), (256, 32), (2048, 32))
 SUBSETS = sum(used for _, used in DENSITIES)
 #: Lexicon rows up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
-BLOCK_BITS = 12
+#: Rows of a block of neighbours, and the most blocks that ids are cut into.
+BLOCK_ROWS, BLOCKS = 4096, 1 << 14
 _ALL = -1
 
 
@@ -55,14 +58,45 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _id, _block, _row): rows numbered inside blocks of ids, in descending order of id and text."""
+    """(doc_id, text, _id, _hash, _block): later blocks hold greater rows in the order of (id, hash of the text, text)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    rows = rows.withColumn("_block", F.shiftright("_id", BLOCK_BITS))
-    return rows.withColumn("_row", F.row_number().over(_descending()))
+    n = rows.count()
+    cuts = max(1, min(BLOCKS, -(-n // BLOCK_ROWS)))
+    found = rows.agg(F.percentile_approx("_id", _constants([k / cuts for k in range(1, cuts)], "double"), 4 * cuts).alias("b")).first()["b"] if cuts > 1 else None
+    # an id that is a bound k times has about k blocks to itself; the blocks of what lies above begin after them
+    bounds: list[tuple[int, int]] = []
+    for b in sorted(found or []):
+        if bounds and bounds[-1][0] == b:
+            bounds[-1] = b, bounds[-1][1] + 1
+        else:
+            bounds.append((b, 1))
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    values, widths = _constants([b for b, _ in bounds], "bigint"), _constants([k for _, k in bounds], "int")
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else []
+    # binary search: how many bounds are not above the id
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when((low + step <= len(bounds)) & (F.get(values, low + step - 1) <= F.col("_id")), low + step).otherwise(low)) if bounds else F.lit(0)
+    rows = rows.withColumn("_below", below)
+    if bounds:
+        own = (F.get(values, F.col("_below") - 1) == F.col("_id")) & (F.get(widths, F.col("_below") - 1) > 1)
+        # the upper 31 bits of the hash, from the least to the greatest, deal the rows of one id
+        part = F.floor((F.shiftright("_hash", 33) + (1 << 30)) * F.get(widths, F.col("_below") - 1) / float(1 << 31))
+        rows = rows.withColumn("_block", F.col("_below").cast("long") * (2 * BLOCKS) + F.when(own, part).otherwise(F.when(F.col("_below") > 0, BLOCKS + 1).otherwise(0)))
+    else:
+        rows = rows.withColumn("_block", F.lit(0).cast("long"))
+    return rows.drop("_below")
+
+
+def _numbered(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumn("_row", F.row_number().over(_descending()))
+
+
+def _constants(values: list, kind: str) -> Column:
+    """A constant array, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _descending() -> WindowSpec:
-    return Window.partitionBy("_block").orderBy(F.desc("_id"), F.desc("text"))
+    return Window.partitionBy("_block").orderBy(F.desc("_id"), F.desc("_hash"), F.desc("text"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -71,14 +105,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     _edge marks the last row of a block, whose next row lies in another block.
     """
     rows = _blocks(docs)
-    firsts = rows.drop("_row").groupBy("_block").agg(F.max(F.struct("_id", "text")).alias("_first"))
-    # the block that follows in descending order: the lag inside a block of blocks, or the last one of the one before
-    ids = firsts.select("_block", F.shiftright("_block", BLOCK_BITS).alias("_over"))
-    ids = ids.withColumn("_to", F.lag("_block").over(Window.partitionBy("_over").orderBy("_block")))
-    tops = ids.groupBy("_over").agg(F.max("_block").alias("_top"))
-    tops = tops.withColumn("_before", F.lag("_top").over(Window.orderBy("_over"))).withColumn("_greatest", F.max("_top").over(Window.partitionBy()))
-    follows = ids.join(tops, "_over").select("_block", F.coalesce("_to", "_before", "_greatest").alias("_to"))
-    handed = follows.join(firsts.select(F.col("_block").alias("_to"), F.col("_first.text").alias("_handed")), "_to").select("_block", "_handed")
+    blocks = stored(rows.groupBy("_block").agg(F.max(F.struct("_id", "_hash", "text")).alias("f")).select("_block", "f.text"), "firsts")
+    rows = _numbered(rows)
+    # the block that follows in descending order; after the last one comes the first
+    follows = blocks.select("_block", F.coalesce(F.lag("_block").over(Window.orderBy("_block")), F.max("_block").over(Window.partitionBy())).alias("_to"))
+    handed = follows.join(blocks.select(F.col("_block").alias("_to"), F.col("text").alias("_handed")), "_to").select("_block", "_handed")
     rows = rows.withColumn("_next", F.lead("text").over(_descending()))
     rows = rows.join(handed, "_block")
     return rows.select("_block", "_row", "doc_id", "text", F.coalesce("_next", "_handed").alias("next_text"), F.col("_next").isNull().alias("_edge"))
@@ -135,7 +166,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id and fingerprint of every document."""
-    rows = _blocks(docs).select("_block", "_row", F.lit(_OWN).alias("_which"), "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_meta"))
+    rows = _numbered(_blocks(docs)).select("_block", "_row", F.lit(_OWN).alias("_which"), "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_meta"))
     out = _values(rows, stored(lexicon(docs, low, high), "lexicon"))
     return out.select(F.when(F.col("_meta") != "", F.col("_meta")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), shown(F.col("_values")).alias("fingerprint"))
 

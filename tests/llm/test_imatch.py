@@ -63,9 +63,9 @@ def test_documents(spark, sf):
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.85 * len(got)
 
 
-@pytest.mark.parametrize("bits", [1, 12])
-def test_odd_documents(spark, odd_docs, no_docs, bits, monkeypatch):
-    monkeypatch.setattr(imatch, "BLOCK_BITS", bits)
+@pytest.mark.parametrize("block_rows", [2, 4096])
+def test_odd_documents(spark, odd_docs, no_docs, block_rows, monkeypatch):
+    monkeypatch.setattr(imatch, "BLOCK_ROWS", block_rows)
     check(spark, odd_docs, 0.1, 0.9)
     assert imatch.edited_fingerprints(no_docs).count() == 0
     one = odd_docs.where("doc_id = 3")
@@ -90,3 +90,14 @@ def test_texts_without_lexicon_terms_differ(spark):
 def test_main_path_runs_no_python(spark, sf):
     plan = imatch.edited_fingerprints(load(spark, sf, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_hashed_and_shared_ids_make_even_blocks(spark, monkeypatch):
+    """64-bit hashes as ids, and an id that a third of all rows share: no block of neighbours grows with either."""
+    monkeypatch.setattr(imatch, "BLOCK_ROWS", 50)
+    ids = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.when(F.col("id") % 2 == 0, 77)).otherwise(F.xxhash64("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    blocks = [r["count"] for r in imatch._blocks(ids).groupBy("_block").count().collect()]
+    assert len(blocks) >= 40 and max(blocks) < 250
+    rows = sorted(((-(2**63) if r["doc_id"] is None else r["doc_id"], r["_h"], r["text"]) for r in ids.withColumn("_h", F.xxhash64("text")).collect()), reverse=True)
+    want = {t: rows[(k + 1) % len(rows)][2] for k, (_, _, t) in enumerate(rows)}
+    assert {r["text"]: r["next_text"] for r in imatch.neighbours(ids).collect()} == want
