@@ -4,20 +4,24 @@ A key's jumps depend on the key only, so a shard count of n + 1 moves just the k
 lands on shard n. The 64-bit congruential generator is written in 32-bit halves, since long arithmetic
 that overflows is an error under ANSI mode.
 
-Defined cases: a null key hashes as the number 0; null text has no bytes; equal rows get slots of
-their own; an empty table gives no rows; extra columns stay out of the result.
+Defined cases: a null key hashes as the number 0, a key that isn't a whole number by its XXH64; null text has
+no bytes; equal rows get slots of their own; an empty table gives no rows; extra columns stay out of the
+result; texts of any length are only measured and summed up.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from lumenspan.session import stored
 
 #: The multiplier of the generator that the method's paper gives, as its upper and lower half.
 MULTIPLIER = 2862933555777941757
 HIGH, LOW, MASK = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF, 0xFFFFFFFF
-#: Ids of one shard that are numbered together.
-SLOT_ROWS = 4096
+#: Rows that are numbered together in all shards, as long as there are no more than BLOCKS such blocks.
+SLOT_ROWS, BLOCKS = 1 << 16, 1 << 14
 
 
 def _next(high: Column, low: Column) -> tuple[Column, Column]:
@@ -58,21 +62,25 @@ def jumps(key: Column, shards: int) -> tuple[Column, Column]:
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> DataFrame:
     """Rows with key, size, text_crc32, shard, grown_shard (one shard more) and slot, gapless from 0 in each shard.
 
-    Slots follow blocks of ids: rows are numbered inside (shard, block), and the rows of earlier blocks
-    are added from a small table of counts, so no shard is sorted in one task.
+    Rows are numbered once, and dealt by a hash of that number to blocks, whatever their keys are; slots count
+    inside (shard, block), and the rows of earlier blocks are added from a table of at most BLOCKS counts a shard.
     """
+    whole = isinstance(docs.schema[key].dataType, IntegralType)
+    number = F.col("_key").cast("long") if whole else F.when(F.col("_key").isNotNull(), F.xxhash64("_key"))
     rows = docs.select(
         F.col(key).alias("_key"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"),
     )
-    rows = rows.withColumn("_both", F.struct(*jumps(F.col("_key"), shards))).select("_key", "size", "text_crc32", F.col("_both.col1").alias("shard"), F.col("_both.col2").alias("grown_shard"))
-    rows = rows.withColumn("_block", F.coalesce(F.floor(F.col("_key") / (SLOT_ROWS * shards)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("_both", F.struct(*jumps(number, shards))).select("_key", "size", "text_crc32", "_row", F.col("_both.col1").alias("shard"), F.col("_both.col2").alias("grown_shard"))
+    rows = stored(rows, "sharded")
+    blocks = max(1, min(BLOCKS, -(-rows.count() // SLOT_ROWS)))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
     before = (
         rows.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
         .withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
         .select("shard", "_block", F.coalesce("_before", F.lit(0)).alias("_before"))
     )
-    numbered = rows.withColumn("_row", F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_key", "text_crc32", "size")))
-    return numbered.join(before, ["shard", "_block"]).select(
-        F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_row") - 1).alias("slot"), "grown_shard"
+    numbered = rows.withColumn("_place", F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_row")))
+    return numbered.join(F.broadcast(before), ["shard", "_block"]).select(  # BLOCKS * shards rows at most
+        F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_place") - 1).alias("slot"), "grown_shard"
     )

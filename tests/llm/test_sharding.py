@@ -55,6 +55,19 @@ def test_odd_documents(odd_docs, no_docs, spark):
     assert len(got) == twice.count()
 
 
+def test_hashed_equal_and_text_keys(spark, monkeypatch):
+    """Blocks of slots are even whatever the keys are: 64-bit hashes, one key for a third of the rows, no numbers."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 200)
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.xxhash64("id")).alias("doc_id"), F.lit("t").alias("text"))
+    got = sharding.shard(rows).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 6000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    named = sharding.shard(spark.range(2000).select(F.concat(F.lit("k"), F.col("id")).alias("doc_id"), F.lit("t").alias("text"))).groupBy("shard").count().collect()
+    assert len(named) == 16 and sum(r["count"] for r in named) == 2000
+
+
 def test_shards_are_near_even(spark):
     got = sharding.shard(spark.range(40000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))
     counts = [r["count"] for r in got.groupBy("shard").count().collect()]
