@@ -8,12 +8,18 @@ right) and reversed prefixes (to the left) are ordered by deep-shallow sorting:
 SHALLOW bytes, then blind tries for the groups that still agree. Common-prefix lengths along both orders
 tell, for every distance of a window from its anchor, which windows are equal; the first one stays.
 
-Hashes that gather over HOT_ANCHORS different surroundings are dealt once more, by whole window, so no
-group grows with the share of documents that hold a common passage.
+A common passage doesn't gather in one place: anchors with equal surroundings are reduced to the first of each
+BATCH_BYTES of text before they are sent; hashes that gather over HOT_ANCHORS different surroundings leave the
+bucket as they come and are dealt once more, by whole window, and of equal windows (compared byte by byte)
+only the first of each CHUNK records is sent.
+
+That two surroundings are equal is told by two 64-bit hashes of them (the gram, and the 168 bytes around it);
+their bytes are only compared where hashes of surroundings differ: sending all of them would take more disk
+than the text.
 
 Defined cases: null text is empty; documents with null ids come last and, like documents with equal ids,
 are taken in order of their text; texts under LENGTH bytes lose nothing; an empty table gives no rows;
-extra columns are ignored by `spans`, and kept by `without_repeats`.
+extra columns are ignored by `spans`, and kept by `without_repeats`; a worker holds one text whole.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ GRAM = 32
 REACH = LENGTH - GRAM  # the farthest that a window begins before its anchor
 SHALLOW = 48
 HOT_ANCHORS = 20_000
+#: Anchors of a bucket after which hot hashes leave it, and records of windows that are compared before they are sent.
+HELD_ANCHORS, CHUNK = 400_000, 60_000
 BLOCK = 512
 #: No byte of UTF-8 text.
 GAP = b"\xff" * LENGTH
@@ -210,31 +218,60 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
         yield block, ((r[1], r[2], r[3]) for r in some)
 
 
-def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of a bucket: spans where all surroundings are equal, points (by document block) where they differ."""
-    for _, rows in _by_block(batches):
-        found = [r[2] for r in rows if r[0] == ANCHORS]
-        if not found:
-            continue
-        h, around, doc, pos, back, fore = (np.concatenate(c) for c in zip(*(_unpack(f, *ANCHOR_TYPES) for f in found)))
-        pos = pos.astype(np.int64)
-        order = np.lexsort((pos, doc, around, h))
-        h, around, doc, pos, back, fore = (c[order] for c in (h, around, doc, pos, back, fore))
-        new = _groups(h, around)
-        old = ~new
-        if old.any():
-            yield _span_rows(doc[old], pos[old] - back[old], pos[old] - fore[old] + LENGTH)
-        h, doc, pos, back, fore = (c[new] for c in (h, doc, pos, back, fore))
-        cuts = np.flatnonzero(_groups(h))
-        sizes = np.diff(np.append(cuts, len(h)))
-        size = np.repeat(sizes, sizes)
-        some = size > 1
-        if some.any():
-            hot = (size > HOT_ANCHORS).astype("u1")
-            yield _rows(ANCHORS, doc[some] // BLOCK, (h[some], doc[some], pos[some].astype("<u4"), back[some], fore[some], hot[some]))
-
-
-def _third_pass(buckets: int):
+def _second_pass(hot_anchors: int, most: int):
+    """Anchors of a bucket: spans where all surroundings are equal, points (by document block) where they differ.
+
+    Not more than about `most` anchors of a bucket are held; hashes with over `hot_anchors` different
+    surroundings become hot points at once, as do all their later anchors.
+    """
+
+    def points(h, doc, pos, back, fore, hot: int) -> pa.RecordBatch:
+        return _rows(ANCHORS, doc // BLOCK, (h, doc, pos.astype("<u4"), back, fore, np.full(len(h), hot, "u1")))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_block(batches):
+            held: list[list[np.ndarray]] = []
+            hot, count, limit = np.zeros(0, np.uint64), 0, most
+
+            def reduced() -> Iterator[pa.RecordBatch]:
+                """Spans of anchors with surroundings seen before, and points of hot hashes; the others stay held."""
+                nonlocal held, hot, count, limit
+                h, around, doc, pos, back, fore = (np.concatenate(c) for c in zip(*held))
+                order = np.lexsort((pos, doc, around, h))
+                h, around, doc, pos, back, fore = (c[order] for c in (h, around, doc, pos, back, fore))
+                new = _groups(h, around)
+                if not new.all():
+                    old = ~new
+                    yield _span_rows(doc[old], pos[old].astype(np.int64) - back[old], pos[old].astype(np.int64) - fore[old] + LENGTH)
+                kept = [c[new] for c in (h, around, doc, pos, back, fore)]
+                values, sizes = np.unique(kept[0], return_counts=True)
+                hot = np.union1d(hot, values[sizes > hot_anchors])
+                out = np.isin(kept[0], hot)
+                if out.any():
+                    yield points(*(kept[k][out] for k in (0, 2, 3, 4, 5)), 1)
+                held = [[c[~out] for c in kept]]
+                count = len(held[0][0])
+                limit = max(most, 2 * count)
+
+            for kind, _, raw in rows:
+                if kind == ANCHORS:
+                    held.append(_unpack(raw, *ANCHOR_TYPES))
+                    count += len(held[-1][0])
+                    if count > limit:
+                        yield from reduced()
+            if not held:
+                continue
+            yield from reduced()
+            h, _, doc, pos, back, fore = held[0]
+            sizes = np.diff(np.append(np.flatnonzero(_groups(h)), len(h)))
+            some = np.repeat(sizes, sizes) > 1
+            if some.any():
+                yield points(*(c[some] for c in (h, doc, pos, back, fore)), 0)
+
+    return judge
+
+
+def _third_pass(buckets: int, chunk: int):
     """Points and texts of a document block to records with their surroundings, by bucket of their hash."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +285,18 @@ def _third_pass(buckets: int):
             h, doc, pos, back, fore, around = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((pos, doc, h))
             h, doc, pos, back, fore, around = (c[order] for c in (h, doc, pos, back, fore, around))
+            alone = np.flatnonzero((back == 0) & (fore == 0))  # records of one window: of equal ones the first is enough
+            if len(alone):
+                window = np.concatenate([h[alone].view(np.uint8).reshape(-1, 8), around[alone].view(np.uint8).reshape(-1, AROUND)[:, REACH : REACH + LENGTH]], axis=1)
+                _, first, number = np.unique(np.ascontiguousarray(window).view(f"V{8 + LENGTH}").ravel(), return_index=True, return_inverse=True)
+                again = np.ones(len(alone), bool)
+                again[_earliest(number, doc[alone], pos[alone], len(first))] = False
+                if again.any():
+                    gone = alone[again]
+                    yield _span_rows(doc[gone], pos[gone], pos[gone] + LENGTH)
+                    stay = np.ones(len(h), bool)
+                    stay[gone] = False
+                    h, doc, pos, back, fore, around = (c[stay] for c in (h, doc, pos, back, fore, around))
             yield _rows(ANCHORS, ((h >> _U(20)) % _U(buckets)).astype(np.int64), (h, doc, pos.astype("<u4"), back, fore, around))
 
         for _, rows in _by_block(batches):
@@ -274,7 +323,7 @@ def _third_pass(buckets: int):
                 around = data[(pos + LENGTH - REACH)[:, None] + np.arange(AROUND)[None, :]]
                 held.append([h, doc, pos, back, fore, np.ascontiguousarray(around).view(f"V{AROUND}").ravel()])
                 count += len(h)
-                if count >= 60_000:
+                if count >= chunk:
                     yield from emit()
                     held, count = [], 0
         if held:
@@ -283,6 +332,12 @@ def _third_pass(buckets: int):
     return gather
 
 
+def _earliest(number: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
+    """The row with the least (doc, pos) of each number under n."""
+    order = np.lexsort((pos, doc, number))
+    return order[np.searchsorted(number[order], np.arange(n))]
+
+
 def _by_window(data, h, doc, pos, back, fore, hot):
     """Points of hot hashes, one for each of their windows: the window's start is the anchor, its hash the key."""
     widths = back[hot].astype(np.int64) - fore[hot] + 1
@@ -454,8 +509,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     if docs.where(F.col(KEY).isNull()).isEmpty() and docs.groupBy(KEY).count().where("count > 1").isEmpty():
         return docs, True
     ordered = docs.drop(KEY).orderBy(F.asc_nulls_last("doc_id"), F.asc_nulls_first("text"))
-    schema = ordered.withColumn(KEY, F.lit(0).cast("long")).schema
-    return stored(ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema), "keyed"), False
+    return stored(ordered.withColumn(KEY, F.monotonically_increasing_id()), "keyed"), False  # ascending in sorted partitions
 
 
 def _buckets(docs: DataFrame) -> int:
@@ -471,27 +525,32 @@ def repeats(docs: DataFrame) -> DataFrame:
     buckets = _buckets(docs)
     first = docs.select(KEY, "text").mapInArrow(_first_pass(buckets), PACKED)
     # spans pass through the exchange beside the anchors, so the texts are hashed once
-    second = _dealt(first).mapInArrow(_second_and_spans, PACKED)
+    second = _dealt(first).mapInArrow(_with_spans(_second_pass(HOT_ANCHORS, HELD_ANCHORS)), PACKED)
     second = stored(second, "second")
     points = second.where(F.col("kind") == ANCHORS)
-    third = _dealt(points.union(_compressed(docs))).mapInArrow(_third_pass(buckets), PACKED)
-    fourth = _dealt(third).mapInArrow(_fourth_pass, PACKED)
+    third = _dealt(points.union(_compressed(docs))).mapInArrow(_third_pass(buckets, CHUNK), PACKED)
+    fourth = _dealt(third).mapInArrow(_with_spans(_fourth_pass), PACKED)
     return second.where(F.col("kind") == SPANS).union(fourth)
 
 
-def _second_and_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def anchors_only() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind = batch.column(1).to_numpy()
-            spans.append(batch.filter(pa.array(kind == SPANS)))
-            yield batch.filter(pa.array(kind == ANCHORS))
+def _with_spans(step):
+    """step over the anchors of its batches; their spans pass by."""
 
-    spans: list[pa.RecordBatch] = []
-    for out in _second_pass(anchors_only()):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def anchors_only() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kind = batch.column(1).to_numpy()
+                spans.append(batch.filter(pa.array(kind == SPANS)))
+                yield batch.filter(pa.array(kind == ANCHORS))
+
+        spans: list[pa.RecordBatch] = []
+        for out in step(anchors_only()):
+            yield from spans
+            spans.clear()
+            yield out
         yield from spans
-        spans.clear()
-        yield out
-    yield from spans
+
+    return run
 
 
 def _finish(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:

@@ -70,12 +70,34 @@ def made_texts(seed):
 def test_made_texts(spark, seed, hot, monkeypatch):
     """The third case deals every hash with over two surroundings by whole window."""
     if hot:
-        monkeypatch.setattr(suffixes, "HOT_ANCHORS", hot)
+        for name, value in (("HOT_ANCHORS", hot), ("HELD_ANCHORS", 50), ("CHUNK", 40)):
+            monkeypatch.setattr(suffixes, name, value)
     rows = list(enumerate(made_texts(seed)))
     random.Random(seed).shuffle(rows)
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
 
 
+def test_a_passage_in_every_document_does_not_gather(spark, monkeypatch):
+    """One passage between different surroundings in 1,500 documents: no bucket of windows holds a record of each."""
+    for name, value in (("HOT_ANCHORS", 100), ("HELD_ANCHORS", 500), ("CHUNK", 2000)):
+        monkeypatch.setattr(suffixes, name, value)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    passage = " ".join(word() for _ in range(40))[:137]
+    docs = spark.createDataFrame([(k, " ".join(word() for _ in range(20)) + passage + " ".join(word() for _ in range(20))) for k in range(1500)], "doc_id long, text string").repartition(4)
+    check(docs)
+    records, dealt = [], suffixes._dealt
+    monkeypatch.setattr(suffixes, "_dealt", lambda df: (records.append(df), dealt(df))[1])
+    suffixes.repeats(suffixes.keyed(docs)[0]).count()
+    third = records[-1].where(suffixes.F.col("kind") == suffixes.ANCHORS)
+    width = sum(np.dtype(t).itemsize for t in suffixes.RECORD_TYPES)
+    by_hash = {}
+    for r in third.collect():
+        for h in suffixes._unpack(bytes(r["data"]), *suffixes.RECORD_TYPES)[0].tolist():
+            by_hash[h] = by_hash.get(h, 0) + 1
+    assert width == 190 and max(by_hash.values()) < 400
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     check(odd_docs)
     assert suffixes.digests(no_docs).count() == 0
