@@ -1,17 +1,21 @@
-"""Near copies of documents: components of pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
+"""SimHash near-dedup at a likeness: components of pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
 
-All such pairs are linked, by prefix filtering: in any one order of shingles, two sets this alike share one
-among the first n - ceil(0.8 n) + 1 of each. Shingles that are common in a sample come last in that order,
+Candidates come from SimHash fingerprints of the sets first: equal ones, and those that the vantage-point trees
+link within three bits. That finds most copies with small changes, but at a likeness of 0.8 fingerprints differ
+by about ten of 64 bits, a radius at which triangle bounds prune nothing (unrelated ones lie at 32 +- 4). So
+that no link is lost, prefix filtering completes them: in any one order of shingles, two sets this alike share
+one among the first n - ceil(0.8 n) + 1 of each. Shingles that are common in a sample come last in that order,
 so that boilerplate seldom meets; the sample changes what is compared, never what is found. Every link is
 an exact comparison of whole sets (of 64-bit hashes).
 
-Texts with equal sets are one class and meet once. A first round compares each class with the one that
-leads most of its lists, so a large group of near copies becomes a component over as many links as it has
-members; only classes of different components are paired after that, where sizes and the shingles
-shared so far leave 0.8 possible.
+Texts with equal sets are one class and meet once. Beside its SimHash candidates the first round compares each
+class with the one that leads most of its lists, so a large group of near copies becomes a component over about
+as many links as it has members; only classes of different components are paired after that, where sizes and
+the shingles shared so far leave 0.8 possible.
 
 Defined cases: words are those of simhash; null text is empty; texts of fewer than five words have one
-shingle, the text; texts without words are one class; an empty table gives no rows.
+shingle, the text; texts without words are one class; an empty table gives no rows; columns beside key and
+text are ignored; a text is in a worker's memory as a whole.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.simhash import SEED
+from lumenspan.llm.simhash import SEED, links, majority
 from lumenspan.llm.tokens import column
 from lumenspan.operators.components import connected_components
 from lumenspan.session import ship, stored
@@ -83,7 +87,7 @@ def _common(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame, key: str) -> DataFrame:
-    """(key, digest of the set, size, tokens: its prefix) of every row."""
+    """(key, digest of the set, fp: its fingerprint, size, tokens: its prefix) of every row."""
     known = docs.sparkSession.sparkContext.broadcast(_common(docs, key))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,16 +95,17 @@ def _marked(docs: DataFrame, key: str) -> DataFrame:
 
         hot, rank = known.value
         for batch in batches:
-            digests, sizes, tokens = [], [], []
+            digests, prints, sizes, tokens = [], [], [], []
             for text in column(batch, "text").cast(pa.binary()):
                 found = shingle_set(text.as_py())
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                prints.append(majority(found))
                 sizes.append(len(found))
                 tokens.append(prefix(found, hot, rank).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["key", "digest", "size", "tokens"])
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["key", "digest", "fp", "size", "tokens"])
 
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(mark, "key long, digest binary, size int, tokens array<long>")
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(mark, "key long, digest binary, fp long, size int, tokens array<long>")
 
 
 def _lengths(a: Column, b: Column) -> Column:
@@ -120,14 +125,20 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     """(key, component): the smallest key of its component for every row; docs hold key, a distinct long, and text."""
     ship(docs.sparkSession)
     marked = stored(_marked(docs, key), "marked")
-    classes = marked.groupBy("digest").agg(F.min(F.struct("key", "size", "tokens")).alias("c")).select("digest", "c.*")
+    classes = marked.groupBy("digest").agg(F.min(F.struct("key", "fp", "size", "tokens")).alias("c")).select("digest", "c.*")
+    classes = stored(classes.drop("digest"), "classes")
     lists = classes.select(F.posexplode("tokens").alias("pos", "token"), F.col("key").alias("id"), "size")
     lists = stored(lists.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("token", "id", "size", "pos"), "lists")
 
+    # equal fingerprints and those within three bits, each compared with the first of its group
+    points = stored(classes.groupBy("fp").agg(F.min("key").alias("rep")), "points")
+    close = classes.join(points, "fp").where("key <> rep").select(F.col("key").alias("src"), F.col("rep").alias("dst")).union(links(points, points.count()))
+
     # the first class of a list leads it; each class is compared with the one that leads most of its lists
     led = lists.withColumn("lead", F.min(F.struct("size", "id")).over(Window.partitionBy("token"))).where(F.col("lead.id") != F.col("id")).where(_lengths(F.col("size"), F.col("lead.size")))
     first = led.groupBy("id", F.col("lead.id").alias("to")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("to")).alias("t"), "to")).alias("best"))
-    edges = stored(alike(stored(first.select(F.col("id").alias("src"), F.col("best.to").alias("dst")), "led"), docs, key), "stars")
+    first = close.union(first.select(F.col("id").alias("src"), F.col("best.to").alias("dst")))
+    edges = stored(alike(stored(first.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "led"), docs, key), "stars")
     known = stored(connected_components(edges), "known")
 
     sides = lists.join(known, lists["id"] == known["node"], "left").select("token", "id", "size", "pos", F.coalesce("component", "id").alias("part"))

@@ -7,6 +7,9 @@ home in one shard and a guest in the few shards beyond its boundaries, and no ot
 partner. Inside a shard a vantage-point tree over all 64 bits prunes by the bound of three bits; its
 leaves compare exactly. Shards give spanning edges, not pairs; components join them across shards.
 
+At the levels below the first a guest may lie on either side, so a further level doubles the guests: with three
+levels a fingerprint is in ten shards, with seven in about 130.
+
 A shard that outgrows SHARD_ROWS is dealt into blocks whose pairs cover all of its rows, so a large
 group of near copies never meets in one task.
 
@@ -52,10 +55,14 @@ def simhash(raw: bytes, words: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
         starts = [0, *ends[:-words].tolist()]
         hashes = [digest(text[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed number of the bits that are set in over half of 64-bit hashes (zero without any)."""
     counts = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 65536):
-        some = np.array(hashes[a : a + 65536], "<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(hashes[a : a + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
@@ -113,18 +120,15 @@ def join_near(points: np.ndarray, home: np.ndarray, bits: int = BITS) -> np.ndar
     root = np.arange(len(points))
 
     def leaf(rows: np.ndarray, among: np.ndarray) -> None:
-        nonlocal root
         high = max(1, LEAF // max(1, len(among)))
         for a in range(0, len(rows), high):
             some = rows[a : a + high]
             near = np.bitwise_count(points[some, None] ^ points[None, among]) <= bits
             for k in np.flatnonzero(near.sum(axis=1) > 1):
-                found = among[near[k]]
-                roots = root[found]
-                if (roots != roots[0]).any():
-                    moved = np.arange(len(root))
-                    moved[roots] = roots.min()
-                    root = moved[root]
+                tops = root[among[near[k]]]
+                while (tops != (higher := root[tops])).any():
+                    tops = higher
+                root[tops] = tops.min()
 
     def search(rows: np.ndarray, among: np.ndarray, depth: int) -> None:
         if len(rows) * len(among) <= LEAF or depth > 40:
@@ -142,6 +146,8 @@ def join_near(points: np.ndarray, home: np.ndarray, bits: int = BITS) -> np.ndar
         search(rows[outer], among[far > middle - bits], depth + 1)
 
     search(np.flatnonzero(home), np.arange(len(points)), 0)
+    while (root != (higher := root[root])).any():
+        root = higher
     return root
 
 
