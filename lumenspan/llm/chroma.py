@@ -207,17 +207,17 @@ def bit_error(one: Column, two: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + x) / F.greatest(F.lit(1), 32 * F.size(one))
 
 
-def _classes(prints: DataFrame) -> DataFrame:
-    """(cid, frames, asked, phases, part): distinct fingerprints, numbered, and the number of their class."""
-    one = prints.groupBy("frames").agg(F.min("media_id").alias("first"), F.max("asked").alias("asked"), F.max("phases").alias("phases"))
+def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct fingerprints (cid, digest, first, frames, asked, phases), their keys (cid, place, key), and the class (cid, part) of each."""
+    one = prints.groupBy("digest").agg(F.min("media_id").alias("first"), F.first("frames").alias("frames"), F.max("asked").alias("asked"), F.max("phases").alias("phases"))
     one = stored(one.withColumn("cid", F.monotonically_increasing_id()), "distinct")
     keys = stored(one.where(F.size("frames") >= MIN_FRAMES).select("cid", _keys(F.col("frames")).alias("k")).select("cid", "k.*"), "keys")
-    leads = keys.groupBy("key", "place").agg(F.min("cid").alias("lead"))
+    leads = keys.groupBy("key", "place").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last")
     pairs = keys.join(leads, ["key", "place"]).where("lead < cid").select("cid", "lead").distinct()
     lead = one.select(F.col("cid").alias("lead"), F.col("frames").alias("other"))
     near = pairs.join(one.select("cid", "frames"), "cid").join(lead, "lead").where(F.size("frames") == F.size("other")).where(bit_error(F.col("frames"), F.col("other")) <= MAX_ERROR)
     found = connected_components(near.select(F.col("cid").alias("src"), F.col("lead").alias("dst")))
-    return stored(one.join(found, one["cid"] == found["node"], "left").withColumn("part", F.coalesce("component", "cid")).drop("node", "component"), "classes")
+    return one, keys, stored(one.select("cid").join(found, one["cid"] == found["node"], "left").select("cid", F.coalesce("component", "cid").alias("part")), "parts")
 
 
 def search(media: DataFrame, asked: Column) -> DataFrame:
@@ -227,25 +227,24 @@ def search(media: DataFrame, asked: Column) -> DataFrame:
     recordings and match_id a recording of the other class, match_class; offset: frames that the match begins
     after it (a fraction where the match lies between frames), votes, overlap (frames) and bit_error.
     """
-    prints = stored(fingerprints(media, asked), "prints")
-    classes = _classes(prints)
-    named = classes.groupBy("part").agg(F.min("first").alias("class_id"))
-    keys = classes.where(F.size("frames") >= MIN_FRAMES).select("part", "cid", _keys(F.col("frames")).alias("k")).select("part", "cid", "k.*")
-    held = keys.groupBy("part", "place", "key").agg(F.min("cid").alias("cid"))  # a key that many near copies hold at one place is held once
-    views = classes.where("asked").select("part", "cid", F.posexplode(F.concat(F.array("frames"), "phases")).alias("phase", "view"))
+    prints = stored(fingerprints(media, asked).withColumn("digest", F.md5(F.concat_ws(" ", F.col("frames").cast("array<string>")))), "prints")
+    one, keys, parts = _classes(prints)
+    named = one.select("cid", "first").join(parts, "cid").groupBy("part").agg(F.min("first").alias("class_id"))
+    held = keys.join(parts, "cid").groupBy("part", "place", "key").agg(F.min("cid").alias("cid"))  # a key that many near copies hold at one place is held once
+    views = one.where("asked").join(parts, "cid").select("part", "cid", F.posexplode(F.concat(F.array("frames"), "phases")).alias("phase", "view"))
     views = stored(views.where(F.size("view") >= MIN_FRAMES), "views")
     seek = views.select("part", "cid", "phase", _keys(F.col("view"), 1).alias("k")).select("part", "cid", "phase", F.col("k.place").alias("at"), "k.key").groupBy("part", "phase", "at", "key").agg(F.min("cid").alias("cid"))
     met = seek.select(F.col("part").alias("query_part"), F.col("cid").alias("query"), "phase", "at", "key").join(held.withColumnRenamed("part", "match_part").withColumnRenamed("cid", "match"), "key")
     met = met.where("query_part <> match_part").groupBy("query_part", "query", "phase", "match_part", "match", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes"))
-    met = met.join(views.select(F.col("cid").alias("query"), "phase", F.col("view").alias("_q")), ["query", "phase"]).join(classes.select(F.col("cid").alias("match"), F.col("frames").alias("_m")), "match")
+    met = met.join(views.select(F.col("cid").alias("query"), "phase", F.col("view").alias("_q")), ["query", "phase"]).join(one.select(F.col("cid").alias("match"), F.col("frames").alias("_m")), "match")
     begin = F.greatest(F.lit(0), F.col("shift"))
     met = met.withColumn("overlap", F.least(F.size("_q"), F.size("_m") + F.col("shift")) - begin).where(F.col("overlap") >= MIN_FRAMES)
     met = met.withColumn("bit_error", bit_error(F.slice("_q", begin + 1, F.col("overlap")), F.slice("_m", begin - F.col("shift") + 1, F.col("overlap")))).where(F.col("bit_error") <= MAX_ERROR)
     offset = F.col("shift") + F.col("phase") / PHASES
     best = met.groupBy("query_part", "match_part").agg(F.max(F.struct("votes", (-F.col("bit_error")).alias("near"), (-F.abs(offset)).alias("by"), offset.alias("offset"), "overlap", "query", "match")).alias("b"))
-    ids = classes.select("cid", "first")
+    ids = one.select("cid", "first")
     matches = best.join(named.select(F.col("part").alias("query_part"), "class_id"), "query_part").join(named.select(F.col("part").alias("match_part"), F.col("class_id").alias("match_class")), "match_part")
     matches = matches.join(ids.select(F.col("cid").alias("query"), F.col("first").alias("media_id")), F.col("b.query") == F.col("query")).join(ids.select(F.col("cid").alias("match"), F.col("first").alias("match_id")), F.col("b.match") == F.col("match"))
     matches = matches.select("media_id", "class_id", F.lit(None).cast("long").alias("n_frames"), F.lit(True).alias("asked"), "match_id", "match_class", "b.offset", "b.votes", F.col("b.overlap").cast("long").alias("overlap"), (-F.col("b.near")).alias("bit_error"))
-    rows = prints.join(classes.select("frames", "part"), "frames").join(named, "part").select("media_id", "class_id", F.size("frames").cast("long").alias("n_frames"), "asked")
+    rows = prints.select("media_id", "asked", F.size("frames").cast("long").alias("n_frames"), "digest").join(one.select("digest", "cid"), "digest").join(parts, "cid").join(named, "part").select("media_id", "class_id", "n_frames", "asked")
     return rows.unionByName(matches, allowMissingColumns=True)
