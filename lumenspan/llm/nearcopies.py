@@ -8,10 +8,10 @@ one among the first n - ceil(0.8 n) + 1 of each. Shingles that are common in a s
 so that boilerplate seldom meets; the sample changes what is compared, never what is found. Every link is
 an exact comparison of whole sets (of 64-bit hashes).
 
-Texts with equal sets are one class and meet once. Beside its SimHash candidates the first round compares each
-class with the one that leads most of its lists, so a large group of near copies becomes a component over about
-as many links as it has members; only classes of different components are paired after that, where sizes and
-the shingles shared so far leave 0.8 possible.
+Texts with equal sets are one class and meet once. Each of ROUNDS rounds compares every class with one class of
+another component that leads most of its lists (the first round also the SimHash candidates), so a large group of
+near copies becomes a component over about as many links as it has members; only classes of different components
+are paired after that, where sizes and the shingles shared so far leave 0.8 possible.
 
 Defined cases: words are those of simhash; null text is empty; texts of fewer than five words have one
 shingle, the text; texts without words are one class; an empty table gives no rows; columns beside key and
@@ -35,6 +35,8 @@ from lumenspan.session import ship, stored
 WORDS = 5
 #: Rows of the sample, and the most shingles that it puts last.
 SAMPLE_ROWS, HOT = 20_000, 200_000
+#: Rounds in which classes are compared with leaders.
+ROUNDS = 2
 
 
 def shingle_set(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -134,12 +136,19 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     points = stored(classes.groupBy("fp").agg(F.min("key").alias("rep")), "points")
     close = classes.join(points, "fp").where("key <> rep").select(F.col("key").alias("src"), F.col("rep").alias("dst")).union(links(points, points.count()))
 
-    # the first class of a list leads it; each class is compared with the one that leads most of its lists
-    led = lists.withColumn("lead", F.min(F.struct("size", "id")).over(Window.partitionBy("token"))).where(F.col("lead.id") != F.col("id")).where(_lengths(F.col("size"), F.col("lead.size")))
-    first = led.groupBy("id", F.col("lead.id").alias("to")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("to")).alias("t"), "to")).alias("best"))
-    first = close.union(first.select(F.col("id").alias("src"), F.col("best.to").alias("dst")))
-    edges = stored(alike(stored(first.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "led"), docs, key), "stars")
-    known = stored(connected_components(edges), "known")
+    # each class is compared with one that leads most of its lists, other leaders in every round, until few are linked anew
+    edges, known = close, None
+    for turn in range(ROUNDS):
+        sides = lists.withColumn("part", F.col("id")) if known is None else lists.join(known, lists["id"] == known["node"], "left").select("token", "id", "size", "pos", F.coalesce("component", "id").alias("part"))
+        lead = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "size", "part")
+        leads = sides.groupBy("token").agg(F.min(lead).alias("a"), F.max(lead).alias("b")).where("a.part <> b.part")
+        led = sides.join(leads, "token").withColumn("to", F.when(F.col("a.part") != F.col("part"), F.col("a")).otherwise(F.col("b"))).where((F.col("to.part") != F.col("part")) & _lengths(F.col("size"), F.col("to.size")))
+        best = led.groupBy("id", F.col("to.id").alias("to")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("to")).alias("t"), "to")).alias("best"))
+        tried = best.select(F.col("id").alias("src"), F.col("best.to").alias("dst"))
+        tried = (tried.union(close) if known is None else tried).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+        new = stored(alike(stored(tried, "led"), docs, key), "stars")
+        edges = new if known is None else edges.union(new)
+        known = stored(connected_components(edges), "known")
 
     sides = lists.join(known, lists["id"] == known["node"], "left").select("token", "id", "size", "pos", F.coalesce("component", "id").alias("part"))
     a, b = (sides.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "pos", "part"))) for s in "ab")
