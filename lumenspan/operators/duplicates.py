@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions.text import shingles
 from lumenspan.operators.components import connected_components
+from lumenspan.session import stored
 
 POSTING, SHARED = 200, 3
 NEAR, NEAR_SAME_FACTS, PARAPHRASE = 0.6, 0.4, 0.3
@@ -30,17 +31,23 @@ def near_pairs(words: DataFrame, size: int = 5) -> DataFrame:
     for name in ("entities", "numbers"):
         if name not in cols:
             words = words.withColumn(name, F.array().cast("array<string>"))
-    marked = words.withColumn("runs", shingles(F.col("tokens"), size))
-    postings = marked.select("wording_id", F.explode("runs").alias("run"))
-    common = postings.groupBy("run").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= POSTING)).select("run")
-    postings = postings.join(common, "run")
-    pairs = (
-        postings.select(F.col("wording_id").alias("left_id"), "run").join(postings.select(F.col("wording_id").alias("right_id"), "run"), "run")
-        .where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
-    )
-    side = lambda s: marked.select(F.col("wording_id").alias(f"{s}_id"), F.col("runs").alias(f"{s}_runs"), F.col("entities").alias(f"{s}_e"), F.col("numbers").alias(f"{s}_n"))
-    both = pairs.select("left_id", "right_id").join(side("left"), "left_id").join(side("right"), "right_id")
-    share = F.size(F.array_intersect("left_runs", "right_runs")) / F.size(F.array_union("left_runs", "right_runs"))
+    marked = stored(words.select("wording_id", "entities", "numbers", F.transform(shingles(F.col("tokens"), size), lambda r: F.xxhash64(r)).alias("runs")), "runs")
+    postings = marked.select("wording_id", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    counts = postings.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    held = stored(postings.join(counts, "run").select("wording_id", "size", "run", (F.col("n") <= POSTING).alias("proposes")), "postings")
+    side = lambda s: held.where("proposes").select(F.col("wording_id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), "run")
+    pairs = side("left").join(side("right"), "run").where("left_id < right_id").groupBy("left_id", "right_id", "left_size", "right_size").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
+    # common runs propose no pairs, but count in those that others proposed
+    common = held.where("NOT proposes").groupBy("wording_id").agg(F.collect_set("run").alias("c"))  # as many as one wording has runs
+    both = pairs.join(common.select(F.col("wording_id").alias("left_id"), F.col("c").alias("left_c")), "left_id", "left").join(common.select(F.col("wording_id").alias("right_id"), F.col("c").alias("right_c")), "right_id", "left")
+    shared = F.col("n") + F.coalesce(F.size(F.array_intersect("left_c", "right_c")), F.lit(0))
+    if {"entities", "numbers"} & cols:
+        facts_of = lambda s: marked.select(F.col("wording_id").alias(f"{s}_id"), F.col("entities").alias(f"{s}_e"), F.col("numbers").alias(f"{s}_n"))
+        both = both.join(facts_of("left"), "left_id").join(facts_of("right"), "right_id")
+    else:
+        none = F.array().cast("array<string>")
+        both = both.withColumns({"left_e": none, "right_e": none, "left_n": none, "right_n": none})
+    share = shared / (F.col("left_size") + F.col("right_size") - shared)
     facts = (F.size("left_e") > 0) & (F.array_sort("left_e") == F.array_sort("right_e")) & (F.array_sort("left_n") == F.array_sort("right_n"))
     verdict = F.when(share >= NEAR, "near_duplicate").when((share >= NEAR_SAME_FACTS) & facts, "near_duplicate").when(share >= PARAPHRASE, "paraphrase").otherwise("distinct")
     return both.select("left_id", "right_id", F.round(share, 6).alias("similarity"), verdict.alias("verdict"))

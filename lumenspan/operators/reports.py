@@ -48,10 +48,16 @@ def coverage(points: DataFrame, hits: DataFrame) -> DataFrame:
     A hit without a point of its id goes to the point of its folded name.
     """
     key = lambda c: F.lower(F.trim(c))
-    by_id = hits.join(points.select("point_id"), "point_id", "left_semi").select("point_id", "paper_id")
-    rest = hits.join(points.select("point_id"), "point_id", "left_anti").select(key("name").alias("_k"), "paper_id")
-    by_name = rest.join(points.select("point_id", key("name").alias("_k")), "_k").select("point_id", "paper_id")
-    papers = by_id.unionByName(by_name).groupBy("point_id").agg(F.countDistinct("paper_id").alias("n_papers"))
+    # papers are counted by point and by name apart, and those found both ways once: names never meet all their points' hits
+    ids = points.select("point_id").distinct()
+    by_id = hits.join(ids, "point_id", "left_semi").select("point_id", "paper_id").distinct()
+    by_name = hits.join(ids, "point_id", "left_anti").select(key("name").alias("_k"), "paper_id").where("_k IS NOT NULL").distinct()
+    named = points.select("point_id", key("name").alias("_k")).distinct()
+    both = by_id.join(named, "point_id").join(by_name, ["_k", "paper_id"]).select("point_id", "paper_id").distinct().groupBy("point_id").agg(F.count("paper_id").alias("n_both"))
+    own = by_id.groupBy("point_id").agg(F.count("paper_id").alias("n_own"))
+    other = named.join(by_name.groupBy("_k").agg(F.count("paper_id").alias("n_named")), "_k").groupBy("point_id").agg(F.max("n_named").alias("n_named"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    papers = ids.join(own, "point_id", "left").join(other, "point_id", "left").join(both, "point_id", "left").select("point_id", (n("n_own") + n("n_named") - n("n_both")).alias("n_papers"))
     rows = points.join(papers, "point_id", "left").select(F.coalesce("domain", F.lit("(no domain)")).alias("domain"), F.coalesce("n_papers", F.lit(0)).alias("n_papers"))
     out = rows.groupBy("domain").agg(F.count("*").alias("n_points"), F.count(F.when(F.col("n_papers") >= 1, 1)).alias("n_loose"), F.count(F.when(F.col("n_papers") >= 2, 1)).alias("n_strict"))
     return out.withColumns({"loose": F.round(F.col("n_loose") / F.col("n_points"), 6), "strict": F.round(F.col("n_strict") / F.col("n_points"), 6)})

@@ -65,8 +65,10 @@ def evidence_spans_exact(spark, sf):
     return E.evidence_spans(d)
 
 
-@query(f"""WITH {SPANS} SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '{"|".join(f"({p})" for p in X.CITATIONS)}')) AS n_citations,
-round(count(*) FILTER (WHERE regexp_matches(text, '{"|".join(f"({p})" for p in X.CITATIONS)}')) / count(*), 4) AS share FROM spans GROUP BY 1""")
+CITED = "|".join(f"({p})" for p in X.CITATIONS).replace("'", "''")
+
+
+@query(f"""WITH {SPANS} SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '{CITED}')) AS n_citations, round(count(*) FILTER (WHERE regexp_matches(text, '{CITED}')) / count(*), 4) AS share FROM spans GROUP BY 1""")
 def citation_share(spark, sf):
     """Share of citation-like sentences by domain"""
     hit = F.count(F.when(X.citation_like(F.col("text")), 1))
@@ -97,7 +99,7 @@ sim AS (SELECT left_id, right_id, round(s.n / (x.n + y.n - s.n), 6) AS similarit
 @query(f"""WITH {TOKENS} SELECT left_id, right_id, similarity, CASE WHEN exact >= 0.6 THEN 'near_duplicate' WHEN exact >= 0.3 THEN 'paraphrase' ELSE 'distinct' END AS verdict FROM sim""")
 def near_duplicate_pairs(spark, sf):
     """Pairs of wordings by the overlap of their runs of five tokens"""
-    return N.near_pairs(N.wordings(_tokens(spark, sf)))
+    return N.near_pairs(stored(N.wordings(_tokens(spark, sf)), "wordings"))
 
 
 def _clusters(spark, sf):
@@ -129,13 +131,13 @@ def _df(spark, sf):
     return N.document_frequency(concepts, units)
 
 
-@query()
+@query(f"{UNITS} SELECT concept, raw_df, independent_df, raw_df - independent_df AS duplicate_df FROM df")
 def independent_df(spark, sf):
     """Document frequency of each publisher's name, raw and with copies counted once (tests hold it against plain Python)"""
     return _df(spark, sf)
 
 
-@query()
+@query(f"""{UNITS} SELECT count(*) AS n_concepts, CAST(coalesce(sum(raw_df), 0) AS BIGINT) AS raw_df_total, CAST(coalesce(sum(independent_df), 0) AS BIGINT) AS independent_df_total, round(CASE WHEN sum(raw_df) > 0 THEN 1 - sum(independent_df) / sum(raw_df) ELSE 0 END, 6) AS drop_ratio FROM df""")
 def df_summary(spark, sf):
     """Totals and the share that copies make up"""
     return N.frequency_summary(_df(spark, sf))
@@ -509,7 +511,11 @@ def citation_check(spark, sf):
     return load(spark, sf, "pages").select("page_id", X.citation_status(F.col("url"), F.col("url"), doi).alias("status"))
 
 
-@query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT w AS word, CASE """ + " ".join(f"WHEN w = '{a}' THEN '{b}'" for a, b in X.IRREGULAR_PLURALS.items()) + """ WHEN length(w) <= 3 THEN w WHEN w LIKE '%ies' AND length(w) > 4 THEN w[:-4] || 'y' WHEN regexp_matches(w, '(ses|xes|zes|ches|shes)$') THEN w[:-3] WHEN regexp_matches(w, '(ss|us|is)$') THEN w WHEN w LIKE '%s' THEN w[:-2] ELSE w END AS singular FROM t""")
+#: The singular of a word w in SQL.
+PLURAL = "CASE " + " ".join(f"WHEN w = '{a}' THEN '{b}'" for a, b in X.IRREGULAR_PLURALS.items()) + """ WHEN length(w) <= 3 THEN w WHEN w LIKE '%ies' AND length(w) > 4 THEN w[:-4] || 'y' WHEN regexp_matches(w, '(ses|xes|zes|ches|shes)$') THEN w[:-3] WHEN regexp_matches(w, '(ss|us|is)$') THEN w WHEN w LIKE '%s' THEN w[:-2] ELSE w END"""
+
+
+@query(f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT w AS word, {PLURAL} AS singular FROM t""")
 def singular_words(spark, sf):
     """X05 over the corpus's words"""
     words = load(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()

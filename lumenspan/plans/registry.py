@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lumenspan.plans import evidence_queries, library_queries, review_queries, service_queries
+from lumenspan.plans import evidence_queries, library_queries, review_queries, rule_queries, service_queries
 
 
 def queries():
-    return evidence_queries.QUERIES | library_queries.QUERIES | review_queries.QUERIES | service_queries.QUERIES
+    return evidence_queries.QUERIES | library_queries.QUERIES | review_queries.QUERIES | rule_queries.QUERIES | service_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return evidence_queries.SQL | library_queries.SQL | review_queries.SQL | service_queries.SQL
+    return evidence_queries.SQL | library_queries.SQL | review_queries.SQL | rule_queries.SQL | service_queries.SQL

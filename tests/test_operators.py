@@ -295,7 +295,7 @@ def test_rules_as_expressions(spark):
     assert at(X.json_object(F.lit("```json\n{\"a\": 1}\n```")).cast("string")) == '{"a":1}'
     assert at(X.json_object(F.lit("well: {\"a\": 1} ok")).cast("string")) == '{"a":1}'
     assert at(X.context(F.lit("x" * 300), F.lit(100), F.lit(110), 5)) == "x" * 170
-    assert at(X.citation_like(F.lit("see (Smith, 2021)"))) and not at(X.citation_like(F.lit("see it")))
+    assert at(X.citation_like(F.lit("see Smith (2021)"))) and not at(X.citation_like(F.lit("see it")))
     assert at(X.citation_status(F.lit("Graph"), F.lit("https://x.org/graph"), F.lit("10.1234/ab"))) == "PRELIMINARY"
     assert sorted(at(X.cjk_grams(F.lit("a 科研文 b")))) == sorted(["科研文", "科研", "研文"])
 
@@ -316,3 +316,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     last = max(b[0] for b in batch)
     assert got <= batch and {b for b in batch if (last - b[0]).total_seconds() > 2 * 3600} <= got
+
+
+def test_sentence_ends():
+    text = "We cite Smith et al. here; it holds. See Fig. 3. U.S. data (v. 2)! Next\nline . Wait... more?! end"
+    got = [s for _, _, s in X.split_sentences(text)]
+    assert got == ["We cite Smith et al. here;", "it holds.", "See Fig. 3. U.S. data (v. 2)!", "Next", "line .", "Wait... more?!", "end"]
+    assert all(text[a:b] == s for a, b, s in X.split_sentences(text))
+    assert X.split_sentences("") == [] and X.split_sentences(" \n ; ") == [(3, 4, ";")]
+
+
+def test_citation_styles(spark):
+    yes = ["(2019)", "Smith ET AL", "doi: 10.1/x", "pp. 3", "Vol. 4 no", "arXiv preprint", "[1, 2-4]", "2020. A title", "Smith John, A", "[12] Smith, J", "In Proceedings of", "Journal of Things"]
+    no = ["", "plain text with 3 words", "a journal", "in proceedings", "arXiv:1234", "see 12"]
+    rows = spark.createDataFrame([(t,) for t in [*yes, *no]] + [(None,)], "t string").select("t", X.citation_like(X.F.col("t")).alias("c")).collect()
+    assert [r["t"] for r in rows if r["c"]] == yes
