@@ -25,7 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies (five-word shingles, Jaccard 0.8; texts without words are one component).
+    """SimHash near-dedup: one row of each component of near copies (five-word shingles, Jaccard 0.8; texts without words are one component).
+
+    Fingerprints within three bits are compared first; nearcopies says how the links that they miss are found.
 
     It is the one with the smallest id; null ids come last, and the smallest text comes first among equal ids.
     """

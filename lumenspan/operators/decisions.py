@@ -75,7 +75,7 @@ def static_baseline(events: DataFrame, claims: DataFrame) -> DataFrame:
     return claims.select("claim_id").join(last, "claim_id", "left").select("claim_id", F.coalesce("status", F.lit("candidate")).alias("status"))
 
 
-# Adjudication of proposed claims.
+# Adjudication of proposed claims.
 
 
 def judged(claims: DataFrame, evidence: DataFrame) -> DataFrame:

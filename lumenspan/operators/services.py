@@ -1,4 +1,4 @@
-"""Catalogues, imports, reports and receipts."""
+"""Catalogues, imports, reports and receipts."""
 
 from __future__ import annotations
 
@@ -123,9 +123,13 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def receipt(rows: DataFrame) -> DataFrame:
-    """rows' count and an order-free digest, to be compared with a receipt made elsewhere."""
+    """rows' count and an order-free digest, to be compared with a receipt made elsewhere.
+
+    The digest is a sum of hashes, so repeated rows don't cancel each other.
+    """
     each = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
-    return rows.select(F.conv(F.substring(each, 1, 15), 16, 10).cast("long").alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("digest"))
+    h = F.conv(F.substring(each, 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.select(h.alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum("h"), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
 def ledger(receipts: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ def _relations(spark, sf):
 
 @query(f"WITH {RELATIONS} SELECT source, target, type, n_evidence, confidence FROM scored")
 def cooccurrence_relations(spark, sf):
-    """Typed relations between concepts of one sentence"""
+    """N04 (legacy pairing), A06, J12: typed relations between concepts of one sentence"""
     return _relations(spark, sf)
 
 
@@ -282,7 +282,7 @@ def hallucination_report(spark, sf):
 @query("""WITH r AS (SELECT o_orderkey AS path_id, abs(o_orderkey % 6 - o_custkey % 5) AS gap, list_distinct(['a', 'b', 'c', 'd' || (o_orderkey % 3)]) AS req, ['a', 'b', 'd1', 'c' || (o_custkey % 2)] AS cov, ['x', 'y' || (o_orderkey % 2)] AS mas, ['x' || (o_custkey % 4), 'y1', 'z', 'q', 'p'] AS tar FROM orders)
 SELECT path_id, gap, round(len(list_intersect(req, cov)) / len(req), 6) AS coverage, round(len(list_intersect(tar, mas)) / len(tar), 6) AS mastered_share, gap <= 1 AND len(list_intersect(req, cov)) / len(req) >= 0.8 AND len(list_intersect(tar, mas)) / len(tar) <= 0.2 AS suitable FROM r""")
 def adaptation_rule(spark, sf):
-    """Is a path's difficulty right for a learner?"""
+    """Is a path's difficulty right for a learner?"""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     name = lambda p, n: F.concat(F.lit(p), n.cast("string"))
     arr = lambda *x: F.array(*(F.lit(v) if isinstance(v, str) else v for v in x))
@@ -364,7 +364,7 @@ EDGES = "e AS (SELECT p_brand AS a, p_type AS b, max(p_retailprice / 10000) AS c
 @query(f"""WITH {EDGES}, one AS (SELECT DISTINCT b AS node FROM u JOIN s ON a = s.node), two AS (SELECT DISTINCT b AS node FROM u JOIN one ON a = one.node)
 SELECT node, 0 AS depth FROM s UNION ALL SELECT node, 1 FROM one WHERE node NOT IN (SELECT node FROM s) UNION ALL SELECT node, 2 FROM two WHERE node NOT IN (SELECT node FROM one) AND node NOT IN (SELECT node FROM s)""")
 def bfs_two_hop(spark, sf):
-    """What two steps reach"""
+    """What two steps reach"""
     edges = _edges(spark, sf)
     return G.reach(edges, edges.agg(F.min("src").alias("node")), depth=2)
 
@@ -399,7 +399,7 @@ e AS (SELECT l_partkey AS claim_id, count(*) AS n, count(DISTINCT l_suppkey) AS
 s AS (SELECT c.*, coalesce(n, 0) AS n, round(greatest(0, least(0.99, conf + least(0.10, 0.05 * coalesce(n, 0)) + (CASE WHEN coalesce(p, 0) >= 2 THEN 0.05 ELSE 0 END) + least(0.09, 0.03 * coalesce(a, 0)) - ((CASE WHEN coalesce(n, 0) = 0 THEN 0.45 ELSE 0 END) + (CASE WHEN relation = 'proves' THEN 0.45 ELSE 0 END) + (CASE WHEN conf < 0.7 THEN 0.08 ELSE 0 END) + (CASE WHEN flagged THEN 0.32 ELSE 0 END)))), 6)::DOUBLE AS score FROM c LEFT JOIN e USING (claim_id))
 SELECT claim_id, n AS n_evidence, score, CASE WHEN score >= 0.78 AND NOT (blocked OR relation = 'proves' OR n = 0) THEN 'accepted' WHEN score >= 0.58 AND n > 0 THEN 'needs_review' ELSE 'rejected' END AS status FROM s""")
 def judge_scores(spark, sf):
-    """N16, N17"""
+    """N17"""
     claims = load(spark, sf, "part").select(F.col("p_partkey").alias("claim_id"), F.when(F.col("p_size") == 7, "proves").otherwise("uses").alias("relation"), (0.5 + (F.col("p_partkey") % 45) / 100).alias("confidence"), (F.col("p_size") % 11 == 0).alias("flagged"), (F.col("p_size") % 13 == 0).alias("blocked"))
     spans_ = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("claim_id"), F.col("l_suppkey").alias("paper_id"), (F.col("l_suppkey") % 3 == 0).alias("grade_a"))
     return D.judged(claims, spans_)
@@ -471,7 +471,7 @@ def _count(keys):
 
 @query("WITH s AS (SELECT doc_id, " + ", ".join(f"{_count(k)} AS s{i}" for i, (_, k) in enumerate(DOMAINS)) + " FROM documents), b AS (SELECT *, greatest(s0, s1, s2, s3) AS n FROM s) SELECT doc_id, CASE WHEN n = 0 THEN 'general' " + " ".join(f"WHEN s{i} = n THEN '{d}'" for i, (d, _) in enumerate(DOMAINS)) + " END AS domain, CASE WHEN n = 0 THEN 0.0 ELSE round(least(1.0, 0.45 + 0.12 * n), 3) END::DOUBLE AS confidence, n::BIGINT AS matched FROM b")
 def domain_router(spark, sf):
-    """X08, P06"""
+    """X08"""
     return load(spark, sf, "documents").select("doc_id", X.route(F.col("text"), DOMAINS).alias("r")).select("doc_id", "r.*")
 
 
@@ -522,10 +522,10 @@ def singular_words(spark, sf):
     return words.select("word", X.singular(F.col("word")).alias("singular"))
 
 
-@query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE length(text) < 20) AS n_short, round(avg(length(regexp_replace(text, '[\\p{L}\\s]', '', 'g')) / length(text)), 4) AS symbols FROM documents WHERE length(text) > 0 GROUP BY 1""")
+@query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE length(t) < 20) AS n_short, round(avg(CASE WHEN length(t) = 0 THEN 1 ELSE length(regexp_replace(t, '[\\p{L}\\s]', '', 'g')) / length(t) END), 4) AS symbols FROM (SELECT source, coalesce(text, '') AS t FROM documents) GROUP BY 1""")
 def evidence_quality(spark, sf):
     """Symbol share by publisher"""
-    d = load(spark, sf, "documents").where(F.length("text") > 0)
+    d = load(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("text"))
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count(F.when(F.length("text") < 20, 1)).alias("n_short"), F.round(F.avg(X.symbol_ratio(F.col("text"))), 4).alias("symbols"))
 
 

@@ -103,7 +103,7 @@ def relation_decision_counts(spark, sf):
 (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey) AS n_links,
 (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey AND o_orderstatus = 'F') AS n_decided FROM nation""")
 def project_dashboard(spark, sf):
-    """Five counts, each aggregated before it is joined"""
+    """Five counts, each aggregated before it is joined"""
     p, e = papers(spark, sf), load(spark, sf, "orders")
     homed = e.join(p, e["o_custkey"] == p["paper_id"]).select("domain_id", "o_orderkey", "o_orderstatus")
     spans = homed.groupBy("domain_id").agg(F.count("*").alias("n_evidence"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("n_decided"))
@@ -121,7 +121,7 @@ _NEW = "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 2"
 
 @query(f"""SELECT coalesce(o.k, n.k) AS relation_id, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.k = n.k""")
 def version_diff(spark, sf):
-    """Two versions of a relation set"""
+    """Two versions of a relation set"""
     rows = load(spark, sf, "lineitem").withColumnRenamed("l_partkey", "relation_id")
     return L.version_diff(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"), "relation_id")
 
@@ -150,7 +150,7 @@ def paper_upsert_merge(spark, sf):
 
 @query("""SELECT user_id AS slice_id, event_type AS paper_kind, max(value) AS relevance, max(event_id) AS last_seen, count(*) AS retrieval_count FROM events GROUP BY 1, 2""")
 def slice_attach(spark, sf):
-    """Relevance keeps its maximum, retrievals add up"""
+    """Relevance keeps its maximum, retrievals add up"""
     return load(spark, sf, "events").groupBy(F.col("user_id").alias("slice_id"), F.col("event_type").alias("paper_kind")).agg(F.max("value").alias("relevance"), F.max("event_id").alias("last_seen"), F.count("*").alias("retrieval_count"))
 
 
@@ -174,7 +174,7 @@ def federated_dedupe(spark, sf):
 @query("""SELECT 'evidence' AS table_name, count(*) AS deleted FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)
 UNION ALL SELECT 'papers', count(*) FROM customer WHERE c_nationkey = 5""")
 def cascade_delete(spark, sf):
-    """What a deletion takes from each table"""
+    """What a deletion takes from each table"""
     p, e = papers(spark, sf), evidence(spark, sf)
     return L.cascade_delete(p.where("domain_id = 5").select("paper_id"), {"papers": p, "evidence": e}, "paper_id")[1]
 
@@ -254,21 +254,24 @@ def ordered_union(spark, sf):
 
 @query("""SELECT c_nationkey AS domain_id, c_custkey AS paper_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 3""")
 def snapshot_ranks(spark, sf):
-    """Ranks inside a session"""
+    """Ranks inside a session"""
     return L.top(papers(spark, sf), [F.desc("balance"), F.col("paper_id")], 3, by=["domain_id"]).select("domain_id", "paper_id", "rank")
 
 
 @query("""SELECT event_type AS route, count(*) AS n, count(*) FILTER (WHERE value < 1) AS n_failed, round(avg(value), 4) AS latency FROM events GROUP BY 1""")
 def request_metrics(spark, sf):
-    """Requests, failures and latency by route"""
+    """Requests, failures and latency by route"""
     return load(spark, sf, "events").groupBy(F.col("event_type").alias("route")).agg(F.count("*").alias("n"), F.count(F.when(F.col("value") < 1, 1)).alias("n_failed"), F.round(F.avg("value"), 4).alias("latency"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("customer", "orders", "lineitem", "part", "documents", "events")))
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES))
 def table_counts(spark, sf):
     """Row counts of the store's tables"""
     out = None
-    for t in ("customer", "orders", "lineitem", "part", "documents", "events"):
+    for t in TABLES:
         one = load(spark, sf, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n")
         out = one if out is None else out.unionByName(one)
     return out

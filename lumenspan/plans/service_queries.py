@@ -117,9 +117,9 @@ def run_ledger(spark, sf):
     return V.ledger(g.withColumn("expected", F.col("n") - F.col("n") % 2))
 
 
-@query("""SELECT s.n AS n, true AS same FROM (SELECT count(*) AS n FROM labels) s""")
+@query("""SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}'), 1, 15) AS BIGINT)) AS VARCHAR) AS digest, true AS same FROM labels""")
 def receipt_check(spark, sf):
-    """An aggregate made again from differently dealt rows has the same receipt"""
-    rows = load(spark, sf, "labels")
+    """The receipt of a table, and whether one made again from differently dealt rows is the same"""
+    rows = load(spark, sf, "labels").select("doc_id", "quality", "toxic")
     a, b = V.receipt(rows), V.receipt(rows.repartition(5))
-    return a.join(b.select(F.col("digest").alias("d"), F.col("n").alias("m")), F.col("n") == F.col("m")).select("n", (F.col("digest") == F.col("d")).alias("same"))
+    return a.join(b.select(F.col("digest").alias("d"), F.col("n").alias("m")), F.col("n") == F.col("m")).select("n", "digest", (F.col("digest") == F.col("d")).alias("same"))
