@@ -72,9 +72,9 @@ def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
         return np.zeros((0, 12))
     heard = np.fft.rfftfreq(WINDOW, 1 / RATE)
     use = np.flatnonzero((heard >= LOWEST) & (heard <= HIGHEST))
-    classes = np.zeros((len(use), 12), np.float32)
+    classes = np.zeros((len(use), 12))
     classes[np.arange(len(use)), np.round(12 * np.log2(heard[use] / 440.0)).astype(int) % 12] = 1
-    shape = np.hanning(WINDOW).astype(np.float32)
+    shape = np.hanning(WINDOW)  # doubles: pure tones fall to subnormal numbers in single precision, which are slow
     image = np.empty((len(frames), 12))
     for a in range(0, len(frames), BLOCK):
         tones = np.fft.rfft(frames[a : a + BLOCK] * shape, axis=1)[:, use[0] : use[-1] + 1]
