@@ -114,6 +114,11 @@ def _lengths(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def _room(a_size: Column, a_pos: Column, b_size: Column, b_pos: Column) -> Column:
+    """Whether sets that share no shingle before these places can have a likeness of 0.8."""
+    return 9 * F.least(a_size - a_pos, b_size - b_pos) >= 4 * (a_size + b_size)
+
+
 def alike(pairs: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """The pairs (src, dst) whose whole sets have a Jaccard likeness of 0.8 or more."""
     ends = pairs.select(F.col("src").alias(key)).union(pairs.select("dst")).distinct()
@@ -140,9 +145,10 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     edges, known = close, None
     for turn in range(ROUNDS):
         sides = lists.withColumn("part", F.col("id")) if known is None else lists.join(known, lists["id"] == known["node"], "left").select("token", "id", "size", "pos", F.coalesce("component", "id").alias("part"))
-        lead = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "size", "part")
+        central = F.floor(1000 * F.col("pos") / F.col("size")) if turn == 0 else F.lit(0)
+        lead = F.struct(central.alias("c"), F.xxhash64("id", F.lit(turn)).alias("r"), "id", "size", "pos", "part")
         leads = sides.groupBy("token").agg(F.min(lead).alias("a"), F.max(lead).alias("b")).where("a.part <> b.part")
-        led = sides.join(leads, "token").withColumn("to", F.when(F.col("a.part") != F.col("part"), F.col("a")).otherwise(F.col("b"))).where((F.col("to.part") != F.col("part")) & _lengths(F.col("size"), F.col("to.size")))
+        led = sides.join(leads, "token").withColumn("to", F.when(F.col("a.part") != F.col("part"), F.col("a")).otherwise(F.col("b"))).where((F.col("to.part") != F.col("part")) & _lengths(F.col("size"), F.col("to.size")) & _room(F.col("size"), F.col("pos"), F.col("to.size"), F.col("to.pos")))
         best = led.groupBy("id", F.col("to.id").alias("to")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("to")).alias("t"), "to")).alias("best"))
         tried = best.select(F.col("id").alias("src"), F.col("best.to").alias("dst"))
         tried = (tried.union(close) if known is None else tried).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
@@ -152,7 +158,8 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
 
     sides = lists.join(known, lists["id"] == known["node"], "left").select("token", "id", "size", "pos", F.coalesce("component", "id").alias("part"))
     a, b = (sides.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "pos", "part"))) for s in "ab")
-    met = a.join(b, "token").where("a_id < b_id AND a_part <> b_part").where(_lengths(F.col("a_size"), F.col("b_size")))
+    # shared shingles come in one order in both sets: those with room are the first of them, so counts and last places below stay a bound
+    met = a.join(b, "token").where("a_id < b_id AND a_part <> b_part").where(_lengths(F.col("a_size"), F.col("b_size")) & _room(F.col("a_size"), F.col("a_pos"), F.col("b_size"), F.col("b_pos")))
     met = met.groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.max(F.struct("a_pos", "b_pos")).alias("last"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
     most = F.col("n") + F.least(F.col("a_size") - F.col("last.a_pos"), F.col("b_size") - F.col("last.b_pos")) - 1
     pairs = stored(met.where(9 * most >= 4 * (F.col("a_size") + F.col("b_size"))).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")), "pairs")
