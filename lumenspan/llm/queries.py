@@ -89,6 +89,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every text, the base rules, and the verdict of robust distances in its language and source."""
+    from lumenspan.llm import outliers
+
+    return outliers.judged(load(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut into prefix, middle and suffix, written with marks and rebuilt."""
     from lumenspan.llm import fim
@@ -130,7 +137,7 @@ r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a D
 SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_imatch, op2_token_codes, op3_toxicity, op4_repeats, op5_jump_shards, op6_best_fit, op7_chat, op8_nbest, op9_chroma, op10_simhash, op12_fill_in_middle, op13_collocations)
+    f.__name__: f for f in (op1_imatch, op2_token_codes, op3_toxicity, op4_repeats, op5_jump_shards, op6_best_fit, op7_chat, op8_nbest, op9_chroma, op10_simhash, op11_robust_outliers, op12_fill_in_middle, op13_collocations)
 }
 
 
