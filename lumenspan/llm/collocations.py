@@ -1,15 +1,18 @@
 """Phrase collocations: a sketch names the candidates, automata count them, thresholds come last.
 
 1. Words are counted, which also gives the number of words N.
-2. Hashed phrases of two and three words are counted in a sketch of about N cells. A cell's count is an upper
-   bound of the count of every phrase in it. The sketch lies in slices of CELLS cells: a task sends the cells that
-   it met, with counts up to `least`, and each slice is summed up where it arrives. No sketch is held whole.
-3. Phrases whose cell reaches `least` are candidates: no phrase that is frequent enough can be missing.
-4. Candidates, each word between delimiters, are compiled into Aho-Corasick automata of bounded size. Every shard of
-   the texts is scanned for overlapping matches, counts are summed over the shards, and then thresholds hold.
-
-Texts are scanned once for every HEAVY cells and once for every PATTERN_CHARS characters of candidates, so memory is
-bounded whatever the corpus is, and the number of scans grows with the number of frequent phrases.
+2. Hashed phrases of two and three words are counted in a sketch of 2 N / LOAD cells. A cell's count is an upper bound of
+   the count of every phrase in it. The sketch lies in slices of CELLS cells: a task sends the cells that it met, and each
+   slice is summed up where it arrives. No sketch is held whole.
+3. Phrases whose cell reaches `least` are candidates: no phrase that is frequent enough can be missing. A bitmap of BITMAP
+   bits tells a scan which phrases to send; the cells themselves are joined afterwards.
+4. Word counts and the cell bound each candidate's score from above. The best by that bound, their parts and the phrases
+   that hold them are compiled into Aho-Corasick automata of bounded size, each word between delimiters. Every shard of the
+   texts is scanned for overlapping matches, counts are summed over the shards, and thresholds hold on the sums.
+5. Candidates whose bound reaches the last phrase that was reported, but which were not counted, are counted likewise.
+
+Memory is bounded whatever the corpus is. Texts are read three times, and once for every PATTERN_CHARS characters of
+phrases to count, which depend on the phrases asked for rather than on all frequent ones.
 
 Defined cases: null text is empty; null lang is `und`; texts, pieces and languages without words give nothing; repeated
 rows count each time; an empty table gives no rows; extra columns are ignored. A slice of about SLICE_BYTES, or one
@@ -19,21 +22,26 @@ longer text, is in a worker's memory, and its words are numbered in runs of RUN.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.tokens import column, slices
-from lumenspan.session import discard, ship, stored
-
-#: Cells of a slice of the sketch, phrases for each cell, cells of a scan for candidates, characters of an automaton.
-BITS = 22
-CELLS, LOAD, HEAVY, PATTERN_CHARS = 1 << BITS, 2, 1 << 21, 3 << 20
+from lumenspan.session import ship, stored
+
+#: Cells of a slice of the sketch, phrases for each cell, bits of the bitmap, characters of an automaton.
+BITS = 20
+CELLS, LOAD, BITMAP, PATTERN_CHARS = 1 << BITS, 0.5, 1 << 27, 8 << 20
+#: A cell that counts this is full, and bounds nothing.
+FULL = (1 << 32) - 1
+#: So many times the phrases asked for are counted at first.
+AHEAD = 10
 #: Words that are numbered together; words that a task counts before it sends them; phrases that a row of cells is made of.
 RUN, HELD_WORDS, HELD_GRAMS = 1 << 20, 500_000, 1 << 22
 
@@ -142,8 +150,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def heavy_cells(docs: DataFrame, n_slices: int, least: int) -> DataFrame:
-    """(slice, cells): cells of the sketch that at least `least` phrases fell into, as 32-bit integers."""
-    kind = np.uint8 if least < 128 else np.uint32  # two counts of at most `least` add up without overflow
+    """(slice, cells, bounds, bitmap): cells of the sketch that at least `least` phrases fell into, as 32-bit integers."""
+    bits = max(8, min(CELLS, 1 << int(math.log2(max(1, BITMAP // n_slices)))))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -151,12 +159,11 @@ def heavy_cells(docs: DataFrame, n_slices: int, least: int) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             places, back = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-            counts = np.minimum(np.bincount(back, weights=np.concatenate([c for _, c in held])), least).astype(kind)
-            where = places // CELLS
-            which, first = np.unique(where, return_index=True)
+            counts = np.minimum(np.bincount(back, weights=np.concatenate([c for _, c in held])), FULL).astype(np.uint32)
+            which, first = np.unique(places // CELLS, return_index=True)
             bounds = [*first.tolist(), len(places)]
             cells = (places % CELLS).astype(np.uint32)
-            cut = [(a, b) for a, b in zip(bounds, bounds[1:])]
+            cut = list(zip(bounds, bounds[1:]))
             return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([cells[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in cut], pa.binary())], ["slice", "cells", "counts"])
 
         for batch in batches:
@@ -174,170 +181,209 @@ def heavy_cells(docs: DataFrame, n_slices: int, least: int) -> DataFrame:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, cells, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                into = sums.setdefault(number, np.zeros(CELLS, kind))
-                at = np.frombuffer(cells.as_buffer(), np.uint32)
-                into[at] = np.minimum(into[at] + np.frombuffer(counts.as_buffer(), kind), least)
+                into = sums.setdefault(number, np.zeros(CELLS, np.uint32))
+                at, more = np.frombuffer(cells.as_buffer(), np.uint32), np.frombuffer(counts.as_buffer(), np.uint32)
+                into[at] += np.minimum(more, FULL - into[at])
         for number, into in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.flatnonzero(into >= least).astype(np.uint32).tobytes()], pa.binary())], ["slice", "cells"])
+            heavy = np.flatnonzero(into >= least).astype(np.uint32)
+            shown = np.zeros(bits, bool)
+            shown[heavy // (CELLS // bits)] = True
+            cells = [pa.array([x.tobytes()], pa.binary()) for x in (heavy, into[heavy], np.packbits(shown, bitorder="little"))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *cells], ["slice", "cells", "bounds", "bitmap"])
 
     spark = docs.sparkSession
     ship(spark)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_slices // 8)
-    return _texts(docs).mapInArrow(sketch, "slice long, cells binary, counts binary").repartition(tasks, "slice").mapInArrow(total, "slice long, cells binary")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_slices // 16)
+    return _texts(docs).mapInArrow(sketch, "slice long, cells binary, counts binary").repartition(tasks, "slice").mapInArrow(total, "slice long, cells binary, bounds binary, bitmap binary")
+
+
+def _cells(heavy: DataFrame) -> DataFrame:
+    """(place, bound): a row for each heavy cell; bound is null where the cell is full."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, cells, bounds in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                places, bound = np.frombuffer(cells.as_buffer(), np.uint32).astype(np.int64) + number * CELLS, np.frombuffer(bounds.as_buffer(), np.uint32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(bound, mask=bound >= FULL)], ["place", "bound"])
+
+    return heavy.select("slice", "cells", "bounds").mapInArrow(rows, "place long, bound long")
 
 
 def candidates(docs: DataFrame, n_words: int, least: int) -> DataFrame:
-    """(lang, phrase): every phrase of two or three words whose cell of the sketch reaches `least`."""
+    """(lang, phrase, bound): every phrase of two or three words whose cell of the sketch reaches `least`."""
     spark = docs.sparkSession
     n_slices = max(1, math.ceil(2 * n_words / (LOAD * CELLS)))
-    heavy = stored(heavy_cells(docs, n_slices, least).where(F.octet_length("cells") > 0), "heavy_cells")
-    n_heavy = (heavy.agg(F.sum(F.octet_length("cells")).alias("n")).first()["n"] or 0) // 4
-    rounds = min(n_slices, math.ceil(n_heavy / HEAVY))
-    out = None
-    for k in range(rounds):
-        rows = heavy.where(F.col("slice") % rounds == k).collect()  # about HEAVY cells; a slice has at most CELLS
-        cells = np.sort(np.concatenate([np.frombuffer(r["cells"], np.uint32).astype(np.int64) + r["slice"] * CELLS for r in rows] or [np.empty(0, np.int64)]))
-        found = _listed(docs, spark.sparkContext.broadcast(cells), n_slices)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "lang string, phrase string")
-    out = stored(out.distinct(), "candidates")
-    discard(heavy)
-    return out
-
-
-def _listed(docs: DataFrame, cells, n_slices: int) -> DataFrame:
+    heavy = stored(heavy_cells(docs, n_slices, least), "heavy_cells")
+    bitmaps = heavy.select("slice", "bitmap").collect()  # BITMAP bits, or a byte for each slice
+    bits = 8 * max((len(r["bitmap"]) for r in bitmaps), default=1)
+    shown = np.zeros((n_slices, bits // 8), np.uint8)
+    for r in bitmaps:
+        shown[r["slice"]] = np.frombuffer(r["bitmap"], np.uint8)
+    shown = spark.sparkContext.broadcast(shown.reshape(-1))
+
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = cells.value
-        seen: set[tuple[str, bytes]] = set()
+        known = shown.value
+        seen: dict[tuple[str, bytes], int] = {}
 
         def sent() -> pa.RecordBatch:
-            rows = list(seen)
+            rows, places = list(seen), list(seen.values())
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string())], ["lang", "phrase"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), pa.array(places, pa.int64())], ["lang", "phrase", "place"])
 
         for batch in batches:
             for lang, words in by_language(batch):
-                for size, hashes, _, places, run in grams(lang, words):
+                for size, hashes, _, first, run in grams(lang, words):
                     asked = placed(hashes, n_slices)
-                    order = np.argsort(asked)  # questions in order stay near each other in the table
-                    at = np.searchsorted(heavy, asked[order])
-                    hit = order[(at < len(heavy)) & (heavy[np.minimum(at, len(heavy) - 1)] == asked[order])] if len(heavy) else order[:0]
-                    seen.update((lang, b" ".join(run[p : p + size])) for p in places[hit].tolist())
+                    bit = asked // (CELLS // bits)
+                    hit = np.flatnonzero((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                    seen.update(((lang, b" ".join(run[p : p + size])), at) for p, at in zip(first[hit].tolist(), asked[hit].tolist()))
                 if len(seen) > HELD_WORDS:
                     yield sent()
         yield sent()
 
-    return _texts(docs).mapInArrow(names, "lang string, phrase string")
+    listed = _texts(docs).mapInArrow(names, "lang string, phrase string, place long").distinct()
+    return listed.join(_cells(heavy), "place").select("lang", "phrase", "bound")
 
 
 _AUTOMATA: dict = {}
 
 
-def automata(patterns) -> dict:
+def automata(name: str, patterns: pa.Table) -> dict:
     """An automaton for each language over delimited phrases; a worker keeps those of one broadcast."""
     import ahocorasick
 
-    if patterns.id not in _AUTOMATA:
+    if name not in _AUTOMATA:
         _AUTOMATA.clear()
         made: dict = {}
-        for number, (lang, phrase) in enumerate(patterns.value):
-            made.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f" {phrase} ", number)
+        for number, (lang, phrase) in enumerate(zip(patterns["lang"], patterns["phrase"])):
+            lang = lang.as_py()
+            if lang not in made:
+                made[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            made[lang].add_word(f" {phrase.as_py()} ", number)
         for one in made.values():
             one.make_automaton()
-        _AUTOMATA[patterns.id] = made
-    return _AUTOMATA[patterns.id]
-
-
-class Patterns:
-    """A broadcast list of (lang, phrase) with a name by which workers know it again."""
-
-    def __init__(self, broadcast, name: str):
-        self.broadcast, self.id = broadcast, name
-
-    @property
-    def value(self) -> list:
-        return self.broadcast.value
+        _AUTOMATA[name] = made
+    return _AUTOMATA[name]
 
 
 def counted(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(lang, phrase, a): occurrences of each of phrases(lang, phrase), overlapping ones too, inside pieces."""
-    import uuid
-
+    """(lang, phrase, a): occurrences of each of phrases(lang, phrase), overlapping ones too, inside pieces; none: no row."""
     spark = docs.sparkSession
     ship(spark)
     size = phrases.agg(F.sum(F.length("phrase") + 2).alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(size / PATTERN_CHARS))
-    dealt = stored(phrases.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int")).repartition("shard"), "patterns")
-    out = None
+    shards = math.ceil(size / PATTERN_CHARS)
+    dealt = phrases.select("lang", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, shards))).cast("int").alias("shard"))
+    out = spark.createDataFrame([], "lang string, phrase string, a long")
     for k in range(shards):
-        rows = [(r["lang"], r["phrase"]) for r in dealt.where(F.col("shard") == k).select("lang", "phrase").collect()]  # about PATTERN_CHARS characters
-        found = _scanned(docs, Patterns(spark.sparkContext.broadcast(rows), uuid.uuid4().hex))
-        out = found if out is None else out.unionByName(found)
+        sink = pa.BufferOutputStream()
+        table = dealt.where(F.col("shard") == k).select("lang", "phrase").toArrow()  # about PATTERN_CHARS characters
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        out = out.unionByName(_scanned(docs, spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex))
     return out.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def _scanned(docs: DataFrame, patterns: Patterns) -> DataFrame:
+def _scanned(docs: DataFrame, patterns, name: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows = automata(patterns), patterns.value
-        counts = np.zeros(len(rows), np.int64)
+        table = pa.ipc.open_stream(patterns.value).read_all().combine_chunks()
+        known = automata(name, table)
+        counts = np.zeros(len(table), np.int64)
         for batch in batches:
             for lang, words in by_language(batch):
                 if lang in known:
                     text = f" {b' '.join(words).decode()} "
                     found = Counter(map(itemgetter(1), known[lang].iter(text)))
                     counts[np.fromiter(found.keys(), np.int64, len(found))] += np.fromiter(found.values(), np.int64, len(found))
-        for at in np.array_split(np.flatnonzero(counts), len(rows) // 100_000 + 1):
-            some = [rows[k] for k in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.string()), pa.array([r[1] for r in some], pa.string()), pa.array(counts[at], pa.int64())], ["lang", "phrase", "a"])
+        met = np.flatnonzero(counts)
+        for batch in table.take(met).append_column("a", pa.array(counts[met])).to_batches(max_chunksize=100_000):
+            yield batch
 
     return _texts(docs).mapInArrow(scan, "lang string, phrase string, a long")
 
 
+def _big(name: str) -> Column:
+    return F.col(name).cast("decimal(18,0)")
+
+
+def score_of(a: str, left: str, right: str) -> Column:
+    """floor(1000000 a a / (l r)), in decimals of 38 digits."""
+    return F.call_function("div", F.lit(1000000).cast("decimal(7,0)") * (_big(a) * _big(a)).cast("decimal(31,0)"), (_big(left) * _big(right)).cast("decimal(38,0)"))
+
+
+def _of(table: DataFrame, name: str, key: str, value: str) -> DataFrame:
+    """A table's (lang, key, value) as (lang, name, n_name), to join by name."""
+    return table.select("lang", F.col(key).alias(name), F.col(value).alias(f"n_{name}"))
+
+
+def bounded(listed: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """Candidates with w0, w1, w2 (null: two words), head and tail, the counts of their words, bound and best.
+
+    (best, bound) is at least (score, count): a is at most the cell's count and every word's count; of three words, a part
+    of two occurs a times or more, so the score is at most 1000000 a / the count of the word beside it.
+    """
+    part = F.split("phrase", " ")
+    rows = listed.select("lang", "phrase", "bound", *(F.get(part, F.lit(k)).alias(f"w{k}") for k in range(3)))
+    single = words.where(F.col("n") >= least)
+    for k in range(3):
+        rows = rows.join(_of(single, f"w{k}", "word", "n"), ["lang", f"w{k}"], "inner" if k < 2 else "left")
+    rows = rows.where(F.col("w2").isNull() | F.col("n_w2").isNotNull()).withColumn("bound", F.least("bound", "n_w0", "n_w1", "n_w2"))
+    three = F.call_function("div", F.lit(1000000).cast("decimal(7,0)") * _big("bound"), F.greatest("n_w0", "n_w2").cast("decimal(18,0)"))
+    pair = F.col("w2").isNull()
+    return rows.withColumns({"head": F.when(~pair, F.concat_ws(" ", "w0", "w1")), "tail": F.when(~pair, F.concat_ws(" ", "w1", "w2")), "best": F.when(pair, score_of("bound", "n_w0", "n_w1")).otherwise(three)})
+
+
+def scored(asked: DataFrame, exact: DataFrame, known: DataFrame, least: int, share: int) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of those asked for that are frequent and in no longer phrase with `share` percent of their count."""
+    rows = asked.join(exact, ["lang", "phrase"]).where(F.col("a") >= least)
+    longer = known.where(F.col("w2").isNotNull()).join(exact, ["lang", "phrase"]).where(F.col("a") >= least)
+    inside = longer.select("lang", F.explode(F.array("head", "tail")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
+    pairs = rows.where(F.col("w2").isNull()).join(inside, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < share * F.col("a")))
+    pairs = pairs.select("lang", "phrase", "a", F.col("n_w0").alias("l"), F.col("n_w1").alias("r"), score_of("a", "n_w0", "n_w1").alias("score"))
+    triples = rows.where(F.col("w2").isNotNull())
+    for name in ("head", "tail"):
+        triples = triples.join(_of(exact, name, "phrase", "a"), ["lang", name])
+    triples = triples.withColumns({"_s1": score_of("a", "n_w0", "n_tail"), "_s2": score_of("a", "n_head", "n_w2")})
+    first = F.col("_s1") <= F.col("_s2")
+    return pairs.unionByName(triples.select("lang", "phrase", "a", F.when(first, F.col("n_w0")).otherwise(F.col("n_head")).alias("l"), F.when(first, F.col("n_tail")).otherwise(F.col("n_w2")).alias("r"), F.least("_s1", "_s2").alias("score")))
+
+
 def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
     """Each language's first `top` phrases of two or three words: lang, rank, phrase, a, l, r, n, score.
 
     a is the phrase's count (at least `least`), l and r those of its parts at the cut with the lowest
     score = floor(1000000 a a / (l r)), n the language's words. A phrase goes if a longer one that holds it has `share`
-    percent of its count. Counts are multiplied as decimals of 38 digits.
+    percent of its count.
     """
     words = stored(word_counts(docs), "words")
     n_words = words.agg(F.sum("n").alias("n")).first()["n"] or 0
-    frequent = stored(counted(docs, candidates(docs, n_words, least)).where(F.col("a") >= least), "phrases")
-    part = F.split("phrase", " ")
-    bi = frequent.where(F.size(part) == 2)
-    tri = frequent.where(F.size(part) == 3).select("lang", "phrase", "a", *(part[k].alias(f"w{k}") for k in range(3)))
-    tri = tri.withColumns({"head": F.concat_ws(" ", "w0", "w1"), "tail": F.concat_ws(" ", "w1", "w2")})
-    single = words.where(F.col("n") >= least)
-
-    def of(table: DataFrame, word: str, key: str, value: str, name: str) -> DataFrame:
-        return table.select("lang", F.col(key).alias(word), F.col(value).alias(name))
-
-    big = lambda c: F.col(c).cast("decimal(18,0)")
-    score = lambda left, right: F.call_function("div", F.lit(1000000).cast("decimal(7,0)") * (big("a") * big("a")).cast("decimal(31,0)"), (big(left) * big(right)).cast("decimal(38,0)"))
-    pairs = (
-        bi.withColumns({"w0": part[0], "w1": part[1]})
-        .join(of(single, "w0", "word", "n", "l"), ["lang", "w0"]).join(of(single, "w1", "word", "n", "r"), ["lang", "w1"])
-        .withColumn("score", score("l", "r"))
-    )
-    inside = tri.select("lang", "a", F.explode(F.array("head", "tail")).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
-    pairs = pairs.join(inside, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < share * F.col("a")))
-    triples = (
-        tri.join(of(single, "w0", "word", "n", "l1"), ["lang", "w0"]).join(of(bi, "tail", "phrase", "a", "r1"), ["lang", "tail"])
-        .join(of(bi, "head", "phrase", "a", "l2"), ["lang", "head"]).join(of(single, "w2", "word", "n", "r2"), ["lang", "w2"])
-        .withColumns({"s1": score("l1", "r1"), "s2": score("l2", "r2")})
-    )
-    first = F.col("s1") <= F.col("s2")
-    triples = triples.select("lang", "phrase", "a", F.when(first, F.col("l1")).otherwise(F.col("l2")).alias("l"), F.when(first, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.least("s1", "s2").alias("score"))
-    scored = stored(pairs.select("lang", "phrase", "a", "l", "r", "score").unionByName(triples), "scored")
+    known = stored(bounded(candidates(docs, n_words, least), words, least), "candidates")
+    asked = stored(_first(known, AHEAD * top, "best", "bound").drop("rank"), "asked")
+    exact = docs.sparkSession.createDataFrame([], "lang string, phrase string, a long")
+    done = exact.select("lang", "phrase")
+    while True:
+        pairs = asked.where(F.col("w2").isNull()).select("lang", "phrase")
+        triples = known.where(F.col("w2").isNotNull())
+        around = [triples.join(pairs.withColumnRenamed("phrase", name), ["lang", name], "left_semi").select("lang", "phrase") for name in ("head", "tail")]
+        parts = asked.where(F.col("w2").isNotNull()).select("lang", F.explode(F.array("head", "tail")).alias("phrase"))
+        names = asked.select("lang", "phrase").unionByName(parts).unionByName(around[0]).unionByName(around[1]).distinct()
+        names = stored(names.join(done, ["lang", "phrase"], "left_anti"), "names")
+        exact, done = stored(exact.unionByName(counted(docs, names)), "counts"), done.unionByName(names)
+        found = stored(_first(stored(scored(asked, exact, known, least, share), "scored"), top, "score", "a"), "found")
+        last = found.where(F.col("rank") == top).select("lang", F.col("score").alias("_s"), F.col("a").alias("_a"), F.col("phrase").alias("_p"))
+        below = (F.col("best") < F.col("_s")) | (F.col("best") == F.col("_s")) & ((F.col("bound") < F.col("_a")) | (F.col("bound") == F.col("_a")) & (F.col("phrase") > F.col("_p")))
+        missing = known.join(last, "lang", "left").where(F.col("_s").isNull() | ~below).drop("_s", "_a", "_p")
+        missing = stored(missing.join(asked, ["lang", "phrase"], "left_anti").select(*asked.columns), "asked")
+        if missing.isEmpty():
+            break
+        asked = asked.unionByName(missing)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    return _first(scored, top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return found.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def _first(scored: DataFrame, top: int) -> DataFrame:
+def _first(rows: DataFrame, top: int, *keys: str) -> DataFrame:
     """The first `top` phrases of each language, first among about as many groups as keep both steps' windows alike."""
-    groups = max(1, math.isqrt(scored.count() // top))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    ranked = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    some = ranked(scored.withColumn("_group", F.pmod(F.xxhash64("phrase"), F.lit(groups))), "lang", "_group").drop("_group", "rank")
+    groups = max(1, math.isqrt(rows.count() // top))
+    order = [*(F.desc(k) for k in keys), F.asc("phrase")]
+    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    some = ranked(rows.withColumn("_group", F.pmod(F.xxhash64("phrase"), F.lit(groups))), "lang", "_group").drop("_group", "rank")
     return ranked(some, "lang")

@@ -50,12 +50,13 @@ def test_documents(spark, sf):
 
 
 def test_many_scans(spark, sf, monkeypatch):
-    """Few cells for each scan and small automata give the same rows."""
+    """Several slices, a small bitmap, small automata and a second round of counting give the same rows."""
     docs = load(spark, sf, "documents")
     want = sorted(map(tuple, C.collocations(docs, top=50).collect()))
-    monkeypatch.setattr(C, "HEAVY", 100)
     monkeypatch.setattr(C, "LOAD", 0.05)  # several slices
-    monkeypatch.setattr(C, "PATTERN_CHARS", 3000)
+    monkeypatch.setattr(C, "BITMAP", 4096)  # most phrases pass, and the cells tell
+    monkeypatch.setattr(C, "PATTERN_CHARS", 20_000)
+    monkeypatch.setattr(C, "AHEAD", 1)
     assert sorted(map(tuple, C.collocations(docs, top=50).collect())) == want
 
 
@@ -97,15 +98,13 @@ def test_sketch_bounds_counts_from_above(spark, sf):
     for r in docs.collect():
         for size, hashes, n, places, run in C.grams(r["lang"], C.guarded([r["text"].encode()])):
             counts.update({(r["lang"], b" ".join(run[p : p + size])): c for p, c in zip(places.tolist(), n.tolist())})
-    listed = {(r["lang"], r["phrase"].encode()) for r in C.candidates(docs, sum(counts.values()) // 2, 10).collect()}
-    assert {p for p, c in counts.items() if c >= 10} <= listed
+    listed = {(r["lang"], r["phrase"].encode()): r["bound"] for r in C.candidates(docs, sum(counts.values()) // 2, 10).collect()}
+    assert all(listed[p] >= c for p, c in counts.items() if c >= 10)
 
 
 @pytest.mark.parametrize("size", [10**6, 3 * 10**9])
 def test_products_pass_64_bits(spark, size):
-    big = lambda c: F.col(c).cast("decimal(18,0)")
-    row = spark.createDataFrame([(size, size + 7, size * 2)], "a long, l long, r long")
-    got = row.select(F.call_function("div", F.lit(1000000).cast("decimal(7,0)") * (big("a") * big("a")).cast("decimal(31,0)"), (big("l") * big("r")).cast("decimal(38,0)")).alias("s")).first()["s"]
+    got = spark.createDataFrame([(size, size + 7, size * 2)], "a long, l long, r long").select(C.score_of("a", "l", "r").alias("s")).first()["s"]
     assert got == 1000000 * size * size // ((size + 7) * (size * 2))
 
 
