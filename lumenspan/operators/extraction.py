@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.functions.text import mention_finder, sentence_spans, sentences, stable_id
+from lumenspan.functions.text import sentence_spans, sentences, stable_id
 from lumenspan.operators.components import connected_components
+from lumenspan.operators.mentions import located
 from lumenspan.session import ship
 
 
@@ -24,12 +25,12 @@ def plain_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).alias("paper_id"), F.posexplode(sentences(F.col("text"))).alias("sentence_index", "text"))
 
 
-def mentions(spans: DataFrame, dictionary: list[tuple[str, int]]) -> DataFrame:
-    """Greedy dictionary mentions with offsets into the sentence; concepts are numbers."""
-    ship(spans.sparkSession)
-    find = mention_finder(dictionary)
-    rows = spans.select("evidence_id", "paper_id", F.explode(find("text")).alias("m"))
-    return rows.select(stable_id("mention", F.col("evidence_id"), F.col("m.concept").cast("string"), F.col("m.char_start").cast("string")).alias("mention_id"), "evidence_id", "paper_id", F.col("m.concept").alias("concept"), F.col("m.char_start").alias("char_start"), F.col("m.char_end").alias("char_end"))
+def mentions(spans: DataFrame, dictionary, boundary: str = "ascii") -> DataFrame:
+    """Greedy dictionary mentions with offsets into the sentence, one row each; dictionary as for `located`."""
+    rows = located(spans.select("evidence_id", "paper_id", "text"), dictionary, boundary=boundary)
+    rows = rows.select("evidence_id", "paper_id", F.explode("mentions").alias("m"))
+    key = stable_id("mention", F.col("evidence_id").cast("string"), F.col("m.concept"), F.col("m.char_start").cast("string"), F.col("m.char_end").cast("string"))
+    return rows.select(key.alias("mention_id"), "evidence_id", "paper_id", "m.concept", "m.type", "m.char_start", "m.char_end")
 
 
 def first_mentions(found: DataFrame) -> DataFrame:

@@ -174,13 +174,6 @@ def mentions_first(spark, sf):
     return E.first_mentions(_mentions(spark, sf)).select("evidence_id", "paper_id", "concept", "char_start")
 
 
-@query()
-def dictionary_mentions(spark, sf):
-    """Greedy longest-first mentions by the dictionary of the common words (tests hold it against plain Python)"""
-    rows = spans(spark, sf).select((F.col("paper_id") * 1000000 + F.col("sentence_index")).alias("evidence_id"), "paper_id", "text")
-    return E.mentions(rows, [(c, k) for k, c in enumerate(CONCEPTS)])
-
-
 @query(f"WITH {MENTIONS} SELECT concept, count(DISTINCT evidence_id) AS n_evidence, round(least(0.99, 0.78 + 0.04 * (count(DISTINCT evidence_id) - 1)), 6)::DOUBLE AS confidence FROM mention GROUP BY 1")
 def entity_confidence(spark, sf):
     """A05"""

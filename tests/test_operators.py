@@ -183,20 +183,6 @@ def test_names():
     assert X.names_equivalent("apple", "quartz") == ""
 
 
-def test_greedy_mentions(spark):
-    rows = spark.createDataFrame([("e1", 1, "graph neural network and Graph network, graphs"), ("e2", 1, None)], "evidence_id string, paper_id long, text string")
-    got = [(r["concept"], r["char_start"], r["char_end"]) for r in E.mentions(rows, [("graph", 0), ("graph neural network", 1), ("network", 2)]).orderBy("char_start").collect()]
-    assert got == [(1, 0, 20), (0, 25, 30), (2, 31, 38)]
-
-
-def test_dictionary_query_equals_plain_python(spark, sf):
-    spans = {r["evidence_id"]: r["text"] for r in evidence_queries.spans(spark, sf).select((F.col("paper_id") * 1000000 + F.col("sentence_index")).alias("evidence_id"), "text").collect()}
-    ordered = sorted(((c, k) for k, c in enumerate(evidence_queries.CONCEPTS)), key=lambda x: (-len(x[0]), x[0]))
-    want = {(e, k, m.start()) for e, t in spans.items() for c, k in ordered for m in re.finditer(rf"(?<![A-Za-z0-9]){c}(?![A-Za-z0-9])", t, re.I)}
-    got = {(r["evidence_id"], r["concept"], r["char_start"]) for r in evidence_queries.dictionary_mentions(spark, sf).collect()}
-    assert got == want
-
-
 def test_independent_frequency_equals_plain_python(spark, sf):
     rows, members = evidence_queries._clusters(spark, sf)
     cluster = {r["evidence_id"]: r["cluster"] for r in members.collect()}
