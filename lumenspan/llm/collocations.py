@@ -4,8 +4,10 @@
 2. Hashed phrases of two and three words are counted in a sketch of 2 N / LOAD cells. A cell's count is an upper bound of
    the count of every phrase in it. The sketch lies in slices of CELLS cells: a task sends the cells that it met, and each
    slice is summed up where it arrives. No sketch is held whole.
-3. Phrases whose cell reaches `least` are candidates: no phrase that is frequent enough can be missing. A bitmap of BITMAP
-   bits tells a scan which phrases to send; the cells themselves are joined afterwards.
+3. Phrases whose cell reaches `least` are candidates: no phrase that is frequent enough can be missing. A table of ENTRIES
+   levels, the powers of two that bound the cells, tells a scan which phrases to send; the cells are joined afterwards.
+   With the counts of the FREQUENT commonest words it also leaves out phrases whose score can't reach the first of FLOORS;
+   languages whose last reported phrase doesn't reach that floor either are done again with the next.
 4. Word counts and the cell bound each candidate's score from above. The best by that bound, their parts and the phrases
    that hold them are compiled into Aho-Corasick automata of bounded size, each word between delimiters. Every shard of the
    texts is scanned for overlapping matches, counts are summed over the shards, and thresholds hold on the sums.
@@ -26,6 +28,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,17 @@ from pyspark.sql import functions as F
 from lumenspan.llm.tokens import column, slices
 from lumenspan.session import ship, stored
 
-#: Cells of a slice of the sketch, phrases for each cell, bits of the bitmap, characters of an automaton.
+#: Cells of a slice of the sketch, phrases for each cell, bytes of the table of levels, characters of an automaton.
 BITS = 20
-CELLS, LOAD, BITMAP, PATTERN_CHARS = 1 << BITS, 0.5, 1 << 27, 8 << 20
+CELLS, LOAD, ENTRIES, PATTERN_CHARS = 1 << BITS, 0.5, 1 << 25, 8 << 20
+#: Words whose counts every task knows, and scores below which phrases are not listed at first.
+FREQUENT, FLOORS = 1 << 16, (100_000, 0)
 #: A cell that counts this is full, and bounds nothing.
 FULL = (1 << 32) - 1
 #: So many times the phrases asked for are counted at first.
 AHEAD = 10
+#: Languages that are left out of a further round by a broadcast.
+SURE = 10_000
 #: Words that are numbered together; words that a task counts before it sends them; phrases that a row of cells is made of.
 RUN, HELD_WORDS, HELD_GRAMS = 1 << 20, 500_000, 1 << 22
 
@@ -94,8 +101,23 @@ def hashed(lang: str, words: list[np.ndarray]) -> np.ndarray:
         return out ^ (out >> np.uint64(30))
 
 
-def grams(lang: str, words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """(size, hashes, counts, first places, run) of the different phrases of each run of words; runs overlap by two words."""
+class Grams(NamedTuple):
+    """The different phrases of one size in a run of words: hashes, counts, a place of each, the numbers of their words;
+    and for every place of such a phrase (`at`) which it is (`back`)."""
+
+    size: int
+    hashes: np.ndarray
+    counts: np.ndarray
+    places: np.ndarray
+    ids: list[np.ndarray]
+    at: np.ndarray
+    back: np.ndarray
+    run: list[bytes]
+    words: list[bytes]
+
+
+def grams(lang: str, words: list[bytes]) -> Iterator[Grams]:
+    """Phrases of two, then of three words of each run of words; runs overlap by two words."""
     import xxhash
 
     for begin in range(0, len(words), RUN):
@@ -112,9 +134,10 @@ def grams(lang: str, words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.n
             packed = np.zeros(len(inside), np.int64)  # at most RUN + 3 numbers, three of which fit
             for c in columns:
                 packed = packed * len(numbers) + c[inside]
-            packed, first, counts = np.unique(packed, return_index=True, return_counts=True)
+            packed, first, back, counts = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
             places = inside[first]
-            yield size, hashed(lang, [hashes[c[places]] for c in columns]), counts, places, run
+            mine = [c[places] for c in columns]
+            yield Grams(size, hashed(lang, [hashes[c] for c in mine]), counts, places, mine, inside, back, run, list(numbers))
 
 
 def placed(hashes: np.ndarray, n_slices: int) -> np.ndarray:
@@ -150,8 +173,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def heavy_cells(docs: DataFrame, n_slices: int, least: int) -> DataFrame:
-    """(slice, cells, bounds, bitmap): cells of the sketch that at least `least` phrases fell into, as 32-bit integers."""
-    bits = max(8, min(CELLS, 1 << int(math.log2(max(1, BITMAP // n_slices)))))
+    """(slice, cells, bounds, levels): cells of the sketch that at least `least` phrases fell into, as 32-bit integers.
+
+    A level is the power of two above the counts of some neighbouring cells, 0 where none is heavy.
+    """
+    entries = min(CELLS, 1 << int(math.log2(max(1, ENTRIES // n_slices))))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,9 +194,9 @@ def heavy_cells(docs: DataFrame, n_slices: int, least: int) -> DataFrame:
 
         for batch in batches:
             for lang, words in by_language(batch):
-                for _, hashes, counts, _, _ in grams(lang, words):
-                    held.append((placed(hashes, n_slices), counts))
-                    size += len(counts)
+                for g in grams(lang, words):
+                    held.append((placed(g.hashes, n_slices), g.counts))
+                    size += len(g.counts)
                 if size > HELD_GRAMS:
                     yield sent()
                     held, size = [], 0
@@ -186,15 +212,15 @@ def heavy_cells(docs: DataFrame, n_slices: int, least: int) -> DataFrame:
                 into[at] += np.minimum(more, FULL - into[at])
         for number, into in sums.items():
             heavy = np.flatnonzero(into >= least).astype(np.uint32)
-            shown = np.zeros(bits, bool)
-            shown[heavy // (CELLS // bits)] = True
-            cells = [pa.array([x.tobytes()], pa.binary()) for x in (heavy, into[heavy], np.packbits(shown, bitorder="little"))]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *cells], ["slice", "cells", "bounds", "bitmap"])
+            levels = np.zeros(entries, np.uint8)
+            np.maximum.at(levels, heavy // (CELLS // entries), np.where(into[heavy] >= FULL, 255, np.ceil(np.log2(into[heavy] + 1.0))).astype(np.uint8))
+            cells = [pa.array([x.tobytes()], pa.binary()) for x in (heavy, into[heavy], levels)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *cells], ["slice", "cells", "bounds", "levels"])
 
     spark = docs.sparkSession
     ship(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_slices // 16)
-    return _texts(docs).mapInArrow(sketch, "slice long, cells binary, counts binary").repartition(tasks, "slice").mapInArrow(total, "slice long, cells binary, bounds binary, bitmap binary")
+    return _texts(docs).mapInArrow(sketch, "slice long, cells binary, counts binary").repartition(tasks, "slice").mapInArrow(total, "slice long, cells binary, bounds binary, levels binary")
 
 
 def _cells(heavy: DataFrame) -> DataFrame:
@@ -209,40 +235,59 @@ def _cells(heavy: DataFrame) -> DataFrame:
     return heavy.select("slice", "cells", "bounds").mapInArrow(rows, "place long, bound long")
 
 
-def candidates(docs: DataFrame, n_words: int, least: int) -> DataFrame:
-    """(lang, phrase, bound): every phrase of two or three words whose cell of the sketch reaches `least`."""
-    spark = docs.sparkSession
-    n_slices = max(1, math.ceil(2 * n_words / (LOAD * CELLS)))
-    heavy = stored(heavy_cells(docs, n_slices, least), "heavy_cells")
-    bitmaps = heavy.select("slice", "bitmap").collect()  # BITMAP bits, or a byte for each slice
-    bits = 8 * max((len(r["bitmap"]) for r in bitmaps), default=1)
-    shown = np.zeros((n_slices, bits // 8), np.uint8)
-    for r in bitmaps:
-        shown[r["slice"]] = np.frombuffer(r["bitmap"], np.uint8)
-    shown = spark.sparkContext.broadcast(shown.reshape(-1))
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shown.value
-        seen: dict[tuple[str, bytes], int] = {}
-
-        def sent() -> pa.RecordBatch:
-            rows, places = list(seen), list(seen.values())
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), pa.array(places, pa.int64())], ["lang", "phrase", "place"])
-
-        for batch in batches:
-            for lang, words in by_language(batch):
-                for size, hashes, _, first, run in grams(lang, words):
-                    asked = placed(hashes, n_slices)
-                    bit = asked // (CELLS // bits)
-                    hit = np.flatnonzero((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                    seen.update(((lang, b" ".join(run[p : p + size])), at) for p, at in zip(first[hit].tolist(), asked[hit].tolist()))
-                if len(seen) > HELD_WORDS:
-                    yield sent()
-        yield sent()
+class Sketch:
+    """The heavy cells of a corpus, its table of levels and its commonest words, to list candidates with."""
+
+    def __init__(self, docs: DataFrame, words: DataFrame, least: int):
+        spark = docs.sparkSession
+        n_words = words.agg(F.sum("n").alias("n")).first()["n"] or 0
+        self.n_slices = max(1, math.ceil(2 * n_words / (LOAD * CELLS)))
+        self.heavy = stored(heavy_cells(docs, self.n_slices, least), "heavy_cells")
+        rows = self.heavy.select("slice", "levels").collect()  # ENTRIES bytes, or one for each slice
+        table = np.zeros((self.n_slices, max((len(r["levels"]) for r in rows), default=1)), np.uint8)
+        for r in rows:
+            table[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
+        common: dict[str, dict[bytes, int]] = {}
+        for r in words.orderBy(F.desc("n"), "lang", "word").limit(FREQUENT).collect():
+            common.setdefault(r["lang"], {})[r["word"].encode()] = r["n"]
+        self.step = CELLS // table.shape[1]
+        self.levels, self.common = spark.sparkContext.broadcast(table.reshape(-1)), spark.sparkContext.broadcast(common)
+
+    def candidates(self, docs: DataFrame, floor: int = 0) -> DataFrame:
+        """(lang, phrase, bound): phrases whose cell is heavy and whose score may reach `floor`, and heavy phrases that hold one."""
+        levels, common, step, n_slices = self.levels, self.common, self.step, self.n_slices
+
+        def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[tuple[str, bytes], int] = {}
+
+            def sent() -> pa.RecordBatch:
+                rows, places = list(seen), list(seen.values())
+                seen.clear()
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), pa.array(places, pa.int64())], ["lang", "phrase", "place"])
+
+            for batch in batches:
+                for lang, words in by_language(batch):
+                    counts_of = common.value.get(lang, {})
+                    pairs = None
+                    for g in grams(lang, words):
+                        asked = placed(g.hashes, n_slices)
+                        level = levels.value[asked // step]
+                        known = np.array([counts_of.get(w, 1) for w in g.words], np.float64)
+                        # a phrase occurs as often as its last or first word at most, so its score is under a / count of either
+                        passed = (level > 0) & (1e6 * np.exp2(level.astype(np.float64)) >= floor * np.maximum(known[g.ids[0]], known[g.ids[-1]]))
+                        if g.size == 2:
+                            pairs = np.ones(len(g.run) + 1, bool)
+                            pairs[g.at] = passed[g.back]
+                        else:  # all places of a phrase have the same pairs
+                            passed |= (level > 0) & (pairs[g.places] | pairs[g.places + 1])
+                        hit = np.flatnonzero(passed)
+                        seen.update(((lang, b" ".join(g.run[p : p + g.size])), at) for p, at in zip(g.places[hit].tolist(), asked[hit].tolist()))
+                    if len(seen) > HELD_WORDS:
+                        yield sent()
+            yield sent()
 
-    listed = _texts(docs).mapInArrow(names, "lang string, phrase string, place long").distinct()
-    return listed.join(_cells(heavy), "place").select("lang", "phrase", "bound")
+        listed = _texts(docs).mapInArrow(names, "lang string, phrase string, place long").distinct()
+        return listed.join(_cells(self.heavy), "place").select("lang", "phrase", "bound")
 
 
 _AUTOMATA: dict = {}
@@ -355,8 +400,25 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     percent of its count.
     """
     words = stored(word_counts(docs), "words")
-    n_words = words.agg(F.sum("n").alias("n")).first()["n"] or 0
-    known = stored(bounded(candidates(docs, n_words, least), words, least), "candidates")
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    sketch = Sketch(docs, words, least)
+    out = None
+    for floor in FLOORS:
+        found = _best(docs, stored(bounded(sketch.candidates(docs, floor), words, least), "candidates"), least, share, top)
+        if floor:
+            sure = found.where((F.col("rank") == top) & (F.col("score") >= floor)).select("lang")
+            sure = F.broadcast(sure) if (n_sure := sure.count()) <= SURE else sure
+            found = found.join(sure, "lang", "left_semi")
+        out = found if out is None else out.unionByName(found)
+        if floor and n_sure == totals.count():
+            break
+        if floor and n_sure:
+            docs = _texts(docs).join(sure, "lang", "left_anti")
+    return out.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def _best(docs: DataFrame, known: DataFrame, least: int, share: int, top: int) -> DataFrame:
+    """The first `top` phrases of each language among candidates, by counts of all that may be among them."""
     asked = stored(_first(known, AHEAD * top, "best", "bound").drop("rank"), "asked")
     exact = docs.sparkSession.createDataFrame([], "lang string, phrase string, a long")
     done = exact.select("lang", "phrase")
@@ -374,10 +436,8 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
         missing = known.join(last, "lang", "left").where(F.col("_s").isNull() | ~below).drop("_s", "_a", "_p")
         missing = stored(missing.join(asked, ["lang", "phrase"], "left_anti").select(*asked.columns), "asked")
         if missing.isEmpty():
-            break
+            return found
         asked = asked.unionByName(missing)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    return found.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def _first(rows: DataFrame, top: int, *keys: str) -> DataFrame:

@@ -50,11 +50,11 @@ def test_documents(spark, sf):
 
 
 def test_many_scans(spark, sf, monkeypatch):
-    """Several slices, a small bitmap, small automata and a second round of counting give the same rows."""
+    """Several slices, a small table of levels, small automata and a second round of counting give the same rows."""
     docs = load(spark, sf, "documents")
     want = sorted(map(tuple, C.collocations(docs, top=50).collect()))
     monkeypatch.setattr(C, "LOAD", 0.05)  # several slices
-    monkeypatch.setattr(C, "BITMAP", 4096)  # most phrases pass, and the cells tell
+    monkeypatch.setattr(C, "ENTRIES", 4096)  # most phrases pass, and the cells tell
     monkeypatch.setattr(C, "PATTERN_CHARS", 20_000)
     monkeypatch.setattr(C, "AHEAD", 1)
     assert sorted(map(tuple, C.collocations(docs, top=50).collect())) == want
@@ -67,6 +67,18 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert C.collocations(odd_docs.select(F.lit(None).cast("string").alias("text"), "lang")).count() == 0
 
 
+@pytest.mark.parametrize("floors", [(100_000, 0), (900_000, 1000, 0), (0,)])
+def test_floors_change_nothing(spark, floors, monkeypatch):
+    """One language has enough strong phrases at the floor, one has not; long phrases below it still drop short ones."""
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(5)]
+    rows = [("en", " ".join(rng.choice([*common, f"x{rng.randrange(40)} y{rng.randrange(3)}", "the rare pair"]) for _ in range(80))) for _ in range(60)]
+    rows += [("de", " ".join(rng.choice(common) for _ in range(80))) for _ in range(60)] + [("en", f"solo{k} duo{k}") for k in range(30)] * 12
+    monkeypatch.setattr(C, "FLOORS", floors)
+    monkeypatch.setattr(C, "FREQUENT", 20)
+    check(spark.createDataFrame(rows, "lang string, text string"), top=20)
+
+
 def test_overlaps_pieces_and_ties(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["en", "und", None, ""]), " ".join(rng.choice(["a", "B", "b.", "c,d", "é\tÉ", "a\x1ca", "x!", "A", "\xa0"]) for _ in range(rng.randrange(60)))) for _ in range(300)]
@@ -86,9 +98,9 @@ def test_runs_overlap(monkeypatch):
     for run in (1, 2, 7, 10_000):
         monkeypatch.setattr(C, "RUN", run)
         got = Counter()
-        for size, hashes, counts, places, some in C.grams("en", words):
-            for c, p in zip(counts.tolist(), places.tolist()):
-                got[tuple(some[p : p + size])] += c
+        for g in C.grams("en", words):
+            for c, p in zip(g.counts.tolist(), g.places.tolist()):
+                got[tuple(g.run[p : p + g.size])] += c
         assert got == want
 
 
@@ -96,9 +108,9 @@ def test_sketch_bounds_counts_from_above(spark, sf):
     docs = load(spark, sf, "documents")
     counts = Counter()
     for r in docs.collect():
-        for size, hashes, n, places, run in C.grams(r["lang"], C.guarded([r["text"].encode()])):
-            counts.update({(r["lang"], b" ".join(run[p : p + size])): c for p, c in zip(places.tolist(), n.tolist())})
-    listed = {(r["lang"], r["phrase"].encode()): r["bound"] for r in C.candidates(docs, sum(counts.values()) // 2, 10).collect()}
+        for g in C.grams(r["lang"], C.guarded([r["text"].encode()])):
+            counts.update({(r["lang"], b" ".join(g.run[p : p + g.size])): c for p, c in zip(g.places.tolist(), g.counts.tolist())})
+    listed = {(r["lang"], r["phrase"].encode()): r["bound"] for r in C.Sketch(docs, C.word_counts(docs), 10).candidates(docs).collect()}
     assert all(listed[p] >= c for p, c in counts.items() if c >= 10)
 
 
