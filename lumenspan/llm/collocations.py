@@ -17,7 +17,7 @@ Memory is bounded whatever the corpus is. Texts are read three times, and once f
 phrases to count, which depend on the phrases asked for rather than on all frequent ones.
 
 Defined cases: null text is empty; null lang is `und`; texts, pieces and languages without words give nothing; repeated
-rows count each time; an empty table gives no rows; extra columns are ignored. A slice of about SLICE_BYTES, or one
+rows count each time; an empty table gives no rows; extra columns are ignored. A slice of about TEXT_BYTES, or one
 longer text, is in a worker's memory, and its words are numbered in runs of RUN.
 """
 
@@ -50,7 +50,9 @@ AHEAD = 10
 #: Languages that are left out of a further round by a broadcast.
 SURE = 10_000
 #: Words that are numbered together; words that a task counts before it sends them; phrases that a row of cells is made of.
-RUN, HELD_WORDS, HELD_GRAMS = 1 << 20, 500_000, 1 << 22
+RUN, HELD_WORDS, HELD_GRAMS = 1 << 20, 200_000, 1 << 21
+#: Bytes of text that are cut into words at once (one text at least).
+TEXT_BYTES = 2 << 20
 
 #: Ends of pieces become full stops, which no word holds, tabs become spaces, A-Z small letters.
 GUARD = b"."
@@ -67,7 +69,7 @@ def guarded(texts: list[bytes]) -> list[bytes]:
 def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
     """(lang, guarded words) of a batch's texts, slice by slice."""
     texts, langs = column(batch, "text"), batch.column(batch.schema.get_field_index("lang")).to_pylist()
-    for a, b in slices(texts):
+    for a, b in slices(texts, TEXT_BYTES):
         found: dict[str, list[bytes]] = {}
         for lang, text in zip(langs[a:b], texts.slice(a, b - a).cast(pa.binary()).to_pylist()):
             found.setdefault(lang, []).append(text)
@@ -184,8 +186,12 @@ def heavy_cells(docs: DataFrame, n_slices: int, least: int) -> DataFrame:
         size = 0
 
         def sent() -> pa.RecordBatch:
-            places, back = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-            counts = np.minimum(np.bincount(back, weights=np.concatenate([c for _, c in held])), FULL).astype(np.uint32)
+            places, counts = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            order = np.argsort(places)
+            places = places[order]
+            starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+            counts = np.minimum(np.add.reduceat(counts[order], starts), FULL).astype(np.uint32)
+            places = places[starts]
             which, first = np.unique(places // CELLS, return_index=True)
             bounds = [*first.tolist(), len(places)]
             cells = (places % CELLS).astype(np.uint32)
