@@ -1,4 +1,4 @@
-"""Mentions, triggered pairs and typed relations over all sentences of the documents, each beside its SQL.
+"""Mentions, triggered pairs and typed relations over all sentences of the documents, and graph searches, each beside its SQL.
 
 The dictionary and the triggers are ours: common words of the corpus's four languages, some inside others.
 """
@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenspan.operators import extraction as E
+from lumenspan.operators import graph as G
 from lumenspan.operators import mentions as M
 from lumenspan.plans.evidence_queries import SPANS, spans
+from lumenspan.session import load
 
 QUERIES, SQL = {}, {}
 
@@ -93,3 +95,57 @@ def triggered_pairs(spark, sf):
 def oriented_relations(spark, sf):
     """Triggered pairs turned round by the constraints of their type, and their evidence"""
     return M.relations(M.oriented(_pairs(spark, sf), CONSTRAINTS))
+
+
+# Graph searches: brands and types of parts, joined by the parts' kinds; a type's community is its material, a brand's its first digit.
+SEEDS = ("SMALL PLATED TIN", "Brand#33", "nowhere", "Brand#12")
+WORDS = ("small", "plated", "steel", "33")
+GRAPH = """e AS (SELECT p_brand AS a, p_type AS b, CASE WHEN p_size % 2 = 0 THEN 'USES' ELSE 'EXTENDS' END AS type, max(p_retailprice / 10000) AS c, min(p_size) AS size FROM part GROUP BY ALL),
+u AS (SELECT a, b, type, c, size FROM e UNION ALL SELECT b, a, type, c, size FROM e), s AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', {k})" for k, n in enumerate(SEEDS, 1)) + """) v(node, place))"""
+
+
+def _graph(spark, sf):
+    kind = F.when(F.col("p_size") % 2 == 0, "USES").otherwise("EXTENDS")
+    return load(spark, sf, "part").groupBy(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), kind.alias("type")).agg(F.max(F.col("p_retailprice") / 10000).alias("confidence"), F.min("p_size").alias("size"))
+
+
+def _seeds(spark):
+    return spark.createDataFrame(list(enumerate(SEEDS, 1)), "place int, node string")
+
+
+def _members(spark, sf):
+    part = load(spark, sf, "part")
+    return part.select(F.col("p_brand").alias("node"), F.substring("p_brand", 7, 1).alias("community")).unionByName(part.select(F.col("p_type").alias("node"), F.element_at(F.split("p_type", " "), -1).alias("community")))
+
+
+@query(f"""WITH {GRAPH}, nb AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY best.c DESC, best.type DESC, b) AS r FROM (SELECT a, b, max({{'c': c, 'type': type}}) AS best FROM u WHERE size <= 4 GROUP BY 1, 2)),
+d0 AS (SELECT node, [place] AS way FROM s), d1 AS (SELECT b AS node, min(list_append(way, r)) AS way FROM d0 JOIN nb ON a = node WHERE b NOT IN (SELECT node FROM d0) GROUP BY 1),
+d2 AS (SELECT b AS node, min(list_append(way, r)) AS way FROM d1 JOIN nb ON a = node WHERE b NOT IN (SELECT node FROM d0) AND b NOT IN (SELECT node FROM d1) GROUP BY 1),
+al AS (SELECT node, 0 AS depth, way FROM d0 UNION ALL SELECT node, 1, way FROM d1 UNION ALL SELECT node, 2, way FROM d2)
+SELECT node, depth, row_number() OVER (ORDER BY depth, way)::INTEGER AS place FROM al ORDER BY depth, way LIMIT 18""")
+def bfs_capped(spark, sf):
+    """The first 18 nodes that a queue visits from four seeds in their order, at most two steps away"""
+    return G.reach(_graph(spark, sf).where("size <= 4"), _seeds(spark), depth=2, cap=18)
+
+
+PRIMERS = f"""{GRAPH}, m AS (SELECT p_brand AS node, substr(p_brand, 7, 1) AS community FROM part UNION SELECT p_type, split_part(p_type, ' ', -1) FROM part),
+near AS (SELECT community, count(s.node) AS n, count(*) AS size FROM m LEFT JOIN s ON s.node = m.node GROUP BY 1 HAVING count(s.node) > 0),
+top AS (SELECT community, row_number() OVER (ORDER BY n DESC, round(n / size, 3) DESC, community) AS k FROM near QUALIFY k <= 2),
+deg AS (SELECT a AS node, count(*) AS d FROM u GROUP BY 1), ranked AS (SELECT m.node, k, row_number() OVER (PARTITION BY k ORDER BY coalesce(d, 0) DESC, m.node) AS r FROM m JOIN top USING (community) LEFT JOIN deg ON deg.node = m.node QUALIFY r <= 3),
+way AS (SELECT node, min(w) AS w FROM (SELECT node, [0, place] AS w FROM s UNION ALL SELECT node, [k, r] FROM ranked) GROUP BY 1),
+primer AS (SELECT node, row_number() OVER (ORDER BY w)::INTEGER AS place FROM way ORDER BY w LIMIT 6)"""
+
+
+@query(f"WITH {PRIMERS} SELECT node, place FROM primer")
+def hybrid_primers(spark, sf):
+    """Seeds and the best members of their communities"""
+    return G.primers(_graph(spark, sf), _seeds(spark), _members(spark, sf))
+
+
+@query(f"""WITH {PRIMERS}, p1 AS (SELECT [a, b] AS path, max(c) AS t FROM u JOIN primer ON a = primer.node GROUP BY 1), p2 AS (SELECT list_append(path, b) AS path, max(t + c) AS t FROM p1 JOIN u ON u.a = path[-1] WHERE NOT list_contains(path, b) GROUP BY 1),
+al AS (SELECT *, len(path) - 1 AS n_edges, len(list_intersect(regexp_extract_all(lower(array_to_string(path, ' ')), '[a-z0-9]+'), [{", ".join(repr(w) for w in WORDS)}])) AS shared FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2)),
+r AS (SELECT path, n_edges, round(t + 0.15 * n_edges + 0.2 * shared, 6) AS score FROM al ORDER BY 2 DESC, 3 DESC, 1 LIMIT 6)
+SELECT array_to_string(path, ' > ') AS path, n_edges, score FROM r""")
+def hybrid_paths(spark, sf):
+    """Paths of two steps from the primers, scored with the words of a query"""
+    return G.hybrid(_graph(spark, sf), _seeds(spark), _members(spark, sf), WORDS).withColumn("path", F.array_join("path", " > "))
