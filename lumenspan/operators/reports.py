@@ -43,23 +43,21 @@ def adaptation(records: DataFrame) -> DataFrame:
 
 
 def coverage(points: DataFrame, hits: DataFrame) -> DataFrame:
-    """points(point_id, name, domain), hits(point_id, name, paper_id): loose: a paper; strict: two different papers.
+    """points(point_id, name, domain), a row for each name of a point, hits(point_id, name, paper_id): loose: a paper; strict: two different papers.
 
-    A hit without a point of its id goes to the point of its folded name.
+    A hit without a point of its id goes to all points that have its folded name. A point's papers are those of its id and of
+    all its names together. Two papers are different if their least and greatest are, so each key carries just these two
+    and no point ever meets all its hits. Null papers count for nothing; a point's domain is its greatest one.
     """
     key = lambda c: F.lower(F.trim(c))
-    # papers are counted by point and by name apart, and those found both ways once: names never meet all their points' hits
+    ends = [F.min("paper_id").alias("low"), F.max("paper_id").alias("high")]
     ids = points.select("point_id").distinct()
-    by_id = hits.join(ids, "point_id", "left_semi").select("point_id", "paper_id").distinct()
-    by_name = hits.join(ids, "point_id", "left_anti").select(key("name").alias("_k"), "paper_id").where("_k IS NOT NULL").distinct()
-    named = points.select("point_id", key("name").alias("_k")).distinct()
-    both = by_id.join(named, "point_id").join(by_name, ["_k", "paper_id"]).select("point_id", "paper_id").distinct().groupBy("point_id").agg(F.count("paper_id").alias("n_both"))
-    own = by_id.groupBy("point_id").agg(F.count("paper_id").alias("n_own"))
-    other = named.join(by_name.groupBy("_k").agg(F.count("paper_id").alias("n_named")), "_k").groupBy("point_id").agg(F.max("n_named").alias("n_named"))
-    n = lambda c: F.coalesce(c, F.lit(0))
-    papers = ids.join(own, "point_id", "left").join(other, "point_id", "left").join(both, "point_id", "left").select("point_id", (n("n_own") + n("n_named") - n("n_both")).alias("n_papers"))
-    rows = points.join(papers, "point_id", "left").select(F.coalesce("domain", F.lit("(no domain)")).alias("domain"), F.coalesce("n_papers", F.lit(0)).alias("n_papers"))
-    out = rows.groupBy("domain").agg(F.count("*").alias("n_points"), F.count(F.when(F.col("n_papers") >= 1, 1)).alias("n_loose"), F.count(F.when(F.col("n_papers") >= 2, 1)).alias("n_strict"))
+    by_id = hits.join(ids, "point_id", "left_semi").groupBy("point_id").agg(*ends)
+    by_name = hits.join(ids, "point_id", "left_anti").groupBy(key("name").alias("_k")).agg(*ends)
+    named = points.select("point_id", key("name").alias("_k")).distinct().join(by_name, "_k").select("point_id", "low", "high")
+    papers = by_id.unionByName(named).groupBy("point_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = points.groupBy("point_id").agg(F.max("domain").alias("domain")).join(papers, "point_id", "left").select(F.coalesce("domain", F.lit("(no domain)")).alias("domain"), "low", "high")
+    out = rows.groupBy("domain").agg(F.count("*").alias("n_points"), F.count("low").alias("n_loose"), F.count(F.when(F.col("low") < F.col("high"), 1)).alias("n_strict"))
     return out.withColumns({"loose": F.round(F.col("n_loose") / F.col("n_points"), 6), "strict": F.round(F.col("n_strict") / F.col("n_points"), 6)})
 
 

@@ -11,11 +11,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenspan.functions.text import compatible
+
 #: Fixed values of the definitions: predicates that claim too much, words that anchor nothing, thresholds of confidence.
 ABSOLUTE = ("guarantees", "proves")
 NO_ANCHOR = ("how", "what", "why", "using", "based", "develop", "design")
 NO_TERM = ("the", "and", "with", "如何", "什么", "怎么")
+NO_CHINESE_TERM = ("如何", "基于", "开发", "一个", "可以", "什么")
 HIGH_FIDELITY = 0.7
+#: Patterns of search tokens, of Latin anchors and of Chinese terms in a question.
+QUERY_TOKEN, ANCHOR, CHINESE_TERM = r"[a-z0-9][a-z0-9.+#/-]{1,}|[一-鿿]{2,}", r"[A-Za-z][A-Za-z0-9.+#/-]{2,}", r"[一-鿿]{2,6}"
+#: Signs cut from the ends of a concept's name, and what is dropped inside it: all but letters, digits, spaces, + - / and _.
+EDGE_SIGNS = "()[]{}<>,;:\"'`*†‡§¶·—–-_. "
+CONCEPT_DROPPED = r"[^\p{L}\p{N}_一-鿿 +\-/]+"
+#: English search terms by what a Chinese request names.
+SEARCH_TERMS = ("scientific literature", (("entity extraction relation extraction", ("抽取",)), ("knowledge graph", ("知识图谱", "图谱")), ("research idea generation", ("想法", "idea"))))
+# End of fixed values.
 
 
 def _text(c: str) -> Column:
@@ -31,7 +42,7 @@ def query_tokens(query: str, stop: tuple[str, ...] = ()) -> list[str]:
     """Distinct Latin tokens of two signs or more and runs of Chinese of a query, in order."""
     import re
 
-    return [t for t in dict.fromkeys(re.findall(r"[a-z0-9][a-z0-9.+#/-]{1,}|[一-鿿]{2,}", query.casefold())) if t not in stop]
+    return [t for t in dict.fromkeys(re.findall(QUERY_TOKEN, query.casefold())) if t not in stop]
 
 
 def _count(flags: list[Column]) -> Column:
@@ -62,36 +73,40 @@ def federated_rank(papers: DataFrame, query: str, n: int) -> DataFrame:
     return rows.orderBy(F.desc("official"), F.desc("score"), F.desc("year"), "paper_id").limit(n)
 
 
-def library_search(papers: DataFrame, query: str, n: int, first: int = 100, specific: bool = False) -> DataFrame:
-    """papers(paper_id, text, tier, year, relevance): the `first` of highest relevance are cut off before they are ranked by overlap, tier and year.
+def library_search(papers: DataFrame, query: str, domain: str, n: int, first: int = 100, general: str = "general") -> DataFrame:
+    """papers(paper_id, domain, text, tier, year, relevance, retrieval_count) of the routed domain for a query.
 
-    A general query keeps papers with two tokens or more. The limits are the feature: both are top-k cuts.
+    The `first` by tier, relevance, retrieval count and year (ties: the smaller id) are cut off, then ranked by overlap, tier
+    and year; ties keep the order of the cut. In the general domain two tokens or more must be in the text. The limits
+    are the feature: both are top-k cuts.
     """
-    cut = papers.orderBy(F.desc("relevance"), F.desc("year"), "paper_id").limit(first)
+    order = [F.asc("tier"), F.desc("relevance"), F.desc("retrieval_count"), F.desc("year"), F.asc("paper_id")]
+    cut = papers.where(F.col("domain") == domain).orderBy(*order).limit(first)
     low = F.lower(_text("text"))
     rows = cut.withColumn("overlap", _count([low.contains(t) for t in query_tokens(query, NO_TERM)]))
-    rows = rows if specific else rows.where("overlap >= 2")
-    return rows.select("paper_id", "overlap", "tier", "year").orderBy(F.desc("overlap"), "tier", F.desc("year"), "paper_id").limit(n)
+    rows = rows if domain != general else rows.where("overlap >= 2")
+    out = rows.orderBy(F.desc("overlap"), "tier", F.desc("year"), *order).limit(n)
+    return out.select("paper_id", "overlap", "tier", "year")
+
 
+def fallback_relevant(query: str, papers: DataFrame) -> DataFrame:
+    """One row (relevant): do papers(text) answer the query together? Without papers: false.
 
-def fallback_relevant(query: str, text: Column) -> Column:
-    """Some Latin anchor of the query (three signs or more) must be in the text; without anchors some Chinese term."""
+    Some Latin anchor of the query (three signs or more) must be in some paper's text; without anchors some Chinese term.
+    """
     import re
 
-    low = F.lower(F.coalesce(text, F.lit("")))
-    anchors = [t for t in dict.fromkeys(x.lower() for x in re.findall(r"[A-Za-z][A-Za-z0-9.+#/-]{2,}", query)) if t not in NO_ANCHOR]
-    terms = [t for t in re.findall(r"[一-鿿]{2,6}", query) if t not in ("如何", "基于", "开发", "一个", "可以", "什么")]
-    found = lambda some: reduce(lambda a, b: a | b, [low.contains(t) for t in some], F.lit(False))
-    return found(anchors) if anchors else found(terms)
+    low = F.lower(_text("text"))
+    anchors = [t for t in dict.fromkeys(x.lower() for x in re.findall(ANCHOR, query)) if t not in NO_ANCHOR]
+    terms = [t for t in re.findall(CHINESE_TERM, query) if t not in NO_CHINESE_TERM]
+    hit = reduce(lambda a, b: a | b, [low.contains(t) for t in anchors or terms], F.lit(False))
+    return papers.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("relevant"))
 
 
 def retrieval_query(query: Column) -> Column:
     """English search terms for a Chinese request; others stay as they are."""
-    has = lambda *words: reduce(lambda a, b: a | b, [F.lower(query).contains(w) for w in words])
-    terms = F.concat_ws(
-        " ", F.lit("scientific literature"), F.when(has("抽取"), "entity extraction relation extraction"),
-        F.when(has("知识图谱", "图谱"), "knowledge graph"), F.when(has("想法", "idea"), "research idea generation"),
-    )
+    has = lambda words: reduce(lambda a, b: a | b, [F.lower(query).contains(w) for w in words])
+    terms = F.concat_ws(" ", F.lit(SEARCH_TERMS[0]), *(F.when(has(words), term) for term, words in SEARCH_TERMS[1]))
     return F.when(query.rlike("[一-鿿]"), terms).otherwise(query)
 
 
@@ -110,7 +125,7 @@ def trigger_type(text: Column, triggers: list[tuple[str, tuple[str, ...]]], none
         at = F.regexp_instr(text, F.lit(trigger_pattern(words)))
         size = F.char_length(F.regexp_extract(text, trigger_pattern(words), 0))
         hits.append(F.when(at > 0, F.struct(at.alias("at"), (at + size).alias("to"), F.lit(order).alias("n"), F.lit(kind).alias("kind"))))
-    return F.coalesce(F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull()))["kind"], F.lit(none))
+    return F.coalesce(F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull()))["kind"], F.lit(none)) if hits else F.lit(none)
 
 
 def in_order(text: Column, needle: str) -> Column:
@@ -125,22 +140,14 @@ def in_order(text: Column, needle: str) -> Column:
     return left.isNotNull() if wanted else F.lit(False)
 
 
-def located(text: Column, names: list[str]) -> Column:
-    """The names found in a text, leftmost first and the longest of those, without overlaps, as they are written there.
+def concept_keys(name: Column, singular) -> Column:
+    """Keys of a name by case, by separators as well, and by plurals as well; singular is a function of a word column.
 
-    One pattern of all names, longest first, does that in one pass; Latin ends need word bounds.
+    Letters of any script count; compatible signs (NFKC) and case are folded first.
     """
-    import re
-
-    edge = lambda c: c.isascii() and c.isalnum()
-    parts = [("(?<![A-Za-z0-9])" if edge(n[0]) else "") + re.escape(n) + ("(?![A-Za-z0-9])" if edge(n[-1]) else "") for n in sorted((x.strip() for x in names if x.strip()), key=lambda n: (-len(n), n))]
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + "|".join(parts)), F.lit(0))
-
-
-def concept_keys(name: Column, singular) -> Column:
-    """Keys of a name by case, by separators as well, and by plurals as well; singular is a function of a word column."""
-    bare = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"^[\p{Punct}\s]+|[\p{Punct}\s]+$", "")
-    case = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\w\s\-/]", ""), r"\s+", " "))
+    edge = "[" + "".join("\\" + c if c in "[]-\\" else c for c in EDGE_SIGNS) + "]+"
+    bare = compatible(F.regexp_replace(F.coalesce(name, F.lit("")), f"^{edge}|{edge}$", ""))
+    case = F.trim(F.regexp_replace(F.regexp_replace(bare, CONCEPT_DROPPED, ""), " +", " "))
     words = F.filter(F.split(F.regexp_replace(case, r"[-_/\s]+", " "), " "), lambda w: w != "")
     return F.struct(case.alias("case_key"), F.array_join(words, " ").alias("separator_key"), F.array_join(F.transform(words, singular), " ").alias("plural_key"))
 
@@ -235,12 +242,26 @@ def usage(calls: DataFrame) -> DataFrame:
 
 
 def page_quality(pages: DataFrame) -> DataFrame:
-    """pages(document_id, page, text, n_images) to counts by document: empty (under 10 signs), copies of an earlier page, replacement signs, scans (under 50 signs and an image)."""
-    text = F.trim(_text("text"))
-    rows = pages.select("document_id", "page", F.char_length(text).alias("n"), F.md5(text.cast("binary")).alias("h"), text.contains("�").alias("bad"), F.coalesce("n_images", F.lit(0)).alias("images"))
-    first = rows.where("n > 0").groupBy("document_id", "h").agg(F.count("*").alias("c")).groupBy("document_id").agg(F.sum(F.col("c") - 1).alias("n_copies"))
-    out = rows.groupBy("document_id").agg(F.count("*").alias("n_pages"), F.count_if(F.col("n") < 10).alias("n_empty"), F.count_if("bad").alias("n_replacement"), F.count_if((F.col("n") < 50) & (F.col("images") > 0)).alias("n_scanned"))
-    return out.join(first, "document_id", "left").withColumn("n_copies", F.coalesce("n_copies", F.lit(0)).cast("long"))
+    """pages(document_id, page, text, n_images) to counts by document.
+
+    Empty pages (under 10 signs), pages whose text another page has as well (all of them, empty ones too), pages with
+    replacement signs, scans (under 50 signs and an image), all signs and words; a document is a scan if over half of its
+    pages are.
+    """
+    text = F.regexp_replace(_text("text"), r"^\s+|\s+$", "")
+    rows = pages.select(
+        "document_id", "page", F.char_length(text).alias("n"), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("words"), F.sha2(text.cast("binary"), 256).alias("h"),
+        text.contains("�").alias("bad"), F.coalesce("n_images", F.lit(0)).alias("images"),
+    )
+    scan = (F.col("n") < 50) & (F.col("images") > 0)
+    same = rows.groupBy("document_id", "h").agg(
+        F.count("*").alias("c"), F.count_if(F.col("n") < 10).alias("empty"), F.count_if("bad").alias("bad"), F.count_if(scan).alias("scanned"), F.sum("n").alias("n"), F.sum("words").alias("words"),
+    )
+    out = same.groupBy("document_id").agg(
+        F.sum("c").alias("n_pages"), F.sum("empty").alias("n_empty"), F.sum("bad").alias("n_replacement"), F.sum("scanned").alias("n_scanned"),
+        F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("n_duplicate"), F.sum("n").alias("n_chars"), F.sum("words").alias("n_words"),
+    )
+    return out.withColumn("is_scanned", 2 * F.col("n_scanned") > F.col("n_pages"))
 
 
 def adaptation_summary(verdicts: DataFrame, human: DataFrame, wilson) -> DataFrame:

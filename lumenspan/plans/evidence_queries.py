@@ -283,15 +283,17 @@ def adaptation_rule(spark, sf):
     return R.adaptation(rows)
 
 
-@query("""WITH pt AS (SELECT p_partkey AS point_id, lower(trim(p_name)) AS k, CASE WHEN p_size % 9 = 0 THEN '(no domain)' ELSE p_brand END AS domain FROM part), h AS (SELECT CASE WHEN l_linenumber > 2 THEN -l_partkey ELSE l_partkey END AS point_id, l_partkey, l_suppkey AS paper_id FROM lineitem),
-a AS (SELECT h.point_id, paper_id FROM h JOIN pt USING (point_id) UNION ALL SELECT pt.point_id, paper_id FROM h JOIN part ON p_partkey = l_partkey JOIN pt ON pt.k = lower(trim(p_name)) WHERE h.point_id NOT IN (SELECT point_id FROM pt)), c AS (SELECT point_id, count(DISTINCT paper_id) AS n FROM a GROUP BY 1)
+@query("""WITH pt AS (SELECT p_partkey AS point_id, CASE WHEN p_size % 9 = 0 THEN '(no domain)' ELSE p_brand END AS domain FROM part), nm AS (SELECT p_partkey AS point_id, lower(trim(p_name)) AS k FROM part UNION SELECT p_partkey, lower(p_type) FROM part WHERE p_partkey % 3 = 0),
+h AS (SELECT CASE WHEN l_linenumber > 2 THEN -l_partkey ELSE l_partkey END AS point_id, CASE WHEN l_linenumber > 5 THEN lower(p_type) ELSE lower(trim(p_name)) END AS k, l_suppkey AS paper_id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 3 OR l_quantity > 49),
+a AS (SELECT h.point_id, paper_id FROM h JOIN pt USING (point_id) UNION ALL SELECT nm.point_id, paper_id FROM h JOIN nm USING (k) WHERE h.point_id NOT IN (SELECT point_id FROM pt)), c AS (SELECT point_id, count(DISTINCT paper_id) AS n FROM a GROUP BY 1)
 SELECT domain, count(*) AS n_points, count(*) FILTER (WHERE n >= 1) AS n_loose, count(*) FILTER (WHERE n >= 2) AS n_strict, round(count(*) FILTER (WHERE n >= 1) / count(*), 6) AS loose, round(count(*) FILTER (WHERE n >= 2) / count(*), 6) AS strict FROM pt LEFT JOIN c USING (point_id) GROUP BY 1""")
 def coverage_by_domain(spark, sf):
-    """Knowledge points with a paper, and with two different ones"""
+    """Knowledge points, some with two names, with a paper, and with two different ones"""
     p = load(spark, sf, "part")
-    points = p.select(F.col("p_partkey").alias("point_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 9 != 0, F.col("p_brand")).alias("domain"))
-    hits = load(spark, sf, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name")), "l_partkey")
-    hits = hits.select(F.when(F.col("l_linenumber") > 2, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("point_id"), "name", F.col("l_suppkey").alias("paper_id"))
+    domain = F.when(F.col("p_size") % 9 != 0, F.col("p_brand")).alias("domain")
+    points = p.select(F.col("p_partkey").alias("point_id"), F.col("p_name").alias("name"), domain).unionByName(p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("point_id"), F.col("p_type").alias("name"), domain))
+    hits = load(spark, sf, "lineitem").where("l_linenumber <> 3 OR l_quantity > 49").join(p.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey")
+    hits = hits.select(F.when(F.col("l_linenumber") > 2, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("point_id"), F.when(F.col("l_linenumber") > 5, F.col("p_type")).otherwise(F.col("p_name")).alias("name"), F.col("l_suppkey").alias("paper_id"))
     return R.coverage(points, hits)
 
 

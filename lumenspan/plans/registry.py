@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lumenspan.plans import evidence_queries, library_queries, relation_queries, review_queries, rule_queries, service_queries
+from lumenspan.plans import acceptance_queries, evidence_queries, library_queries, relation_queries, review_queries, rule_queries, service_queries
 
 
 def queries():
-    return evidence_queries.QUERIES | library_queries.QUERIES | review_queries.QUERIES | relation_queries.QUERIES | rule_queries.QUERIES | service_queries.QUERIES
+    return acceptance_queries.QUERIES | evidence_queries.QUERIES | library_queries.QUERIES | review_queries.QUERIES | relation_queries.QUERIES | rule_queries.QUERIES | service_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return evidence_queries.SQL | library_queries.SQL | review_queries.SQL | relation_queries.SQL | rule_queries.SQL | service_queries.SQL
+    return acceptance_queries.SQL | evidence_queries.SQL | library_queries.SQL | review_queries.SQL | relation_queries.SQL | rule_queries.SQL | service_queries.SQL

@@ -32,7 +32,7 @@ HITS = " + ".join(f"CAST(contains(low, '{t}') AS INT)" for t in TOKENS)
 
 def papers(spark, sf):
     d = load(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), "text", F.substring("text", 1, 40).alias("title"), F.col("text").alias("summary"), (F.col("doc_id") % 4 + 1).alias("tier"), (2000 + F.col("doc_id") % 25).alias("year"), (F.col("doc_id") * 7919 % 1000).alias("relevance"))
+    return d.select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), "text", F.substring("text", 1, 40).alias("title"), F.col("text").alias("summary"), (F.col("doc_id") % 4 + 1).alias("tier"), (2000 + F.col("doc_id") % 25).alias("year"), (F.col("doc_id") * 7919 % 10).alias("relevance"), (F.col("doc_id") * 104729 % 7).alias("retrieval_count"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS low FROM documents) SELECT doc_id AS paper_id, {HITS} >= 2 AS general, lang = 'fr' AS french FROM d""")
@@ -59,17 +59,26 @@ def federated_ranking(spark, sf):
 LIBRARY = [t for t in TOKENS if t not in U.NO_TERM]
 
 
-@query(f"""WITH c AS (SELECT doc_id, doc_id % 4 + 1 AS tier, 2000 + doc_id % 25 AS year, lower(text) AS low FROM documents ORDER BY doc_id * 7919 % 1000 DESC, 2000 + doc_id % 25 DESC, doc_id LIMIT 100),
-s AS (SELECT doc_id AS paper_id, {" + ".join(f"CAST(contains(low, '{t}') AS INT)" for t in LIBRARY)} AS overlap, tier, year FROM c) SELECT * FROM s ORDER BY overlap DESC, tier, year DESC, paper_id LIMIT 10""")
+@query(f"""WITH c AS (SELECT doc_id AS paper_id, doc_id % 4 + 1 AS tier, 2000 + doc_id % 25 AS year, lower(text) AS low, row_number() OVER (ORDER BY doc_id % 4 + 1, doc_id * 7919 % 10 DESC, doc_id * 104729 % 7 DESC, 2000 + doc_id % 25 DESC, doc_id) AS k FROM documents WHERE lang = 'en' QUALIFY k <= 100),
+s AS (SELECT paper_id, {" + ".join(f"CAST(contains(low, '{t}') AS INT)" for t in LIBRARY)} AS overlap, tier, year, k FROM c) SELECT paper_id, overlap, tier, year FROM s ORDER BY overlap DESC, tier, year DESC, k LIMIT 10""")
 def library_cut_then_rank(spark, sf):
-    """The hundred most relevant are cut off first, then ranked"""
-    return U.library_search(papers(spark, sf), ASKED, 10, specific=True)
+    """The first hundred of the domain by tier, relevance, retrieval count and year, then ranked by overlap"""
+    return U.library_search(papers(spark, sf), ASKED, "en", 10)
 
 
-@query("""SELECT doc_id AS paper_id, contains(lower(text), 'river') OR contains(lower(text), 'report') AS by_anchor, contains(lower(text), '知识图谱') AS by_term FROM documents""")
+ASKED_ALONE = ("How river report", "zzzq unheard", "知识图谱", "how 知识图谱", "How the")
+
+
+@query("""WITH t AS (SELECT bool_or(contains(lower(text), 'river') OR contains(lower(text), 'report')) AS a, bool_or(contains(lower(text), 'zzzq') OR contains(lower(text), 'unheard')) AS b, bool_or(contains(lower(text), '知识图谱')) AS c, bool_or(contains(lower(text), 'the')) AS d FROM documents WHERE lang = 'en')
+SELECT 'How river report' AS asked, a AS relevant FROM t UNION ALL SELECT 'zzzq unheard', b FROM t UNION ALL SELECT '知识图谱', c FROM t UNION ALL SELECT 'how 知识图谱', c FROM t UNION ALL SELECT 'How the', d FROM t""")
 def fallback_anchors(spark, sf):
-    """Latin anchors must hit; without them a Chinese term"""
-    return papers(spark, sf).select("paper_id", U.fallback_relevant("How river report", F.col("text")).alias("by_anchor"), U.fallback_relevant("知识图谱", F.col("text")).alias("by_term"))
+    """Do the papers together answer a query: some Latin anchor in any of them, without anchors a Chinese term"""
+    found = papers(spark, sf).where("domain = 'en'")
+    rows = [U.fallback_relevant(q, found).select(F.lit(q).alias("asked"), "relevant") for q in ASKED_ALONE]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'scientific literature knowledge graph' WHEN 2 THEN 'scientific literature entity extraction relation extraction research idea generation' ELSE 'scientific literature' END AS terms FROM nation""")
@@ -99,17 +108,12 @@ def ordered_triggers(spark, sf):
     return papers(spark, sf).select("paper_id", U.in_order(F.col("text"), "with of the").alias("ordered"))
 
 
-@query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) SELECT doc_id AS paper_id, len(list_filter(w, lambda x: x IN ('the', 'with', 'from'))) AS n_located FROM d""")
-def located_names(spark, sf):
-    """Names located in a text, as whole words and without overlaps"""
-    return papers(spark, sf).select("paper_id", F.size(U.located(F.col("text"), ["The", "with", "from"])).cast("long").alias("n_located"))
-
-
-@query(f"""WITH k AS (SELECT p_partkey, lower(replace(CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) || 's' ELSE p_name || '!' END, '!', '')) AS c FROM part), s AS (SELECT *, trim(regexp_replace(c, '[-_/\\s]+', ' ', 'g')) AS sep FROM k)
+@query(f"""WITH k AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN lower(p_name) || 's' WHEN 1 THEN lower(p_name) || '知识图谱-构建' WHEN 2 THEN 'c++ naïve-' || lower(p_name) ELSE 'single-cell ' || lower(p_name) END AS c FROM part), s AS (SELECT *, trim(regexp_replace(c, '[-_/\\s]+', ' ', 'g')) AS sep FROM k)
 SELECT p_partkey, c AS case_key, sep AS separator_key, array_to_string(list_transform(string_split(sep, ' '), lambda w: {PLURAL}), ' ') AS plural_key FROM s""")
 def concept_key_levels(spark, sf):
-    """Keys by case, by separators and by plurals"""
-    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper("p_name"), F.lit("s"))).otherwise(F.concat("p_name", F.lit("!")))
+    """Keys by case, by separators and by plurals, of names in several scripts and widths"""
+    n, k = F.col("p_name"), F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat(F.upper(n), F.lit("s."))).when(k == 1, F.concat(F.lit("(!"), n, F.lit("知识图谱－构建)"))).when(k == 2, F.concat(F.lit("Ｃ++  NAÏVE-"), n, F.lit("?*"))).otherwise(F.concat(F.lit(" Single-Cell "), n))
     return load(spark, sf, "part").withColumn("k", U.concept_keys(name, X.singular)).select("p_partkey", "k.*")
 
 
@@ -204,12 +208,15 @@ def model_usage(spark, sf):
     return U.usage(e.select((F.col("event_type") == "error").alias("failed"), (F.col("event_id") % 3).alias("retries"), (F.col("event_id") % 100).alias("input_tokens"), F.col("user_id").alias("output_tokens"), (F.col("event_id") % 7).cast("double").alias("duration_ms")))
 
 
-@query("""WITH p AS (SELECT conv_id AS document_id, trim(coalesce(CASE WHEN turn = 3 THEN substring(text, 1, 30) ELSE text END, ''), ' ') AS t, turn % 2 AS img FROM conversations), c AS (SELECT document_id, t, count(*) - 1 AS c FROM p WHERE length(t) > 0 GROUP BY 1, 2), s AS (SELECT document_id, CAST(sum(c) AS BIGINT) AS n_copies FROM c GROUP BY 1)
-SELECT document_id, count(*) AS n_pages, count(*) FILTER (WHERE length(t) < 10) AS n_empty, count(*) FILTER (WHERE contains(t, '�')) AS n_replacement, count(*) FILTER (WHERE length(t) < 50 AND img > 0) AS n_scanned, any_value(coalesce(n_copies, 0)) AS n_copies FROM p LEFT JOIN s USING (document_id) GROUP BY 1""")
+@query(r"""WITH p AS (SELECT conv_id AS document_id, regexp_replace(coalesce(CASE WHEN turn = 3 THEN substring(text, 1, 30) WHEN turn > 3 AND conv_id % 3 = 0 THEN ' same page ' ELSE text END, ''), '^\s+|\s+$', '', 'g') AS t, (turn > 1 OR conv_id % 2 = 0)::INT AS img FROM conversations),
+q AS (SELECT *, count(*) OVER (PARTITION BY document_id, t) AS c FROM p)
+SELECT document_id, count(*) AS n_pages, count(*) FILTER (WHERE length(t) < 10) AS n_empty, count(*) FILTER (WHERE contains(t, '�')) AS n_replacement, count(*) FILTER (WHERE length(t) < 50 AND img > 0) AS n_scanned, count(*) FILTER (WHERE c > 1) AS n_duplicate,
+sum(length(t))::BIGINT AS n_chars, sum(len(regexp_extract_all(t, '\S+')))::BIGINT AS n_words, 2 * count(*) FILTER (WHERE length(t) < 50 AND img > 0) > count(*) AS is_scanned FROM q GROUP BY 1""")
 def page_quality(spark, sf):
-    """Empty, copied, damaged and scanned pages of each document"""
+    """Empty, repeated, damaged and scanned pages of each document, and whether it is a scan"""
     c = load(spark, sf, "conversations")
-    return U.page_quality(c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.when(F.col("turn") == 3, F.substring("text", 1, 30)).otherwise(F.col("text")).alias("text"), (F.col("turn") % 2).alias("n_images")))
+    text = F.when(F.col("turn") == 3, F.substring("text", 1, 30)).when((F.col("turn") > 3) & (F.col("conv_id") % 3 == 0), " same page ").otherwise(F.col("text"))
+    return U.page_quality(c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), text.alias("text"), ((F.col("turn") > 1) | (F.col("conv_id") % 2 == 0)).cast("int").alias("n_images")))
 
 
 @query("""WITH v AS (SELECT o_orderkey AS path_id, o_orderkey % 3 AS gap, (o_orderkey % 5) / 4.0 AS coverage, (o_custkey % 10) / 20.0 AS ms FROM orders), r AS (SELECT *, gap <= 1 AND coverage >= 0.8 AND ms <= 0.2 AS ok FROM v),
