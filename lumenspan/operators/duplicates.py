@@ -63,6 +63,23 @@ def clusters(spans: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("evidence_id", F.concat(F.lit("dup:"), F.col("root").cast("string")).alias("cluster"))
 
 
+def cluster_reports(spans: DataFrame, pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """A row for each cluster: n_members, n_papers, the seed pair (left_id, right_id), greatest and least similarity, n_links.
+
+    spans(evidence_id, paper_id, tokens), pairs of near_pairs(), membership of clusters(). The links of a cluster are its
+    near duplicates and, for a wording that several spans share, its two smallest spans at similarity 1; the seed is the
+    link with the greatest similarity, then with the smallest ids. Members are never paired.
+    """
+    held = membership.join(spans, "evidence_id")
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("n_members"), F.countDistinct("paper_id").alias("n_papers"))
+    first = held.groupBy("tokens").agg(F.min("evidence_id").alias("left_id"))
+    same = held.join(first, "tokens").where("evidence_id > left_id").groupBy("cluster", "left_id").agg(F.min("evidence_id").alias("right_id")).withColumn("similarity", F.lit(1.0))
+    near = pairs.where("verdict = 'near_duplicate'").join(membership.withColumnRenamed("evidence_id", "left_id"), "left_id").select("cluster", "left_id", "right_id", "similarity")
+    links = same.select("cluster", "left_id", "right_id", "similarity").unionByName(near)
+    best = links.groupBy("cluster").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "left_id", "right_id")).alias("b"), F.min("similarity").alias("min_similarity"), F.count("*").alias("n_links"))
+    return sizes.join(best, "cluster").select("cluster", "n_members", "n_papers", "b.left_id", "b.right_id", (-F.col("b.s")).alias("max_similarity"), "min_similarity", "n_links")
+
+
 def independent_papers(mentions: DataFrame, membership: DataFrame) -> DataFrame:
     """(paper_id, unit): papers that share a cluster are one unit, the smallest of their ids.
 

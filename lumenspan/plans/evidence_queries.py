@@ -119,6 +119,17 @@ def duplicate_clusters(spark, sf):
     return _clusters(spark, sf)[1]
 
 
+@query(f"""{COMPONENTS}, li AS (SELECT cluster, min(evidence_id) AS left_id, list_sort(list(evidence_id))[2] AS right_id, 1.0::DOUBLE AS similarity FROM m JOIN t USING (evidence_id) GROUP BY cluster, tokens HAVING count(*) > 1
+  UNION ALL SELECT cluster, left_id, right_id, similarity FROM sim JOIN m ON m.evidence_id = left_id WHERE exact >= 0.6)
+SELECT cluster, n_members, n_papers, b.l AS left_id, b.r AS right_id, -b.s AS max_similarity, least_s AS min_similarity, n_links FROM (SELECT cluster, count(*) AS n_members, count(DISTINCT paper_id) AS n_papers FROM m GROUP BY 1)
+JOIN (SELECT cluster, min({{'s': -similarity, 'l': left_id, 'r': right_id}}) AS b, min(similarity) AS least_s, count(*) AS n_links FROM li GROUP BY 1) USING (cluster)""")
+def cluster_reports(spark, sf):
+    """Seed, greatest and least similarity of each cluster"""
+    rows = stored(_tokens(spark, sf), "tokens")
+    pairs = stored(N.near_pairs(N.wordings(rows)), "pairs")
+    return N.cluster_reports(rows, pairs, stored(N.clusters(rows, pairs), "clusters"))
+
+
 UNITS = f"""{COMPONENTS}, pc AS MATERIALIZED (SELECT DISTINCT paper_id, cluster FROM m), pl AS MATERIALIZED (SELECT DISTINCT p.paper_id AS a, q.first AS b FROM pc p JOIN (SELECT cluster, min(paper_id) AS first FROM pc GROUP BY 1) q USING (cluster)),
 pe AS MATERIALIZED (SELECT a, b FROM pl UNION SELECT b, a FROM pl), pw(a, b) AS (SELECT a, b FROM pe UNION SELECT pw.a, pe.b FROM pw JOIN pe ON pw.b = pe.a), pr AS (SELECT a AS paper_id, min(b) AS unit FROM pw GROUP BY 1),
 df AS (SELECT d.source AS concept, count(DISTINCT p.paper_id) AS raw_df, count(DISTINCT coalesce(pr.unit, p.paper_id)) AS independent_df FROM (SELECT DISTINCT paper_id FROM t) p JOIN documents d ON d.doc_id = p.paper_id LEFT JOIN pr ON pr.paper_id = p.paper_id GROUP BY 1)"""

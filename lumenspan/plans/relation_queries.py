@@ -97,16 +97,16 @@ def oriented_relations(spark, sf):
     return M.relations(M.oriented(_pairs(spark, sf), CONSTRAINTS))
 
 
-# Graph searches: brands and types of parts, joined by the parts' kinds; a type's community is its material, a brand's its first digit.
-SEEDS = ("SMALL PLATED TIN", "Brand#33", "nowhere", "Brand#12")
-WORDS = ("small", "plated", "steel", "33")
-GRAPH = """e AS (SELECT p_brand AS a, p_type AS b, CASE WHEN p_size % 2 = 0 THEN 'USES' ELSE 'EXTENDS' END AS type, max(p_retailprice / 10000) AS c, min(p_size) AS size FROM part GROUP BY ALL),
+# Graph searches: brands and names of parts, joined by the parts' kinds; a name's community is its noun, a brand's its first digit.
+SEEDS = ("small plate", "Brand#33", "nowhere", "Brand#12")
+WORDS = ("small", "plate", "anvil", "33")
+GRAPH = """e AS (SELECT p_brand AS a, p_name AS b, CASE WHEN p_size % 2 = 0 THEN 'USES' ELSE 'EXTENDS' END AS type, max(p_retailprice / 10000) AS c, min(p_size) AS size FROM part GROUP BY ALL),
 u AS (SELECT a, b, type, c, size FROM e UNION ALL SELECT b, a, type, c, size FROM e), s AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', {k})" for k, n in enumerate(SEEDS, 1)) + """) v(node, place))"""
 
 
 def _graph(spark, sf):
     kind = F.when(F.col("p_size") % 2 == 0, "USES").otherwise("EXTENDS")
-    return load(spark, sf, "part").groupBy(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), kind.alias("type")).agg(F.max(F.col("p_retailprice") / 10000).alias("confidence"), F.min("p_size").alias("size"))
+    return load(spark, sf, "part").groupBy(F.col("p_brand").alias("src"), F.col("p_name").alias("dst"), kind.alias("type")).agg(F.max(F.col("p_retailprice") / 10000).alias("confidence"), F.min("p_size").alias("size"))
 
 
 def _seeds(spark):
@@ -115,7 +115,7 @@ def _seeds(spark):
 
 def _members(spark, sf):
     part = load(spark, sf, "part")
-    return part.select(F.col("p_brand").alias("node"), F.substring("p_brand", 7, 1).alias("community")).unionByName(part.select(F.col("p_type").alias("node"), F.element_at(F.split("p_type", " "), -1).alias("community")))
+    return part.select(F.col("p_brand").alias("node"), F.substring("p_brand", 7, 1).alias("community")).unionByName(part.select(F.col("p_name").alias("node"), F.element_at(F.split("p_name", " "), -1).alias("community")))
 
 
 @query(f"""WITH {GRAPH}, nb AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY best.c DESC, best.type DESC, b) AS r FROM (SELECT a, b, max({{'c': c, 'type': type}}) AS best FROM u WHERE size <= 4 GROUP BY 1, 2)),
@@ -128,7 +128,7 @@ def bfs_capped(spark, sf):
     return G.reach(_graph(spark, sf).where("size <= 4"), _seeds(spark), depth=2, cap=18)
 
 
-PRIMERS = f"""{GRAPH}, m AS (SELECT p_brand AS node, substr(p_brand, 7, 1) AS community FROM part UNION SELECT p_type, split_part(p_type, ' ', -1) FROM part),
+PRIMERS = f"""{GRAPH}, m AS (SELECT p_brand AS node, substr(p_brand, 7, 1) AS community FROM part UNION SELECT p_name, split_part(p_name, ' ', -1) FROM part),
 near AS (SELECT community, count(s.node) AS n, count(*) AS size FROM m LEFT JOIN s ON s.node = m.node GROUP BY 1 HAVING count(s.node) > 0),
 top AS (SELECT community, row_number() OVER (ORDER BY n DESC, round(n / size, 3) DESC, community) AS k FROM near QUALIFY k <= 2),
 deg AS (SELECT a AS node, count(*) AS d FROM u GROUP BY 1), ranked AS (SELECT m.node, k, row_number() OVER (PARTITION BY k ORDER BY coalesce(d, 0) DESC, m.node) AS r FROM m JOIN top USING (community) LEFT JOIN deg ON deg.node = m.node QUALIFY r <= 3),

@@ -231,13 +231,6 @@ def generic_relations(spark, sf):
     return V.generic_relations(docs)
 
 
-@query()
-def concept_merge(spark, sf):
-    """Publishers and part names merged by key and by equivalent full names (tests hold it against examples)"""
-    p = load(spark, sf, "part").select(F.col("p_partkey").alias("concept_id"), F.concat_ws(" ", F.lower("p_type"), F.when(F.col("p_size") % 2 == 0, "networks").otherwise("Network")).alias("name"), F.lit("METHOD").alias("type"))
-    return V.merged_concepts(p)
-
-
 @query("""SELECT p_partkey AS relation_id, coalesce(p_size > 10, false) AND p_brand <> '' AS accepted FROM part""")
 def panel_eligibility(spark, sf):
     """Relations that a panel may judge"""
