@@ -26,46 +26,75 @@ def rejects(events: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).where("reason IS NOT NULL").drop("_before", "_known")
 
 
-def valid_evidence(events: DataFrame) -> DataFrame:
-    """(claim_id, evidence_id, kind, source) after all events.
+def evidence_states(events: DataFrame) -> DataFrame:
+    """E02 as a fold: (claim_id, evidence_id, ended, added, newest), each the greatest of its kind by seq.
 
-    The last deletion or invalid replacement ends what was there before. Of the events after it, the last
-    add_* gives the kind (add_support if there is none), and the last event gives the source.
+    ended: the last deletion or invalid replacement; added: the last add_* with its kind; newest: the last add_* or valid
+    replacement with its source. Greatest values don't depend on the order of events, so the same fold is a stream's state.
     """
     rows = events.where(F.col("evidence_id").isNotNull() & F.col("event_type").isin(*TYPES[:4]))
-    ends = (F.col("event_type") == "delete_evidence") | ((F.col("event_type") == "replace_span") & ~F.coalesce("replace_valid", F.lit(False)))
-    rows = rows.withColumn("_end", F.max(F.when(ends, F.col("seq"))).over(Window.partitionBy("claim_id", "evidence_id")))
-    alive = rows.where(F.col("_end").isNull() | (F.col("seq") > F.col("_end")))
     added = F.col("event_type").isin("add_support", "add_refute")
-    out = alive.groupBy("claim_id", "evidence_id").agg(
-        F.max(F.when(added, F.struct("seq", "event_type")))["event_type"].alias("kind"), F.max(F.struct("seq", "source"))["source"].alias("source"))
-    return out.withColumn("kind", F.coalesce("kind", F.lit("add_support")))
+    ends = (F.col("event_type") == "delete_evidence") | ((F.col("event_type") == "replace_span") & ~F.coalesce("replace_valid", F.lit(False)))
+    return rows.groupBy("claim_id", "evidence_id").agg(
+        F.max(F.when(ends, F.col("seq"))).alias("ended"), F.max(F.when(added, F.struct("seq", F.col("event_type").alias("kind")))).alias("added"), F.max(F.when(~ends, F.struct("seq", "source"))).alias("newest"),
+    )
+
+
+def claim_events(events: DataFrame) -> DataFrame:
+    """(claim_id, newest, next): a claim's newest event with its override, and its newest superseding event, by seq."""
+    return events.groupBy("claim_id").agg(
+        F.max(F.struct("seq", "event_type", "override_status")).alias("newest"),
+        F.max(F.when((F.col("event_type") == "add_superseding") & (F.coalesce(F.col("superseded_by").cast("string"), F.lit("")) != ""), F.struct("seq", "superseded_by"))).alias("next"),
+    )
+
+
+def alive(states: DataFrame) -> DataFrame:
+    """(claim_id, evidence_id, kind, source) of evidence_states() that stand: whatever came after the last end.
+
+    The kind is that of the last add_* after the end, add_support where there is none.
+    """
+    after = lambda c: F.col(f"{c}.seq") > F.coalesce("ended", F.lit(-(1 << 62)))
+    kind = F.coalesce(F.when(after("added"), F.col("added.kind")), F.lit("add_support"))
+    return states.where(after("newest")).select("claim_id", "evidence_id", kind.alias("kind"), F.col("newest.source").alias("source"))
+
+
+def valid_evidence(events: DataFrame) -> DataFrame:
+    """(claim_id, evidence_id, kind, source) after all events."""
+    return alive(evidence_states(events))
 
 
 def projection(events: DataFrame, claims: DataFrame) -> DataFrame:
-    """(claim_id, status, superseded_by, n_support, n_refute, n_sources), by the first rule that holds.
+    """states() of a whole log."""
+    return states(evidence_states(events), claim_events(events), claims)
+
+
+def states(evidence: DataFrame, newest: DataFrame, claims: DataFrame) -> DataFrame:
+    """(claim_id, status, layer, superseded_by, held, reason, n_support, n_refute, n_sources) by the first rule that holds.
 
-    1 no event: candidate; 2 the newest event is a human's override: its status; 3 a successor with valid
-    evidence: superseded; 4 no evidence: rejected; 5 an absolute claim with under two sources: rejected;
-    6 refutation only: rejected; both kinds: needs_review; two sources or more: accepted; else needs_review.
+    evidence_states(), claim_events() and claims(claim_id, strength). 1 no event: candidate; 2 the newest event is a human's
+    override: its status; 3 the newest successor has valid evidence: superseded; 4 no evidence: rejected; 5 an absolute
+    claim with under two sources: rejected; 6 refutation only: rejected; both kinds: needs_review; two sources or more:
+    accepted; else needs_review.
     """
-    alive = valid_evidence(events)
-    counts = alive.groupBy("claim_id").agg(
+    standing = alive(evidence)
+    counts = standing.groupBy("claim_id").agg(
         F.count(F.when(F.col("kind") == "add_support", 1)).alias("n_support"), F.count(F.when(F.col("kind") == "add_refute", 1)).alias("n_refute"),
         F.countDistinct(F.when((F.col("kind") == "add_support") & (F.coalesce("source", F.lit("")) != ""), F.col("source"))).alias("n_sources"))
-    newest = events.groupBy("claim_id").agg(F.max(F.struct("seq", "event_type", "override_status")).alias("_last"))
-    successors = events.where("event_type = 'add_superseding' AND superseded_by IS NOT NULL")
-    successors = successors.join(alive.select(F.col("claim_id").alias("superseded_by")).distinct(), "superseded_by", "left_semi")
-    successors = successors.groupBy("claim_id").agg(F.max(F.struct("seq", "superseded_by"))["superseded_by"].alias("_next"))
-    rows = claims.join(newest, "claim_id", "left").join(counts, "claim_id", "left").join(successors, "claim_id", "left")
+    backed = standing.select(F.col("claim_id").alias("_next")).distinct().withColumn("_backed", F.lit(True))
+    rows = claims.join(newest, "claim_id", "left").join(counts, "claim_id", "left").withColumn("_next", F.col("next.superseded_by")).join(backed, "_next", "left")
     s, r, n = (F.coalesce(c, F.lit(0)) for c in ("n_support", "n_refute", "n_sources"))
-    over = F.col("_last.event_type") == "human_override"
-    status = (
-        F.when(F.col("_last").isNull(), "candidate").when(over, F.col("_last.override_status")).when(F.col("_next").isNotNull(), "superseded")
-        .when(s + r == 0, "rejected").when((F.col("strength") == "absolute") & (n < 2), "rejected").when(s == 0, "rejected")
-        .when(r > 0, "needs_review").when(n >= 2, "accepted").otherwise("needs_review")
+    over = F.coalesce(F.col("newest.event_type") == "human_override", F.lit(False))
+    replaced = F.col("_backed").isNotNull()
+    rules = [
+        (F.col("newest").isNull(), "candidate", "no_event"), (over, F.col("newest.override_status"), "human_override"), (replaced, "superseded", "newer_successor"), (s + r == 0, "rejected", "no_valid_evidence"),
+        ((F.col("strength") == "absolute") & (n < 2), "rejected", "absolute_claim_weak"), (s == 0, "rejected", "refuted_no_support"), (r > 0, "needs_review", "contested"), (n >= 2, "accepted", "several_sources"),
+    ]
+    pick = lambda k, rest: F.coalesce(*(F.when(rule[0], F.lit(rule[k])) for rule in rules), F.lit(rest))
+    layer = F.when((s > 0) & (r > 0), "contested").when(r > 0, "refuted").when(s > 0, "supported").otherwise("unsupported")
+    return rows.select(
+        "claim_id", pick(1, "needs_review").alias("status"), layer.alias("layer"), F.when(~over & replaced, F.col("_next")).alias("superseded_by"), over.alias("held"), pick(2, "single_source").alias("reason"),
+        s.cast("long").alias("n_support"), r.cast("long").alias("n_refute"), n.cast("long").alias("n_sources"),
     )
-    return rows.select("claim_id", status.alias("status"), F.when(~over | over.isNull(), F.col("_next")).alias("superseded_by"), s.cast("long").alias("n_support"), r.cast("long").alias("n_refute"), n.cast("long").alias("n_sources"))
 
 
 def static_baseline(events: DataFrame, claims: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from lumenspan.operators import graph as G
 from lumenspan.operators import library as L
 from lumenspan.operators import reports as R
 from lumenspan.sources import readers as S
-from lumenspan.session import load, stored
-from lumenspan.streaming.decisions import windowed_decisions
+from lumenspan.session import load, shared_dir, stored
+from lumenspan.streaming.decisions import streamed_states, windowed_decisions
 
 QUERIES, SQL = {}, {}
 
@@ -442,7 +442,45 @@ SELECT c.claim_id, CASE WHEN coalesce(s, 0) + coalesce(r, 0) = 0 THEN 'rejected'
 FROM (SELECT DISTINCT user_id AS claim_id FROM events) c LEFT JOIN n ON n.claim_id = c.claim_id""")
 def easg_projection(spark, sf):
     """Claim states from the whole event log"""
-    return D.projection(_events(spark, sf), _claims(spark, sf)).drop("superseded_by")
+    return D.projection(_events(spark, sf), _claims(spark, sf)).select("claim_id", "status", "n_support", "n_refute", "n_sources")
+
+
+LOG = """ev AS (SELECT user_id AS claim_id, event_id AS seq, CASE event_id % 13 WHEN 0 THEN 'human_override' WHEN 1 THEN 'add_superseding' WHEN 2 THEN 'delete_evidence' WHEN 3 THEN 'replace_span' WHEN 4 THEN 'add_refute' WHEN 5 THEN 'delete_evidence' ELSE 'add_support' END AS kind,
+  'e' || (event_id % 4) AS evidence_id, CASE WHEN event_id % 3 > 0 THEN 's' || (event_id % 5) ELSE '' END AS source, value > 50 AS ok, CASE WHEN event_id % 13 = 1 AND event_id % 17 > 0 THEN (user_id * 7 + event_id) % 997 END AS nxt,
+  CASE WHEN event_id % 13 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'accepted' ELSE 'rejected' END END AS override FROM events WHERE user_id % 5 < 4),
+f AS (SELECT claim_id, evidence_id, coalesce(max(seq) FILTER (WHERE kind = 'delete_evidence' OR kind = 'replace_span' AND NOT coalesce(ok, false)), -1) AS ended, max({'s': seq, 'k': kind}) FILTER (WHERE kind IN ('add_support', 'add_refute')) AS added, max({'s': seq, 'x': source}) FILTER (WHERE kind IN ('add_support', 'add_refute') OR kind = 'replace_span' AND ok) AS newest FROM ev WHERE kind NOT IN ('human_override', 'add_superseding') GROUP BY 1, 2),
+al AS (SELECT claim_id, evidence_id, CASE WHEN added.s > ended THEN added.k ELSE 'add_support' END AS kind, newest.x AS source FROM f WHERE newest.s > ended),
+n AS (SELECT claim_id, count(*) FILTER (WHERE kind = 'add_support') AS s, count(*) FILTER (WHERE kind = 'add_refute') AS r, count(DISTINCT CASE WHEN kind = 'add_support' AND source <> '' THEN source END) AS k FROM al GROUP BY 1),
+la AS (SELECT claim_id, arg_max(kind, seq) AS last, arg_max({'o': override}, seq).o AS override, arg_max(nxt, seq) FILTER (WHERE nxt IS NOT NULL) AS nxt FROM ev GROUP BY 1),
+j AS (SELECT c.claim_id, last, override, coalesce(s, 0) AS s, coalesce(r, 0) AS r, coalesce(k, 0) AS k, CASE WHEN nxt IN (SELECT claim_id FROM al) THEN nxt END AS nxt, CASE c.claim_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'progressive' ELSE 'absolute' END AS strength FROM (SELECT DISTINCT user_id AS claim_id FROM events) c LEFT JOIN la ON la.claim_id = c.claim_id LEFT JOIN n ON n.claim_id = c.claim_id)
+SELECT claim_id, CASE WHEN last IS NULL THEN 'candidate' WHEN last = 'human_override' THEN override WHEN nxt IS NOT NULL THEN 'superseded' WHEN s + r = 0 OR strength = 'absolute' AND k < 2 OR s = 0 THEN 'rejected' WHEN r > 0 THEN 'needs_review' WHEN k >= 2 THEN 'accepted' ELSE 'needs_review' END AS status,
+  CASE WHEN s > 0 AND r > 0 THEN 'contested' WHEN r > 0 THEN 'refuted' WHEN s > 0 THEN 'supported' ELSE 'unsupported' END AS layer, CASE WHEN last IS NOT NULL AND last <> 'human_override' THEN nxt END AS superseded_by, coalesce(last = 'human_override', false) AS held,
+  CASE WHEN last IS NULL THEN 'no_event' WHEN last = 'human_override' THEN 'human_override' WHEN nxt IS NOT NULL THEN 'newer_successor' WHEN s + r = 0 THEN 'no_valid_evidence' WHEN strength = 'absolute' AND k < 2 THEN 'absolute_claim_weak' WHEN s = 0 THEN 'refuted_no_support' WHEN r > 0 THEN 'contested' WHEN k >= 2 THEN 'several_sources' ELSE 'single_source' END AS reason,
+  s AS n_support, r AS n_refute, k AS n_sources FROM j"""
+
+
+def _log(spark, sf):
+    k, user = F.col("event_id"), F.col("user_id")
+    kind = F.when(k % 13 == 0, "human_override").when(k % 13 == 1, "add_superseding").when((k % 13).isin(2, 5), "delete_evidence").when(k % 13 == 3, "replace_span").when(k % 13 == 4, "add_refute").otherwise("add_support")
+    return load(spark, sf, "events").where(user % 5 < 4).select(
+        user.alias("claim_id"), k.alias("seq"), kind.alias("event_type"), F.when(~(k % 13).isin(0, 1), F.concat(F.lit("e"), k % 4)).alias("evidence_id"), F.when(k % 3 > 0, F.concat(F.lit("s"), k % 5)).otherwise("").alias("source"),
+        (F.col("value") > 50).alias("replace_valid"), F.when((k % 13 == 1) & (k % 17 > 0), (user * 7 + k) % 997).alias("superseded_by"), F.when(k % 13 == 0, F.when(k % 2 == 0, "accepted").otherwise("rejected")).alias("override_status"))
+
+
+@query(f"WITH {LOG}")
+def claim_states(spark, sf):
+    """Claim states with overrides and successors"""
+    return D.projection(_log(spark, sf), _claims(spark, sf))
+
+
+@query(f"WITH {LOG}")
+def claim_states_streamed(spark, sf):
+    """The same from a stream of micro-batches that come in another order than the events"""
+    root = shared_dir(spark)
+    log = _log(spark, sf)
+    log.repartition(4, F.xxhash64("seq")).write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
+    return streamed_states(stream, _claims(spark, sf), root)
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT claim_id, arg_max(CASE kind WHEN 'add_refute' THEN 'rejected' ELSE 'accepted' END, seq) AS status FROM ev WHERE kind IN ('add_support', 'add_refute') GROUP BY 1) SELECT c.claim_id, coalesce(status, 'candidate') AS status FROM (SELECT DISTINCT user_id AS claim_id FROM events) c LEFT JOIN g ON g.claim_id = c.claim_id""")
