@@ -105,3 +105,13 @@ def policy_strict(spark, sf):
 def policy_loose(spark, sf):
     """The four checks of a relation, where linking words count as well"""
     return _decided(spark, sf, False)
+
+
+@query()
+def unwrapped_pages(spark, sf):
+    """Documents whose lines were wrapped after some 40 characters, often inside words, unwrapped (tests hold it against plain Python)"""
+    from lumenspan.operators import pages as P
+
+    wrapped = F.regexp_replace(F.regexp_replace("text", r"(.{28}[a-z]{2,6})([a-z]{2,6}\b)", "$1-\n$2"), r"(.{38}) ", "$1\n")
+    rows = load(spark, sf, "documents").select(F.floor(F.col("doc_id") / 3).alias("document_id"), F.col("doc_id").alias("page"), wrapped.alias("text"))
+    return P.unwrapped(rows)
