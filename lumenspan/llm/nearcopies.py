@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.simhash import SEED, links, majority
@@ -135,7 +135,8 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     classes = marked.groupBy("digest").agg(F.min(F.struct("key", "fp", "size", "tokens")).alias("c")).select("digest", "c.*")
     classes = stored(classes.drop("digest"), "classes")
     lists = classes.select(F.posexplode("tokens").alias("pos", "token"), F.col("key").alias("id"), "size")
-    lists = stored(lists.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").select("token", "id", "size", "pos"), "lists")
+    several = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")  # a hot token is counted before it is sent, and its rows are joined in parts
+    lists = stored(lists.join(several, "token", "left_semi").select("token", "id", "size", "pos"), "lists")
 
     # equal fingerprints and those within three bits, each compared with the first of its group
     points = stored(classes.groupBy("fp").agg(F.min("key").alias("rep")), "points")
