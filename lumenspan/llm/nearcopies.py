@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.llm.simhash import SEED, links, majority
 from lumenspan.llm.tokens import column
 from lumenspan.operators.components import connected_components
-from lumenspan.session import ship, stored
+from lumenspan.session import discard, ship, stored
 
 WORDS = 5
 #: Rows of the sample, and the most shingles that it puts last.
@@ -120,23 +120,34 @@ def _room(a_size: Column, a_pos: Column, b_size: Column, b_pos: Column) -> Colum
 
 
 def alike(pairs: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """The pairs (src, dst) whose whole sets have a Jaccard likeness of 0.8 or more."""
+    """The pairs (src, dst) whose whole sets have a Jaccard likeness of 0.8 or more, written; the sets are deleted again."""
     ends = pairs.select(F.col("src").alias(key)).union(pairs.select("dst")).distinct()
     sets = stored(_sets(docs.join(ends, key, "left_semi"), key), "sets")
     both = pairs.join(sets.select(F.col("key").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("key").alias("dst"), F.col("shingles").alias("b")), "dst")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(5 * shared >= 4 * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+    found = stored(both.where(5 * shared >= 4 * (F.size("a") + F.size("b") - shared)).select("src", "dst"), "alike")
+    discard(sets)
+    return found
+
+
+def _release(spark: SparkSession) -> None:
+    """Ask the driver to collect what nothing refers to: Spark then deletes the shuffles of finished joins of whole sets."""
+    spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def near_copies(docs: DataFrame, key: str) -> DataFrame:
     """(key, component): the smallest key of its component for every row; docs hold key, a distinct long, and text."""
     ship(docs.sparkSession)
     marked = stored(_marked(docs, key), "marked")
-    classes = marked.groupBy("digest").agg(F.min(F.struct("key", "fp", "size", "tokens")).alias("c")).select("digest", "c.*")
-    classes = stored(classes.drop("digest"), "classes")
-    lists = classes.select(F.posexplode("tokens").alias("pos", "token"), F.col("key").alias("id"), "size")
+    named = stored(marked.select("key", "digest"), "named")
+    prefixes = marked.groupBy("digest").agg(F.min(F.struct("key", "fp", "size", "tokens")).alias("c")).select("c.*")
+    prefixes = stored(prefixes, "prefixes")
+    discard(marked)
+    classes = stored(prefixes.select("key", "fp"), "classes")
+    lists = prefixes.select(F.posexplode("tokens").alias("pos", "token"), F.col("key").alias("id"), "size")
     several = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")  # a hot token is counted before it is sent, and its rows are joined in parts
     lists = stored(lists.join(several, "token", "left_semi").select("token", "id", "size", "pos"), "lists")
+    discard(prefixes)
 
     # equal fingerprints and those within three bits, each compared with the first of its group
     points = stored(classes.groupBy("fp").agg(F.min("key").alias("rep")), "points")
@@ -153,9 +164,10 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
         best = led.groupBy("id", F.col("to.id").alias("to")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("to")).alias("t"), "to")).alias("best"))
         tried = best.select(F.col("id").alias("src"), F.col("best.to").alias("dst"))
         tried = (tried.union(close) if known is None else tried).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-        new = stored(alike(stored(tried, "led"), docs, key), "stars")
+        new = alike(stored(tried, "led"), docs, key)
         edges = new if known is None else edges.union(new)
         known = stored(connected_components(edges), "known")
+        _release(docs.sparkSession)
 
     sides = lists.join(known, lists["id"] == known["node"], "left").select("token", "id", "size", "pos", F.coalesce("component", "id").alias("part"))
     a, b = (sides.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "pos", "part"))) for s in "ab")
@@ -164,8 +176,10 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     met = met.groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.max(F.struct("a_pos", "b_pos")).alias("last"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
     most = F.col("n") + F.least(F.col("a_size") - F.col("last.a_pos"), F.col("b_size") - F.col("last.b_pos")) - 1
     pairs = stored(met.where(9 * most >= 4 * (F.col("a_size") + F.col("b_size"))).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")), "pairs")
+    discard(lists)
+    _release(docs.sparkSession)
     found = connected_components(edges.union(alike(pairs, docs, key)))
 
-    heads = marked.groupBy("digest").agg(F.min("key").alias("head"))
+    heads = named.groupBy("digest").agg(F.min("key").alias("head"))
     heads = heads.join(found, heads["head"] == found["node"], "left").select("digest", F.coalesce("component", "head").alias("component"))
-    return marked.select("key", "digest").join(heads, "digest").select("key", "component")
+    return named.join(heads, "digest").select("key", "component")
