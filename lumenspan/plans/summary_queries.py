@@ -133,3 +133,37 @@ def scholar_records(spark, sf):
         F.when(k % 6 == 0, F.struct(F.lit("10.1/ABC").alias("DOI"))).alias("externalIds"), F.when(k % 5 == 0, F.struct(F.lit("http://pdf").alias("url"), F.lit("GREEN").alias("status"))).alias("openAccessPdf"), F.when(k % 4 > 0, F.array(F.struct(F.lit("Ann Lee").alias("name")), F.struct(F.lit("").alias("name")))).alias("authors"))
     rows = S.scholar_papers(load(spark, sf, "documents").select(F.to_json(record).alias("value")))
     return rows.select("paper_id", "title", F.array_join("authors", "|").alias("authors"), "year", "summary", "source_url", "license", "doi")
+
+
+ASKED = ("the stupid river", "report and that")
+
+
+def _federation(spark, sf):
+    from lumenspan.operators import federation as N
+
+    d, k = load(spark, sf, "documents"), F.col("doc_id")
+    rows = d.select(
+        k.cast("string").alias("paper_id"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("summary"), F.array(F.col("source"), F.when(k % 50 == 0, "report river").otherwise("")).alias("concepts"),
+        F.when(k % 4 == 0, F.concat(F.lit("10.1000/"), (F.col("n_chars") % 97).cast("string"))).otherwise("").alias("doi"), F.when(k % 4 == 1, F.concat(F.lit("https://X.org/"), (F.col("n_chars") % 89).cast("string"), F.lit("/"))).otherwise("").alias("url"),
+        (k % 30 + 1).cast("int").alias("tier"), (2000 + k % 25).cast("int").alias("year"), "lang")
+    sources = {name: rows.where(F.col("lang") == name) for name in ("en", "de", "fr")} | {"es": None}
+    return N.search(spark, sources, list(ASKED), 25)
+
+
+_WORDS = ("the", "stupid", "river", "report", "and", "that")
+FEDERATION = f"""p AS (SELECT doc_id::VARCHAR AS paper_id, lang AS source, (doc_id % 30 + 1)::INTEGER AS tier, (2000 + doc_id % 25)::INTEGER AS year, lower(substr(coalesce(text, ''), 1, 40)) AS title, lower(coalesce(substr(text, 1, 40), '') || ' ' || coalesce(text, '') || ' ' || source || ' ' || CASE WHEN doc_id % 50 = 0 THEN 'report river' ELSE '' END) AS low, length(coalesce(text, '')) AS n,
+ CASE WHEN doc_id % 4 = 0 THEN '10.1000/' || (n_chars % 97) WHEN doc_id % 4 = 1 THEN 'https://x.org/' || (n_chars % 89) ELSE doc_id::VARCHAR END AS k FROM documents WHERE lang IN ('en', 'de', 'fr')),
+d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY tier, n DESC, paper_id) = 1)"""
+
+
+@query(f"""WITH {FEDERATION} SELECT paper_id, source, tier, year, (tier = 1)::INTEGER AS official, round({" + ".join(f"CASE WHEN contains(title, '{w}') THEN 3 WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in _WORDS)} + greatest(0, 4 - tier) * 2 + least(2.0, n / 500), 6)::DOUBLE AS score FROM d
+WHERE tier = 1 OR {" + ".join(f"contains(low, '{w}')::INT" for w in _WORDS if w not in ("and", "the"))} >= 2 ORDER BY official DESC, score DESC, year DESC, paper_id LIMIT 25""")
+def federated_search(spark, sf):
+    """The best papers of several sources together (the top 25 are the report), one of which gave nothing"""
+    return _federation(spark, sf)[0]
+
+
+@query("""SELECT s AS source, s <> 'es' AS successful, CASE WHEN s = 'es' THEN 0 ELSE (SELECT count(*) FROM documents WHERE lang = s) END AS n_found FROM (SELECT unnest(['en', 'de', 'fr', 'es']) AS s)""")
+def federation_report(spark, sf):
+    """Which sources were asked, which answered, and with how many papers"""
+    return _federation(spark, sf)[1]

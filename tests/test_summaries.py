@@ -54,3 +54,16 @@ def test_records(spark):
     papers = spark.createDataFrame([(json.dumps({"paperId": "p", "title": "T", "authors": [{"name": None}, {"name": "A"}], "externalIds": {"DOI": "10.1/X"}}),), ('{"title": "none"}',), ("[",)], "value string")
     rows = S.scholar_papers(papers).collect()
     assert [(r["paper_id"], r["summary"], r["authors"], r["doi"], r["license"]) for r in rows] == [("s2:p", "T", ["A"], "10.1/x", "metadata-only")]
+
+
+def test_federation(spark):
+    from lumenspan.operators import federation as N
+
+    paper = lambda i, title, tier, doi="", concepts=None, summary=None: (i, title, summary, concepts, doi, "", tier, 2020)
+    a = spark.createDataFrame([paper("a1", "Graph models", 2, "10.1/X"), paper("a2", "Nothing", 1), paper("a3", "graph", 2, concepts=["model", "x"]), paper("a4", None, 3)], N.PAPER)
+    b = spark.createDataFrame([paper("b1", "Graph model of all", 1, "10.1/x"), paper("b2", "the design system for", 2)], N.PAPER)
+    papers, report = N.search(spark, {"a": a, "b": b, "c": None}, ["the graph", "Model design"], 5)
+    assert [(r["paper_id"], r["official"], r["score"]) for r in papers.collect()] == [("b1", 1, 12.0), ("a2", 1, 6.0), ("a3", 0, 8.0)]
+    assert sorted(tuple(r) for r in report.collect()) == [("a", True, 4), ("b", True, 2), ("c", False, 0)]
+    papers, report = N.search(spark, {"c": None}, ["x"], 5)
+    assert papers.count() == 0 and [tuple(r) for r in report.collect()] == [("c", False, 0)]
