@@ -7,6 +7,7 @@ tables exercise the rules and mean nothing.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions import metrics as M
@@ -75,6 +76,22 @@ def citation_share(spark, sf):
     return spans(spark, sf).groupBy("lang").agg(F.count("*").alias("n"), hit.alias("n_citations"), F.round(hit / F.count("*"), 4).alias("share"))
 
 
+@query(f"""WITH {SPANS}, h AS (SELECT *, regexp_matches(text, '{CITED}') AS hit FROM spans) SELECT coalesce(lang, '(all)') AS domain, count(*) AS n, count(*) FILTER (WHERE hit) AS n_citations, round(count(*) FILTER (WHERE hit) / count(*), 4) AS share FROM h GROUP BY ROLLUP (lang)""")
+def citation_totals(spark, sf):
+    """The share of citation-like sentences by domain and in all"""
+    rows = spans(spark, sf).select("lang", X.citation_like(F.col("text")).cast("int").alias("hit"))
+    out = rows.rollup("lang").agg(F.count("*").alias("n"), F.sum("hit").alias("n_citations"))
+    return out.select(F.coalesce("lang", F.lit("(all)")).alias("domain"), "n", "n_citations", F.round(F.col("n_citations") / F.col("n"), 4).alias("share"))
+
+
+@query(f"""WITH {SPANS}, h AS (SELECT lang AS domain, paper_id, sentence_index, left(text, 180) AS sample, row_number() OVER (PARTITION BY lang ORDER BY paper_id, sentence_index) AS place FROM spans WHERE regexp_matches(text, '{CITED}')) SELECT domain, paper_id, sentence_index::INTEGER AS sentence_index, sample, place::INTEGER AS place FROM h WHERE place <= 3""")
+def citation_samples(spark, sf):
+    """The first three citation-like sentences of each domain, 180 characters at most"""
+    order = Window.partitionBy("domain").orderBy("paper_id", "sentence_index")
+    hits = spans(spark, sf).where(X.citation_like(F.col("text"))).select(F.col("lang").alias("domain"), "paper_id", "sentence_index", F.substring("text", 1, 180).alias("sample"))
+    return hits.withColumn("place", F.row_number().over(order)).where("place <= 3")
+
+
 @query(f"""WITH {SPANS} SELECT text, count(*) AS n_spans, count(DISTINCT paper_id) AS n_papers, min(paper_id) AS first_paper FROM spans GROUP BY 1 HAVING count(*) > 1""")
 def same_wording_groups(spark, sf):
     """Wordings that occur more than once"""
