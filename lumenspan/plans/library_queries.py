@@ -232,9 +232,9 @@ def research_gaps(spark, sf):
 
 @query("""SELECT c_custkey AS paper_id, array_to_string(list_slice(list_sort(list_distinct(list(o_orderpriority) FILTER (WHERE o_orderpriority IS NOT NULL))), 1, 4), '|') AS statements, count(o_orderkey) AS n_evidence FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def timeline_contributions(spark, sf):
-    """Up to four distinct statements of each paper; papers without any stay"""
-    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("paper_id")).agg(F.array_join(F.slice(F.array_sort(F.collect_set("o_orderpriority")), 1, 4), "|").alias("statements"), F.count("*").alias("n_evidence"))
-    return papers(spark, sf).select("paper_id").join(o, "paper_id", "left").select("paper_id", F.coalesce("statements", F.lit("")).alias("statements"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
+    """Up to four distinct statements of each paper; papers without any stay, with null"""
+    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("paper_id")).agg(F.array_join(F.slice(F.array_sort(F.nullif(F.collect_set("o_orderpriority"), F.array().cast("array<string>"))), 1, 4), "|").alias("statements"), F.count("o_orderkey").alias("n_evidence"))
+    return papers(spark, sf).select("paper_id").join(o, "paper_id", "left").select("paper_id", "statements", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_included, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_deferred FROM orders GROUP BY 1""")
