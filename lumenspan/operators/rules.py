@@ -94,13 +94,17 @@ def fallback_relevant(query: str, papers: DataFrame) -> DataFrame:
 
     Some Latin anchor of the query (three signs or more) must be in some paper's text; without anchors some Chinese term.
     """
+    return papers.agg(F.coalesce(F.bool_or(fallback_hit(query, F.col("text"))), F.lit(False)).alias("relevant"))
+
+
+def fallback_hit(query: str, text: Column) -> Column:
+    """Does one text hold an anchor of the query (without anchors: a Chinese term)?"""
     import re
 
-    low = F.lower(_text("text"))
+    low = F.lower(F.coalesce(text, F.lit("")))
     anchors = [t for t in dict.fromkeys(x.lower() for x in re.findall(ANCHOR, query)) if t not in NO_ANCHOR]
     terms = [t for t in re.findall(CHINESE_TERM, query) if t not in NO_CHINESE_TERM]
-    hit = reduce(lambda a, b: a | b, [low.contains(t) for t in anchors or terms], F.lit(False))
-    return papers.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("relevant"))
+    return reduce(lambda a, b: a | b, [low.contains(t) for t in anchors or terms], F.lit(False))
 
 
 def retrieval_query(query: Column) -> Column:

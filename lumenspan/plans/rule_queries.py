@@ -69,16 +69,19 @@ def library_cut_then_rank(spark, sf):
 ASKED_ALONE = ("How river report", "zzzq unheard", "知识图谱", "how 知识图谱", "How the")
 
 
-@query("""WITH t AS (SELECT bool_or(contains(lower(text), 'river') OR contains(lower(text), 'report')) AS a, bool_or(contains(lower(text), 'zzzq') OR contains(lower(text), 'unheard')) AS b, bool_or(contains(lower(text), '知识图谱')) AS c, bool_or(contains(lower(text), 'the')) AS d FROM documents WHERE lang = 'en')
-SELECT 'How river report' AS asked, a AS relevant FROM t UNION ALL SELECT 'zzzq unheard', b FROM t UNION ALL SELECT '知识图谱', c FROM t UNION ALL SELECT 'how 知识图谱', c FROM t UNION ALL SELECT 'How the', d FROM t""")
+@query("""WITH d AS (SELECT doc_id AS paper_id, lower(coalesce(text, '')) AS low FROM documents),
+h AS (SELECT paper_id, 'How river report' AS asked, contains(low, 'river') OR contains(low, 'report') AS hit FROM d UNION ALL SELECT paper_id, 'zzzq unheard', contains(low, 'zzzq') OR contains(low, 'unheard') FROM d UNION ALL SELECT paper_id, '知识图谱', contains(low, '知识图谱') FROM d
+  UNION ALL SELECT paper_id, 'how 知识图谱', contains(low, '知识图谱') FROM d UNION ALL SELECT paper_id, 'How the', contains(low, 'the') FROM d)
+SELECT asked, paper_id, hit, bool_or(hit) OVER (PARTITION BY asked) AS relevant FROM h""")
 def fallback_anchors(spark, sf):
-    """Do the papers together answer a query: some Latin anchor in any of them, without anchors a Chinese term"""
-    found = papers(spark, sf).where("domain = 'en'")
+    """Which papers hold an anchor of each query, and do all papers together answer it: some Latin anchor in any, without anchors a Chinese term"""
+    found = papers(spark, sf)
+    hits = found.select("paper_id", F.explode(F.array(*(F.struct(F.lit(q).alias("asked"), U.fallback_hit(q, F.col("text")).alias("hit")) for q in ASKED_ALONE))).alias("h")).select("h.asked", "paper_id", "h.hit")
     rows = [U.fallback_relevant(q, found).select(F.lit(q).alias("asked"), "relevant") for q in ASKED_ALONE]
-    out = rows[0]
+    verdicts = rows[0]
     for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        verdicts = verdicts.unionByName(r)
+    return hits.join(F.broadcast(verdicts), "asked")  # one row for each query
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'scientific literature knowledge graph' WHEN 2 THEN 'scientific literature entity extraction relation extraction research idea generation' ELSE 'scientific literature' END AS terms FROM nation""")
