@@ -136,12 +136,13 @@ def in_order(text: Column, needle: str) -> Column:
     """Do the needle's words come in the text's words, in their order?"""
     import re
 
-    left = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     wanted = re.findall("[a-z0-9]+", needle.casefold())
-    for word in wanted:  # what follows the word, null once it is missing
-        place = F.array_position(left, word)
-        left = F.when(place > 0, F.slice(left, place.cast("int") + 1, F.greatest(F.lit(0), F.size(left))))
-    return left.isNotNull() if wanted else F.lit(False)
+    if not wanted:
+        return F.lit(False)
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![a-z0-9])(?:{'|'.join(dict.fromkeys(wanted))})(?![a-z0-9])"), F.lit(0))
+    # how many of the needle's words were met in order: each word of the text is looked at once
+    met = F.aggregate(words, F.lit(0), lambda k, w: F.when(w == F.get(F.array(*map(F.lit, wanted)), k), k + 1).otherwise(k))
+    return met == len(wanted)
 
 
 def concept_keys(name: Column, singular) -> Column:
