@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenspan.functions.text import flattened, symbol_ratio
+from lumenspan.functions.text import ascii_edges, flattened, symbol_ratio
 from lumenspan.session import ship
 
 # Results depend on exactly these.
@@ -98,8 +98,8 @@ def quality_faults(text: Column) -> Column:
     tail = F.lower(F.element_at(F.split(F.regexp_replace(text, r"[ .;:,、，。]+$", ""), " ", -1), -1))
     ended = F.regexp_replace(F.lower(text), r"\s+$", "")
     cut = (tail != "") & (tail.isin(*CUT_TAILS) | reduce(lambda a, b: a | b, [ended.endswith(w) for w in CUT_TAILS]))
-    cited = F.when(F.length(text) > 0, (F.length(text) - F.length(F.regexp_replace(text, CITED, ""))) / F.length(text)).otherwise(0.0)
-    return _codes([("too_short", F.length(text) < SHORTEST), ("cut_off", cut), ("symbols", symbol_ratio(text) > MOST_SYMBOLS), ("citations", cited > MOST_CITED), ("layout", text.rlike(LAYOUT))])
+    cited = F.when(F.length(text) > 0, (F.length(text) - F.length(F.regexp_replace(text, ascii_edges(CITED), ""))) / F.length(text)).otherwise(0.0)
+    return _codes([("too_short", F.length(text) < SHORTEST), ("cut_off", cut), ("symbols", symbol_ratio(text) > MOST_SYMBOLS), ("citations", cited > MOST_CITED), ("layout", text.rlike(ascii_edges(LAYOUT)))])
 
 
 def decided(relations: DataFrame, constraints: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], triggers: dict[str, tuple[str, ...]], strict: bool = True, one_sentence: bool = True) -> DataFrame:
@@ -134,15 +134,15 @@ def decided(relations: DataFrame, constraints: dict[str, tuple[tuple[str, ...],
             found = low.rlike(rf"(?<![a-z0-9]){re.escape(word)}") if word.isascii() else between.contains(word)
             present = present | (kind == name.upper()) & found
     if not strict:
-        present = present | between.rlike(LINKS)
+        present = present | between.rlike(ascii_edges(LINKS))
     first, last = F.least(head["char_start"], tail["char_start"]), F.greatest(head["char_start"], tail["char_start"])
-    apart = cut(F.regexp_replace("text", BREAK, BREAK_SIGN), first, last).contains(BREAK_SIGN)
+    apart = cut(F.regexp_replace("text", ascii_edges(BREAK), BREAK_SIGN), first, last).contains(BREAK_SIGN)
 
     backward = head["char_start"] > tail["char_start"]
     missing = _codes([("head_missing", F.col("n_head") == 0), ("tail_missing", F.col("n_tail") == 0)])
     doubts = _codes([
         ("not_unique", (F.col("n_head") > 1) | (F.col("n_tail") > 1)), ("types", ~typed), ("reversed", backward),
-        ("passive", ~backward & cut(F.col("text"), head["char_end"], tail["char_start"]).rlike(PASSIVE)), ("other_sentence", apart if one_sentence else F.lit(False)),
+        ("passive", ~backward & cut(F.col("text"), head["char_end"], tail["char_start"]).rlike(ascii_edges(PASSIVE))), ("other_sentence", apart if one_sentence else F.lit(False)),
         ("adjacent", end <= begin), ("no_trigger", (end > begin) & ~present),
     ])
     reasons = F.when(F.size("_faults") > 0, F.col("_faults")).when(F.size(missing) > 0, missing).otherwise(doubts)
