@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenspan.functions.text import ascii_edges, flattened, symbol_ratio
+from lumenspan.functions.text import ascii_edges, flat_text, symbol_ratio
 from lumenspan.session import ship
 
 # Results depend on exactly these.
@@ -35,6 +36,8 @@ LINKS = r"(?i)(?:\b(?:by|for|using|use|used|uses|via|with|on|from|based\s+on|tra
 SHORT_FORMS = ("et al", "Fig", "Eq", "Tab", "Sec", "No", "i.e", "e.g", "vs", "cf", "ref")
 # End of fixed values.
 
+#: Every text that LAYOUT fits holds one of these, in lower case.
+LAYOUT_WORDS = ("reference", "bibliograph", "works", "参考文献", "引用文献", "table", "figure", "fig.", "section", "appendix")
 #: The space between two sentences of a text whose white space is single spaces, and the sign that stands for it.
 BREAK = r"(?<=[.!?])(?<!(?i:\b(?:" + "|".join(map(re.escape, SHORT_FORMS)).replace(r"\ ", " ") + r")\.)) (?=[A-Z(\[]|[一-鿿])"
 BREAK_SIGN = "\x01"
@@ -53,9 +56,22 @@ def name_pattern(name: str) -> re.Pattern | None:
     return re.compile(left + re.escape(clean) + right, re.IGNORECASE)
 
 
-def places(text: str, names: list[str]) -> list[tuple[int, int, str]]:
+#: Letters beyond ASCII that a pattern takes for ASCII ones in any case.
+ODD = re.compile("[İıſ\u212a]")
+
+
+@lru_cache(20_000)
+def searched(names: tuple[str | None, ...]) -> list[tuple[str, str, re.Pattern]]:
+    """(name, what a text in lower case holds where the name is in it, its pattern) of names that can be found."""
+    return [(n, bare[0].lower() if (bare := re.findall("[A-Za-z0-9]+", unicodedata.normalize("NFKC", n))) else "", p) for n in names if n and (p := name_pattern(n))]
+
+
+def places(text: str, names: Sequence[str | None]) -> list[tuple[int, int, str]]:
     """(begin, end, name): from the left, the longest first (then the first named), none over another."""
-    hits = [(*m.span(), name) for name in names if name and (p := name_pattern(name)) for m in p.finditer(text)]
+    low = text.lower() if text.isascii() or not ODD.search(text) else None  # looking for a word costs far less than a pattern
+    hits = [(*m.span(), name) for name, word, pattern in searched(tuple(names)) if low is None or word in low for m in pattern.finditer(text)]
+    if len(hits) < 2:
+        return hits
     out: list[tuple[int, int, str]] = []
     for hit in sorted(hits, key=lambda h: (h[0], h[0] - h[1])):
         if not out or hit[0] >= out[-1][1]:
@@ -63,10 +79,10 @@ def places(text: str, names: list[str]) -> list[tuple[int, int, str]]:
     return out
 
 
-def placed_names(rows: DataFrame, text: str, wanted: dict[str, str]) -> DataFrame:
+def placed_names(rows: DataFrame, text: str, wanted: dict[str, str], flat: bool = False) -> DataFrame:
     """Rows with an array of (char_start, char_end, name) for each of wanted {new column: column of name arrays}.
 
-    Places count in the text as it stands; flattened() makes it comparable with the names first.
+    Places count in the text as it stands, which flattened() makes comparable with the names; flat=True flattens the column here.
     """
     if clash := set(wanted) & set(rows.columns):
         raise ValueError(f"the rows have columns {sorted(clash)} already")
@@ -76,10 +92,19 @@ def placed_names(rows: DataFrame, text: str, wanted: dict[str, str]) -> DataFram
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, made = batch.column(at).to_pylist(), []
+            if flat:
+                texts = [flat_text(t) for t in texts]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
             for c in columns:
-                found, ends = [], [0]
-                for value, names in zip(texts, batch.column(c).to_pylist()):
-                    found.extend(places(value or "", names or []))
+                found, ends, lists = [], [0], batch.column(c)
+                codes = lists.flatten().dictionary_encode()  # few lists differ: each is read once
+                known, codes, starts = {}, codes.indices.fill_null(-1).to_numpy(), [0, *np.cumsum([len(x) if x.is_valid else 0 for x in lists])] if lists.null_count else lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                for row, value in enumerate(texts):
+                    key = codes[starts[row] : starts[row + 1]].tobytes()
+                    if (names := known.get(key)) is None:
+                        names = known[key] = tuple(lists[row].as_py() or ())
+                    if value and names:
+                        found.extend(places(value, names))
                     ends.append(len(found))
                 fields = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
                 made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["char_start", "char_end", "name"])))
@@ -95,11 +120,14 @@ def _codes(rules: list[tuple[str, Column]]) -> Column:
 def quality_faults(text: Column) -> Column:
     """What makes a flattened text no evidence: too_short, cut_off, symbols, citations, layout."""
     text = F.coalesce(text, F.lit(""))
-    tail = F.lower(F.element_at(F.split(F.regexp_replace(text, r"[ .;:,、，。]+$", ""), " ", -1), -1))
-    ended = F.regexp_replace(F.lower(text), r"\s+$", "")
-    cut = (tail != "") & (tail.isin(*CUT_TAILS) | reduce(lambda a, b: a | b, [ended.endswith(w) for w in CUT_TAILS]))
-    cited = F.when(F.length(text) > 0, (F.length(text) - F.length(F.regexp_replace(text, ascii_edges(CITED), ""))) / F.length(text)).otherwise(0.0)
-    return _codes([("too_short", F.length(text) < SHORTEST), ("cut_off", cut), ("symbols", symbol_ratio(text) > MOST_SYMBOLS), ("citations", cited > MOST_CITED), ("layout", text.rlike(ascii_edges(LAYOUT)))])
+    low = F.lower(text)
+    tail = F.substring_index(F.rtrim(low, F.lit(" .;:,、，。")), " ", -1)
+    cut = (tail != "") & (tail.isin(*CUT_TAILS) | F.substring(F.rtrim(low, F.lit(" \t\n\x0b\f\r")), -max(map(len, CUT_TAILS)), 99).rlike(f"(?:{'|'.join(CUT_TAILS)})\\z"))
+    # a search for the words that a pattern needs costs far less than the pattern, and few texts hold any
+    some = lambda c, words: reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    cited = F.when(some(low, ("[", "(", "al.")), (F.length(text) - F.length(F.regexp_replace(text, ascii_edges(CITED), ""))) / F.length(text)).otherwise(0.0)
+    layout = some(low, LAYOUT_WORDS) & text.rlike(ascii_edges(LAYOUT))
+    return _codes([("too_short", F.length(text) < SHORTEST), ("cut_off", cut), ("symbols", symbol_ratio(text) > MOST_SYMBOLS), ("citations", cited > MOST_CITED), ("layout", layout)])
 
 
 def decided(relations: DataFrame, constraints: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], triggers: dict[str, tuple[str, ...]], strict: bool = True, one_sentence: bool = True) -> DataFrame:
@@ -114,8 +142,8 @@ def decided(relations: DataFrame, constraints: dict[str, tuple[tuple[str, ...],
     """
     kind = F.upper(F.coalesce("type", F.lit("")))
     names = lambda own, more: F.array_compact(F.concat(F.array(own), F.coalesce(more, F.array().cast("array<string>"))))
-    rows = relations.withColumns({"text": flattened("span"), "_heads": names("head", "head_aliases"), "_tails": names("tail", "tail_aliases")})
-    rows = placed_names(rows, "text", {"_h": "_heads", "_t": "_tails"})
+    rows = relations.withColumns({"text": F.col("span"), "_heads": names("head", "head_aliases"), "_tails": names("tail", "tail_aliases")})
+    rows = placed_names(rows, "text", {"_h": "_heads", "_t": "_tails"}, flat=True)
     rows = rows.withColumns({"n_head": F.size("_h"), "n_tail": F.size("_t"), "_head": F.get("_h", F.lit(0)), "_tail": F.get("_t", F.lit(0)), "_faults": quality_faults(F.col("text"))})
     head, tail = F.col("_head"), F.col("_tail")
     cut = lambda text, a, b: F.substring(text, a + 1, F.greatest(F.lit(0), b - a))
@@ -136,7 +164,8 @@ def decided(relations: DataFrame, constraints: dict[str, tuple[tuple[str, ...],
     if not strict:
         present = present | between.rlike(ascii_edges(LINKS))
     first, last = F.least(head["char_start"], tail["char_start"]), F.greatest(head["char_start"], tail["char_start"])
-    apart = cut(F.regexp_replace("text", ascii_edges(BREAK), BREAK_SIGN), first, last).contains(BREAK_SIGN)
+    marked = reduce(lambda a, b: a | b, [F.col("text").contains(f"{sign} ") for sign in ".!?"])  # no break without them
+    apart = marked & cut(F.regexp_replace("text", ascii_edges(BREAK), BREAK_SIGN), first, last).contains(BREAK_SIGN)
 
     backward = head["char_start"] > tail["char_start"]
     missing = _codes([("head_missing", F.col("n_head") == 0), ("tail_missing", F.col("n_tail") == 0)])
@@ -146,5 +175,6 @@ def decided(relations: DataFrame, constraints: dict[str, tuple[tuple[str, ...],
         ("adjacent", end <= begin), ("no_trigger", (end > begin) & ~present),
     ])
     reasons = F.when(F.size("_faults") > 0, F.col("_faults")).when(F.size(missing) > 0, missing).otherwise(doubts)
-    status = F.when((F.size("_faults") > 0) | (F.size(missing) > 0), "rejected").when(F.size(doubts) > 0, "needs_review").otherwise("accepted")
-    return rows.withColumns({"status": status, "reasons": reasons}).drop("_heads", "_tails", "_h", "_t", "_head", "_tail", "_faults")
+    rows = rows.withColumn("reasons", reasons)  # a column of its own: the doubts of a row are found once
+    status = F.when((F.size("_faults") > 0) | (F.col("n_head") == 0) | (F.col("n_tail") == 0), "rejected").when(F.size("reasons") > 0, "needs_review").otherwise("accepted")
+    return rows.select(*[c for c in rows.columns if c != "reasons"], status.alias("status"), "reasons").drop("_heads", "_tails", "_h", "_t", "_head", "_tail", "_faults")

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenspan.functions.text import flattened
+from lumenspan.functions.text import flattened, sentences
 from lumenspan.operators import acceptance as A
 from lumenspan.plans.evidence_queries import SPANS, spans
 from lumenspan.plans.relation_queries import _marked
-from lumenspan.session import load
+from lumenspan.session import load, ship
 
 QUERIES, SQL = {}, {}
 
@@ -50,6 +50,7 @@ CASE WHEN regexp_matches(t, '{A.LAYOUT}') THEN 'layout' END], lambda x: x IS NOT
 @query(rf"""WITH {SPANS}, span AS (SELECT paper_id, sentence_index, regexp_replace(text, '\s+', ' ', 'g') AS t FROM spans), {QUALITY} SELECT paper_id, sentence_index::INTEGER AS sentence_index, array_to_string(faults, ',') AS faults FROM q""")
 def evidence_faults(spark, sf):
     """The five checks of evidence on every sentence"""
+    ship(spark)
     rows = spans(spark, sf).select("paper_id", "sentence_index", flattened("text").alias("text"))
     return rows.select("paper_id", "sentence_index", F.array_join(A.quality_faults(F.col("text")), ",").alias("faults"))
 
@@ -82,9 +83,9 @@ array_to_string(CASE WHEN len(faults) > 0 THEN faults WHEN len(missing) > 0 THEN
 
 
 def _decided(spark, sf, strict: bool):
-    from pyspark.sql import Window
-
-    rows = spans(spark, sf).withColumn("next", F.lead("text").over(Window.partitionBy("paper_id").orderBy("sentence_index"))).where("next IS NOT NULL")
+    rows = load(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), sentences(F.col("text")).alias("s"))
+    both = F.transform("s", lambda x, i: F.struct(x.alias("text"), F.get("s", i + 1).alias("next")))  # a document's sentences are in its row
+    rows = rows.select("paper_id", F.posexplode(both).alias("sentence_index", "b")).select("paper_id", "sentence_index", "b.*").where("next IS NOT NULL")
     more = lambda words: F.array(*map(F.lit, words[1:]))
     k = F.col("sentence_index") % 3
     rows = rows.select(
