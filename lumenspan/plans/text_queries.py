@@ -86,9 +86,7 @@ def json_answers(spark, sf):
 def restored_abstracts(spark, sf):
     """Texts back from inverted indexes of their words"""
     d = load(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \n]+"), F.lit(0)).alias("w"))
-    places = lambda w: F.filter(F.transform("w", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
-    words = d.select("doc_id", F.posexplode_outer("w").alias("i", "x")).groupBy("doc_id", "x").agg(F.sort_array(F.collect_list("i")).alias("p"))  # of one text's word
-    index = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("x", "p")))).alias("index"))
+    index = d.select("doc_id", S.index_of(F.col("w")).alias("index"))
     return index.select("doc_id", S.abstract_of("index").alias("abstract"))
 
 

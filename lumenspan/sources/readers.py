@@ -86,6 +86,21 @@ def html_sections(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "section_ord", heading.alias("heading"), body.alias("text")).where("heading <> '' OR text <> ''")
 
 
+def index_of(words: Column) -> Column:
+    """The inverted index of a text's words, map<word, array<position>>, made inside its row."""
+
+    def grouped(placed: Column, firsts: Column) -> Column:
+        size = lambda at, k: F.coalesce(F.get(firsts, k + 1), F.size(placed)) - at
+        return F.transform(firsts, lambda at, k: F.struct(F.get(placed, at)["w"].alias("key"), F.transform(F.slice(placed, at + 1, size(at, k)), lambda x: x["p"]).alias("value")))
+
+    def of(placed: Column) -> Column:
+        begins = F.filter(F.transform(placed, lambda x, i: F.when((i == 0) | (x["w"] != F.get(placed, i - 1)["w"]), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(begins), lambda firsts: grouped(placed, firsts))[0]
+
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    return F.map_from_entries(F.transform(F.array(placed), of)[0])
+
+
 def abstract_of(index: str) -> Column:
     """The text of an inverted index, map<word, array<position>>."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
