@@ -77,10 +77,17 @@ def evidence_details(asked: DataFrame, registered: DataFrame, corpus: DataFrame,
     return out.select("ordinal", "evidence_id", place.alias("place"), F.coalesce("_a", "_b", "_c").alias("text")).where("place IS NOT NULL")
 
 
+SALTS = 256
+
+
 def mentioned(links: DataFrame, overlay: DataFrame, schema: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs(entity, evidence_id, text) with mentioned: by a link, else by overlay aliases, which replace schema aliases where an entity has any, as substrings."""
     names = overlay.unionByName(schema.join(overlay.select("entity").distinct(), "entity", "left_anti"))
-    found = pairs.join(names, "entity").where(F.contains(F.lower("text"), F.lower("alias"))).select("entity", "evidence_id").distinct().withColumn("_n", F.lit(True))
+    names = names.groupBy("entity").agg(F.collect_set(F.lower("alias")).alias("_a"))  # of one entity
+    # an entity may have a large share of the texts: they go to SALTS places, and its names to each of them
+    names = names.select("entity", "_a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    texts = pairs.select("entity", "evidence_id", F.lower("text").alias("_low"), F.pmod(F.xxhash64("evidence_id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    found = texts.join(names, ["entity", "_salt"]).where(F.exists("_a", lambda a: F.contains("_low", a))).select("entity", "evidence_id").distinct().withColumn("_n", F.lit(True))
     out = pairs.join(links.select("entity", "evidence_id").distinct().withColumn("_l", F.lit(True)), ["entity", "evidence_id"], "left").join(found, ["entity", "evidence_id"], "left")
     return out.select("entity", "evidence_id", F.coalesce("_l", "_n", F.lit(False)).alias("mentioned"))
 
