@@ -11,7 +11,7 @@ from lumenspan.operators import review as V
 from lumenspan.operators import services as C
 from lumenspan.plans.evidence_queries import PLURAL
 from lumenspan.plans.relation_queries import DICTIONARY, FOUND, TRIGGERS, _places, _spans
-from lumenspan.session import load
+from lumenspan.session import load, ship
 from lumenspan.sources import readers as S
 
 QUERIES, SQL = {}, {}
@@ -30,6 +30,7 @@ def query(sql: str | None = None):
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(regexp_replace(coalesce(text, ''), '[\s_\-/]+', ' ', 'g')), 'ß', 'ss'), '[^\p{L}\p{N}_ ]', '', 'g'), ' +', ' ', 'g')) AS name FROM documents""")
 def normalized_names(spark, sf):
     """Whole texts as names: folded, separators to spaces, other signs dropped"""
+    ship(spark)
     return load(spark, sf, "documents").select("doc_id", X.normalize_name(F.coalesce("text", F.lit(""))).alias("name"))
 
 
@@ -47,6 +48,7 @@ k AS (SELECT doc_id, list_transform(list_filter(list_transform(l, lambda w: trim
 SELECT doc_id, len(l)::INTEGER AS n_words, md5(array_to_string(l, ' ')) AS words FROM k""")
 def evidence_words(spark, sf):
     """Words of evidence: compatible signs and case folded, numbers whole, stop-words gone, plurals to singular"""
+    ship(spark)
     found = load(spark, sf, "documents").select("doc_id", X.evidence_words(F.col("text"), STOP).alias("w"))
     return found.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
 
