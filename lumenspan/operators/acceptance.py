@@ -14,11 +14,12 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenspan.functions.text import ascii_edges, flat_text, symbol_ratio
+from lumenspan.functions.text import STEP_CHARS, ascii_edges, flat_text, symbol_ratio
 from lumenspan.session import ship
 
 # Results depend on exactly these.
@@ -79,6 +80,15 @@ def places(text: str, names: Sequence[str | None]) -> list[tuple[int, int, str]]
     return out
 
 
+def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some STEP_CHARS bytes of the texts in column `at`, so that a worker holds the results of one slice."""
+    step = np.cumsum(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // STEP_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def placed_names(rows: DataFrame, text: str, wanted: dict[str, str], flat: bool = False) -> DataFrame:
     """Rows with an array of (char_start, char_end, name) for each of wanted {new column: column of name arrays}.
 
@@ -90,7 +100,7 @@ def placed_names(rows: DataFrame, text: str, wanted: dict[str, str], flat: bool
     at, columns = rows.columns.index(text), [rows.columns.index(c) for c in wanted.values()]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, at)):
             texts, made = batch.column(at).to_pylist(), []
             if flat:
                 texts = [flat_text(t) for t in texts]
