@@ -11,7 +11,7 @@ from lumenspan.operators import review as V
 from lumenspan.operators import services as C
 from lumenspan.plans.evidence_queries import PLURAL
 from lumenspan.plans.relation_queries import DICTIONARY, FOUND, TRIGGERS, _places, _spans
-from lumenspan.session import load, ship
+from lumenspan.session import load, ship, stored
 from lumenspan.sources import readers as S
 
 QUERIES, SQL = {}, {}
@@ -119,7 +119,8 @@ def reversed_relations(spark, sf):
     """Relations whose tail stands before a forward trigger and whose head stands behind it"""
     from lumenspan.operators import mentions as M
 
-    spans = M.triggered(M.located(_spans(spark, sf), DICTIONARY), [("USES", tuple(_USES))])
+    spans = M.triggered(M.located(_spans(spark, sf), DICTIONARY), [("USES", tuple(_USES))]).select("evidence_id", "mentions", "triggers")
+    spans = stored(spans.where("size(mentions) > 1 AND size(triggers) > 0"), "spans")  # no other sentence has a pair around a trigger; read several times
     found = spans.select("evidence_id", F.explode("mentions").alias("m")).select("evidence_id", "m.concept", "m.char_start")
     pairs = found.select("evidence_id", F.col("concept").alias("source")).distinct().join(found.select("evidence_id", F.col("concept").alias("target")).distinct(), "evidence_id").where("source < target")
     relations = pairs.select(F.concat_ws(":", F.col("evidence_id").cast("string"), "source", "target").alias("relation_id"), "source", "target", "evidence_id")
