@@ -95,3 +95,17 @@ def test_stage_on_repeated_and_null_ids(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.char_length("text").cast("long").alias("n_chars")).select(*columns)
     got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()))
     assert got == [(0, "alone"), (0, "p q r s t u"), (1, "a b c d e f"), (1, "another text of six words")]
+
+
+def test_texts_are_sent_not_sets(spark, monkeypatch):
+    """Pipeline, disk of near copies: whole sets of hashes were written and sent, three times the size of their texts."""
+    words = [f"w{k}" for k in range(60)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-2], "x"]), 3: " ".join(words[:40]), 4: None, 5: " \n", 6: "a b", 7: "A  b"}
+    docs = spark.createDataFrame([*texts.items()], "id long, text string")
+    pairs = [(2, 1), (3, 1), (3, 2), (5, 4), (6, 4), (7, 6)]
+    written, kept = [], nearcopies.stored
+    monkeypatch.setattr(nearcopies, "stored", lambda frame, name: written.append(frame.dtypes) or kept(frame, name))
+    got = sorted(tuple(r) for r in nearcopies.alike(spark.createDataFrame(pairs, "src long, dst long"), docs, "id").collect())
+    sets = {k: set(nearcopies.shingle_set((t or "").encode()).tolist()) for k, t in texts.items()}
+    assert got == sorted((a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])) and (2, 1) in got and (3, 1) not in got
+    assert not any(kind.startswith("array") for table in written for _, kind in table)
