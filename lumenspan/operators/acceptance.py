@@ -129,15 +129,21 @@ def _codes(rules: list[tuple[str, Column]]) -> Column:
 
 def quality_faults(text: Column) -> Column:
     """What makes a flattened text no evidence: too_short, cut_off, symbols, citations, layout."""
-    text = F.coalesce(text, F.lit(""))
-    low = F.lower(text)
-    tail = F.substring_index(F.rtrim(low, F.lit(" .;:,、，。")), " ", -1)
-    cut = (tail != "") & (tail.isin(*CUT_TAILS) | F.substring(F.rtrim(low, F.lit(" \t\n\x0b\f\r")), -max(map(len, CUT_TAILS)), 99).rlike(f"(?:{'|'.join(CUT_TAILS)})\\z"))
     # a search for the words that a pattern needs costs far less than the pattern, and few texts hold any
-    some = lambda c, words: reduce(lambda a, b: a | b, [c.contains(w) for w in words])
-    cited = F.when(some(low, ("[", "(", "al.")), (F.length(text) - F.length(F.regexp_replace(text, ascii_edges(CITED), ""))) / F.length(text)).otherwise(0.0)
-    layout = some(low, LAYOUT_WORDS) & text.rlike(ascii_edges(LAYOUT))
-    return _codes([("too_short", F.length(text) < SHORTEST), ("cut_off", cut), ("symbols", symbol_ratio(text) > MOST_SYMBOLS), ("citations", cited > MOST_CITED), ("layout", layout)])
+    some = lambda found: reduce(lambda a, b: a | b, found)
+
+    def faults(x: Column) -> Column:
+        text, low = x["text"], x["low"]
+        tail = F.substring_index(F.rtrim(low, F.lit(" .;:,、，。")), " ", -1)
+        ends = F.exists(F.array(F.rtrim(low, F.lit(" \t\n\x0b\f\r"))), lambda s: some(s.endswith(w) for w in CUT_TAILS))
+        cut = tail.isin(*CUT_TAILS) | ends & (tail != "")
+        cited = F.when(some(low.contains(w) for w in ("[", "(", "al.")), (F.length(text) - F.length(F.regexp_replace(text, ascii_edges(CITED), ""))) / F.length(text)).otherwise(0.0)
+        layout = some(low.contains(w) for w in LAYOUT_WORDS) & text.rlike(ascii_edges(LAYOUT))
+        return _codes([("too_short", F.length(text) < SHORTEST), ("cut_off", cut), ("symbols", symbol_ratio(text) > MOST_SYMBOLS), ("citations", cited > MOST_CITED), ("layout", layout)])
+
+    text = F.coalesce(text, F.lit(""))
+    # a lambda's argument is found once, an expression inside it at every place
+    return F.get(F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), faults), F.lit(0))
 
 
 def decided(relations: DataFrame, constraints: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], triggers: dict[str, tuple[str, ...]], strict: bool = True, one_sentence: bool = True) -> DataFrame:
