@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lumenspan.llm.simhash import SEED, links, majority
 from lumenspan.llm.tokens import column
 from lumenspan.operators.components import connected_components
-from lumenspan.session import discard, ship, stored
+from lumenspan.session import discard, release, ship, stored
 
 WORDS = 5
 #: Rows of the sample, and the most shingles that it puts last.
@@ -145,11 +145,6 @@ def alike(pairs: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     return found
 
 
-def _release(spark: SparkSession) -> None:
-    """Ask the driver to collect what nothing refers to: Spark then deletes the shuffles of finished joins of whole sets."""
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def near_copies(docs: DataFrame, key: str) -> DataFrame:
     """(key, component): the smallest key of its component for every row; docs hold key, a distinct long, and text."""
     ship(docs.sparkSession)
@@ -158,11 +153,13 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     prefixes = marked.groupBy("digest").agg(F.min(F.struct("key", "fp", "size", "tokens")).alias("c")).select("c.*")
     prefixes = stored(prefixes, "prefixes")
     discard(marked)
+    release(docs.sparkSession)
     classes = stored(prefixes.select("key", "fp"), "classes")
     lists = prefixes.select(F.posexplode("tokens").alias("pos", "token"), F.col("key").alias("id"), "size")
     several = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")  # a hot token is counted before it is sent, and its rows are joined in parts
     lists = stored(lists.join(several, "token", "left_semi").select("token", "id", "size", "pos"), "lists")
     discard(prefixes)
+    release(docs.sparkSession)
 
     # equal fingerprints and those within three bits, each compared with the first of its group
     points = stored(classes.groupBy("fp").agg(F.min("key").alias("rep")), "points")
@@ -179,10 +176,12 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
         best = led.groupBy("id", F.col("to.id").alias("to")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("to")).alias("t"), "to")).alias("best"))
         tried = best.select(F.col("id").alias("src"), F.col("best.to").alias("dst"))
         tried = (tried.union(close) if known is None else tried).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-        new = alike(stored(tried, "led"), docs, key)
+        tried = stored(tried, "led")
+        release(docs.sparkSession)
+        new = alike(tried, docs, key)
         edges = new if known is None else edges.union(new)
         known = stored(connected_components(edges), "known")
-        _release(docs.sparkSession)
+        release(docs.sparkSession)
 
     sides = lists.join(known, lists["id"] == known["node"], "left").select("token", "id", "size", "pos", F.coalesce("component", "id").alias("part"))
     a, b = (sides.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "pos", "part"))) for s in "ab")
@@ -192,7 +191,7 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     most = F.col("n") + F.least(F.col("a_size") - F.col("last.a_pos"), F.col("b_size") - F.col("last.b_pos")) - 1
     pairs = stored(met.where(9 * most >= 4 * (F.col("a_size") + F.col("b_size"))).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")), "pairs")
     discard(lists)
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
     found = connected_components(edges.union(alike(pairs, docs, key)))
 
     heads = named.groupBy("digest").agg(F.min("key").alias("head"))

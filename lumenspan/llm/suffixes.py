@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.tokens import column, slices
-from lumenspan.session import ship, stored
+from lumenspan.session import release, ship, stored
 
 LENGTH = 100
 GRAM = 32
@@ -527,9 +527,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     # spans pass through the exchange beside the anchors, so the texts are hashed once
     second = _dealt(first).mapInArrow(_with_spans(_second_pass(HOT_ANCHORS, HELD_ANCHORS)), PACKED)
     second = stored(second, "second")
+    release(spark)
     points = second.where(F.col("kind") == ANCHORS)
     third = _dealt(points.union(_compressed(docs))).mapInArrow(_third_pass(buckets, CHUNK), PACKED)
-    fourth = _dealt(third).mapInArrow(_with_spans(_fourth_pass), PACKED)
+    # stored, so that the texts and surroundings sent up to here are deleted before the texts are sent to their spans
+    fourth = stored(_dealt(third).mapInArrow(_with_spans(_fourth_pass), PACKED), "fourth")
+    release(spark)
     return second.where(F.col("kind") == SPANS).union(fourth)
 
 

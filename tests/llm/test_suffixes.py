@@ -98,6 +98,14 @@ def test_a_passage_in_every_document_does_not_gather(spark, monkeypatch):
     assert width == 190 and max(by_hash.values()) < 400
 
 
+def test_spans_are_written_before_texts_are_dealt_to_them(spark, odd_docs):
+    """Pipeline, repeats: all four exchanges, two of them with every text, lay on the disks at once."""
+    docs, _ = suffixes.keyed(odd_docs)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(suffixes.repeats(docs)) == 0
+    assert exchanges(suffixes._finished(docs, None, "k long")) == 1
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     check(odd_docs)
     assert suffixes.digests(no_docs).count() == 0
