@@ -6,7 +6,8 @@ by about ten of 64 bits, a radius at which triangle bounds prune nothing (unrela
 that no link is lost, prefix filtering completes them: in any one order of shingles, two sets this alike share
 one among the first n - ceil(0.8 n) + 1 of each. Shingles that are common in a sample come last in that order,
 so that boilerplate seldom meets; the sample changes what is compared, never what is found. Every link is
-an exact comparison of whole sets (of 64-bit hashes).
+an exact comparison of whole sets (of 64-bit hashes). Texts are sent for it only where the sets' parity masks (a
+few bits for each shingle) leave 0.8 possible: masks differ in no more places than their sets in shingles.
 
 Texts with equal sets are one class and meet once. Each of ROUNDS rounds compares every class with one class of
 another component that leads most of its lists (the first round also the SimHash candidates), so a large group of
@@ -21,6 +22,7 @@ text are ignored; a text is in a worker's memory as a whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,10 @@ WORDS = 5
 SAMPLE_ROWS, HOT = 20_000, 200_000
 #: Rounds in which classes are compared with leaders.
 ROUNDS = 2
+#: Parts in which prefixes are dealt by their shingles, one after the other, so that one part at a time is on the disks.
+PARTS = 4
+#: Bits of the broadcast table that tells which texts are surely not asked for: 131,072 rows of 64 bits at most.
+ASKED_BITS = 1 << 23
 
 
 def shingle_set(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -66,6 +72,18 @@ def prefix(found: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return found[np.argsort(order, kind="stable")][: len(found) - -(-4 * len(found) // 5) + 1]
 
 
+def mask(found: np.ndarray) -> bytes:
+    """Parities of how many hashes end in each number of k bits; there are two to four bits for each hash, 64 at least."""
+    bits = max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64
+    return np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of how many hashes are in only one of two sets, from their masks; the longer is folded to the shorter."""
+    x, y = (np.frombuffer(m, np.uint8) for m in sorted((a, b), key=len))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x))) ^ x).sum())
+
+
 def _sets(docs: DataFrame, key: str) -> DataFrame:
     """(key, shingles) of every row."""
 
@@ -89,7 +107,7 @@ def _common(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame, key: str) -> DataFrame:
-    """(key, digest of the set, fp: its fingerprint, size, tokens: its prefix) of every row."""
+    """(key, digest of the set, fp: its fingerprint, size, tokens: its prefix, mask) of every row."""
     known = docs.sparkSession.sparkContext.broadcast(_common(docs, key))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,17 +115,18 @@ def _marked(docs: DataFrame, key: str) -> DataFrame:
 
         hot, rank = known.value
         for batch in batches:
-            digests, prints, sizes, tokens = [], [], [], []
+            digests, prints, sizes, tokens, masks = [], [], [], [], []
             for text in column(batch, "text").cast(pa.binary()):
                 found = shingle_set(text.as_py())
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 prints.append(majority(found))
                 sizes.append(len(found))
                 tokens.append(prefix(found, hot, rank).view(np.int64))
+                masks.append(mask(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["key", "digest", "fp", "size", "tokens"])
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(masks, pa.binary())], ["key", "digest", "fp", "size", "tokens", "mask"])
 
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(mark, "key long, digest binary, fp long, size int, tokens array<long>")
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(mark, "key long, digest binary, fp long, size int, tokens array<long>, mask binary")
 
 
 def _lengths(a: Column, b: Column) -> Column:
@@ -119,13 +138,38 @@ def _room(a_size: Column, a_pos: Column, b_size: Column, b_pos: Column) -> Colum
     return 9 * F.least(a_size - a_pos, b_size - b_pos) >= 4 * (a_size + b_size)
 
 
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of classes (key, size, mask) whose sizes and masks leave a likeness of 0.8 possible, written."""
+    a, b = (classes.select(F.col("key").alias(end), F.col("size").alias(f"{end}_size"), F.col("mask").alias(f"{end}_mask")) for end in ("src", "dst"))
+    both = pairs.join(a, "src").join(b, "dst").where(_lengths(F.col("src_size"), F.col("dst_size"))).select("src", "dst", (F.col("src_size") + F.col("dst_size")).alias("sizes"), "src_mask", "dst_mask")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # 5 shared >= 4 (sizes - shared), where apart = sizes - 2 shared
+            keep = [9 * apart(x.as_py(), y.as_py()) <= n.as_py() for n, x, y in zip(*(batch.column(k) for k in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["src", "dst"])
+
+    found = stored(both.mapInArrow(fit, "src long, dst long"), "possible")
+    release(pairs.sparkSession)
+    return found
+
+
+def _asked(docs: DataFrame, ends: DataFrame, key: str) -> DataFrame:
+    """(key, text) of the rows whose key is in ends, and of few others: the exact join after it sends no text that surely has no pair."""
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(ASKED_BITS))
+    words = ends.select(place.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
+    rows = docs.select(key, "text", place.alias("at")).withColumn("word", F.expr("at div 64"))
+    return rows.join(F.broadcast(words), "word").where("getbit(bits, cast(at % 64 AS int)) = 1").select(key, "text")
+
+
 def alike(pairs: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """The pairs (src, dst) whose whole sets have a Jaccard likeness of 0.8 or more, written.
 
     Texts are sent, and their sets made where a pair's texts meet: hashes can't be compressed and are three times as large.
     """
     ends = pairs.select(F.col("src").alias(key)).union(pairs.select("dst")).distinct()
-    texts = stored(docs.join(ends, key, "left_semi").select(key, "text"), "texts")
+    texts = stored(_asked(docs, ends, key).join(ends, key, "left_semi"), "texts")
+    release(docs.sparkSession)
     both = pairs.join(texts.select(F.col(key).alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col(key).alias("dst"), F.col("text").alias("b")), "dst").select("src", "dst", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +186,7 @@ def alike(pairs: DataFrame, docs: DataFrame, key: str) -> DataFrame:
 
     found = stored(both.mapInArrow(compare, "src long, dst long"), "alike")
     discard(texts)
+    release(docs.sparkSession)
     return found
 
 
@@ -150,16 +195,19 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     ship(docs.sparkSession)
     marked = stored(_marked(docs, key), "marked")
     named = stored(marked.select("key", "digest"), "named")
-    prefixes = marked.groupBy("digest").agg(F.min(F.struct("key", "fp", "size", "tokens")).alias("c")).select("c.*")
+    prefixes = marked.groupBy("digest").agg(F.min(F.struct("key", "fp", "size", "tokens", "mask")).alias("c")).select("c.*")
     prefixes = stored(prefixes, "prefixes")
     discard(marked)
     release(docs.sparkSession)
-    classes = stored(prefixes.select("key", "fp"), "classes")
-    lists = prefixes.select(F.posexplode("tokens").alias("pos", "token"), F.col("key").alias("id"), "size")
-    several = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")  # a hot token is counted before it is sent, and its rows are joined in parts
-    lists = stored(lists.join(several, "token", "left_semi").select("token", "id", "size", "pos"), "lists")
+    classes = stored(prefixes.select("key", "fp", "size", "mask"), "classes")
+    rows, parts = prefixes.select(F.posexplode("tokens").alias("pos", "token"), F.col("key").alias("id"), "size"), []
+    for k in range(PARTS):
+        part = rows.where(F.pmod("token", F.lit(PARTS)) == k)
+        several = part.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")  # a hot token is counted before it is sent, and its rows are joined in parts
+        parts.append(stored(part.join(several, "token", "left_semi").select("token", "id", "size", "pos"), "lists"))
+        release(docs.sparkSession)
+    lists = reduce(DataFrame.union, parts)
     discard(prefixes)
-    release(docs.sparkSession)
 
     # equal fingerprints and those within three bits, each compared with the first of its group
     points = stored(classes.groupBy("fp").agg(F.min("key").alias("rep")), "points")
@@ -178,7 +226,7 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
         tried = (tried.union(close) if known is None else tried).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
         tried = stored(tried, "led")
         release(docs.sparkSession)
-        new = alike(tried, docs, key)
+        new = alike(possible(tried, classes), docs, key)
         edges = new if known is None else edges.union(new)
         known = stored(connected_components(edges), "known")
         release(docs.sparkSession)
@@ -190,9 +238,9 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     met = met.groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.max(F.struct("a_pos", "b_pos")).alias("last"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
     most = F.col("n") + F.least(F.col("a_size") - F.col("last.a_pos"), F.col("b_size") - F.col("last.b_pos")) - 1
     pairs = stored(met.where(9 * most >= 4 * (F.col("a_size") + F.col("b_size"))).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")), "pairs")
-    discard(lists)
+    discard(*parts)
     release(docs.sparkSession)
-    found = connected_components(edges.union(alike(pairs, docs, key)))
+    found = connected_components(edges.union(alike(possible(pairs, classes), docs, key)))
 
     heads = named.groupBy("digest").agg(F.min("key").alias("head"))
     heads = heads.join(found, heads["head"] == found["node"], "left").select("digest", F.coalesce("component", "head").alias("component"))

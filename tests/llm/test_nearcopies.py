@@ -5,6 +5,7 @@ import re
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,47 @@ def test_texts_are_sent_not_sets(spark, monkeypatch):
     sets = {k: set(nearcopies.shingle_set((t or "").encode()).tolist()) for k, t in texts.items()}
     assert got == sorted((a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])) and (2, 1) in got and (3, 1) not in got
     assert not any(kind.startswith("array") for table in written for _, kind in table)
+
+
+def test_masks_are_a_bound(spark):
+    """Pipeline, disk of near copies: no pair at 0.8 is lost by masks, folded or not, and unlike pairs go."""
+    rng, sets = np.random.default_rng(3), {}
+    for k in range(0, 120, 2):
+        found = np.unique(rng.integers(0, 1 << 64, int(rng.integers(0, 700)), np.uint64))
+        left = len(found) * int(rng.integers(0, 11)) // 10
+        sets[k], sets[k + 1] = found, np.unique(np.append(found[:left], rng.integers(0, 1 << 64, len(found) // 12, np.uint64)))
+    sets |= {200: np.zeros(0, np.uint64), 201: np.zeros(0, np.uint64)}
+    masks = {k: nearcopies.mask(v) for k, v in sets.items()}
+    assert len({len(m) for m in masks.values()}) > 3
+    for a, b in [(k, k + 1) for k in sets if k % 2 == 0] + [(0, 9), (200, 3)]:
+        assert nearcopies.apart(masks[a], masks[b]) == nearcopies.apart(masks[b], masks[a]) <= len(np.setxor1d(sets[a], sets[b]))
+    classes = spark.createDataFrame([(k, len(v), bytearray(masks[k])) for k, v in sets.items()], "key long, size int, mask binary")
+    pairs = [(b, a) for a in sets for b in sets if a < b]
+    got = {tuple(r) for r in nearcopies.possible(spark.createDataFrame(pairs, "src long, dst long"), classes).collect()}
+    shared = {(b, a): len(np.intersect1d(sets[a], sets[b])) for b, a in pairs}
+    want = {(b, a) for b, a in pairs if 5 * shared[b, a] >= 4 * (len(sets[a]) + len(sets[b]) - shared[b, a])}
+    assert want <= got and len(got) < len(want) + 20 and {(201, 200)} < want
+
+
+def test_few_texts_are_sent(spark, monkeypatch):
+    """Pipeline, disk of near copies: every candidate's texts were sent, chosen by a join of all texts, and all prefixes were dealt at once."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    legal = [rng.choice(words) for _ in range(60)]
+    texts = {k: " ".join([*(rng.choice(words) for _ in range(40)), *legal]) for k in range(300)}
+    texts |= {300 + k: f"{texts[k]} end" for k in range(20)}
+    for k in range(100, 160):  # a likeness of 0.65: candidates by their prefixes
+        changed = texts[k].split()
+        changed[10::25] = ["other"] * 4
+        texts[300 + k] = " ".join(changed)
+    docs = spark.createDataFrame([*texts.items()], "id long, text string")
+    sent, parts, compared, written = [], [], nearcopies.alike, nearcopies.stored
+    monkeypatch.setattr(nearcopies, "alike", lambda pairs, *rest: sent.extend(tuple(r) for r in pairs.collect()) or compared(pairs, *rest))
+    monkeypatch.setattr(nearcopies, "stored", lambda df, name="table": parts.append(name) or written(df, name))
+    got = {r["key"]: r["component"] for r in nearcopies.near_copies(docs, "id").collect()}
+    assert got == {k: k - 300 if 300 <= k < 320 else k for k in texts}
+    assert {(300 + k, k) for k in range(20)} <= set(sent) and len(sent) < 40
+    assert parts.count("lists") == nearcopies.PARTS
+    ends = spark.createDataFrame([(k,) for k in range(0, 300, 30)], "id long")
+    asked = {r["id"] for r in nearcopies._asked(docs, ends, "id").collect()}
+    assert {*range(0, 300, 30)} <= asked and len(asked) < 15
